@@ -37,34 +37,64 @@ def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
 
 
 def ewma(
-    df: DataFrame, keys: list[str], ts: str, tie: str, value: Column, alpha: float, start: float | None,
-    out: str = "ewma", n: str = "n", extra: list[Column] | None = None, span: str = "DAY",
+    df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, tuple[Column, float, float | None]],
+    extra: list[Column] | None = None, span: str = "DAY",
 ) -> DataFrame:
-    """Exponentially weighted mean per key in arrival order, as an ordinary aggregate.
+    """Exponentially weighted means per key in arrival order, as ordinary aggregates.
 
-    Equal to the recurrence ``s = alpha*x + (1-alpha)*s`` from ``start`` (the first value
-    when None). Rows are weighted inside (key, time span) groups and the spans are then
-    combined, so a key with a large share of the rows is spread over its time spans.
-    ``extra`` holds decomposable aggregates (sum, min, max, count) aliased by the caller;
-    they are summed over the spans, or maximised when their alias starts with ``last_``.
+    ``values`` maps an output name to ``(value, alpha, start)``; each equals the recurrence
+    ``s = alpha*x + (1-alpha)*s`` from ``start`` (the first value when None). Rows are
+    weighted inside (key, time span) groups and the spans are then combined, so a key with
+    a large share of the rows is spread over its time spans. ``extra`` holds sums and
+    counts, which are summed over the spans; aliases starting with ``last_`` hold maxima.
+    Adds ``n``, the number of rows.
     """
     extra = extra or []
-    keep = 1.0 - alpha
-    spread = df.withColumn("_span", F.date_trunc(span, F.col(ts))).withColumn("_x", value)
     newest = Window.partitionBy(*keys, "_span").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    weighted = spread.withColumn("_age", F.row_number().over(newest) - 1)
-    parts = weighted.groupBy(*keys, "_span").agg(
-        F.sum(F.lit(alpha) * F.pow(F.lit(keep), F.col("_age")) * F.col("_x")).alias("_part"),
-        F.count("*").alias("_n"),
-        F.min_by("_x", F.struct(ts, tie)).alias("_first"),
-        *extra,
-    )
-    names = [c for c in parts.columns if c not in (*keys, "_span", "_part", "_n", "_first")]
+    aged = df.withColumn("_span", F.date_trunc(span, F.col(ts))).withColumn("_age", F.row_number().over(newest) - 1)
+    parts = []
+    for i, (value, alpha, start) in enumerate(values.values()):
+        weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_age"))
+        parts.append(F.sum(weight * value).alias(f"_part{i}"))
+        if start is None:
+            parts.append(F.min_by(value, F.struct(ts, tie)).alias(f"_first{i}"))
+    spans = aged.groupBy(*keys, "_span").agg(*parts, F.count("*").alias("_n"), *extra)
     later = Window.partitionBy(*keys).orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-    base = F.lit(start) if start is not None else F.min_by("_first", "_span")
+    placed = spans.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    totals = []
+    for i, (name, (value, alpha, start)) in enumerate(values.items()):
+        keep = F.lit(1.0 - alpha)
+        base = F.min_by(f"_first{i}", "_span") if start is None else F.lit(start)
+        totals.append((F.sum(F.col(f"_part{i}") * F.pow(keep, F.col("_later"))) + F.pow(keep, F.sum("_n")) * base).alias(name))
+    names = [c for c in spans.columns if c not in keys and not c.startswith("_")]
     return placed.groupBy(*keys).agg(
-        (F.sum(F.col("_part") * F.pow(F.lit(keep), F.col("_later"))) + F.pow(F.lit(keep), F.sum("_n")) * base).alias(out),
-        F.sum("_n").alias(n),
-        *[(F.max(c) if c.startswith("last_") else F.sum(c)).alias(c) for c in names],
+        *totals, F.sum("_n").alias("n"), *[(F.max(c) if c.startswith("last_") else F.sum(c)).alias(c) for c in names]
+    )
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str],
+    tie: str, span: str = "HOUR",
+) -> DataFrame:
+    """Left rows with the newest right row of the same keys at or before them.
+
+    Both sides are laid out in time and the last payload seen is carried forward, so no
+    pairs are formed. It is carried inside (key, time span) groups and then from span to
+    span over one row per span, which spreads a frequent key.
+    """
+    item = F.struct(F.col(right_ts).alias("_at"), *payload)
+    events = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.struct(*left.columns).alias("_row")).unionByName(
+        right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), item.alias("_item")),
+        allowMissingColumns=True,
+    ).withColumn("_span", F.date_trunc(span, "_t"))
+    inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = events.withColumn("_seen", F.last("_item", ignorenulls=True).over(inside))
+    ends = events.groupBy(*keys, "_span").agg(F.max_by("_item", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_start", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    found = carried.where("_side = 1").join(starts, [*keys, "_span"])
+    hit = F.coalesce("_seen", "_start")
+    return found.select(
+        *[F.col("_row")[c].alias(c) for c in left.columns],
+        hit["_at"].alias(right_ts), *[hit[c].alias(c) for c in payload],
     )
