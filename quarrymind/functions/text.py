@@ -313,12 +313,13 @@ def truncate_sentences(
 
 def split_by(c: Column | str, separators: list[str]) -> Column:
     """Split by each separator in turn, leaving it at the end of the left part; blanks dropped."""
+    def split_after(mark: str) -> Callable[[Column], Column]:
+        pattern = "(?<=\\Q" + mark + "\\E)"
+        return lambda part: F.filter(F.split(part, pattern), lambda s: s != "")
+
     parts = F.array(_col(c))
     for sep in separators:
-        quoted = "\\Q" + sep + "\\E"
-        parts = F.flatten(
-            F.transform(parts, lambda p, q=quoted: F.filter(F.split(p, f"(?<={q})"), lambda s: s != ""))
-        )
+        parts = F.flatten(F.transform(parts, split_after(sep)))
     return F.filter(parts, lambda p: strip(p) != "")
 
 
