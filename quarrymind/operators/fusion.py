@@ -190,7 +190,7 @@ def build_context(hits: DataFrame, max_tokens: int = 8000, content: str = "conte
     cost = tx.estimate_tokens(content)
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = hits.withColumn("_used", F.sum(cost).over(running)).where(F.col("_used") <= max_tokens)
-    two = lambda c: F.format_string("%.2f", F.col(c))
+    two = lambda c: tx.two_decimals(F.col(c))
     named = [
         F.when(F.col(f"{s}_score") > 0, F.concat(F.lit(f"{s}: "), two(f"{s}_score"))) for s in SOURCES if f"{s}_score" in hits.columns
     ]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrymind.functions.text import two_decimals
 from quarrymind.operators.ranking import top_k
 from quarrymind.session import cut_lineage
 
@@ -366,7 +367,7 @@ def review_marks(feedback: DataFrame) -> DataFrame:
     bad = feedback.where(F.col("overall_score") < REVIEW_BELOW)
     return bad.select(F.explode("chunk_ids").alias("chunk_id"), "ts", "feedback_id", "overall_score").groupBy("chunk_id").agg(
         F.lit(True).alias("needs_review"),
-        F.concat(F.lit("low_feedback_score_"), F.format_string("%.2f", F.max_by("overall_score", F.struct("ts", "feedback_id")))).alias("review_reason"),
+        F.concat(F.lit("low_feedback_score_"), two_decimals(F.max_by("overall_score", F.struct("ts", "feedback_id")))).alias("review_reason"),
         F.max("ts").alias("marked_for_review_at"),
     )
 
@@ -375,7 +376,7 @@ def revector_tasks(feedback: DataFrame) -> DataFrame:
     """Re-embedding tasks for the worst feedback that names chunks."""
     return feedback.where((F.col("overall_score") <= REEMBED_MAX) & (F.size("chunk_ids") > 0)).select(
         F.col("feedback_id").alias("task_id"), "chunk_ids",
-        F.concat(F.lit("low_score_"), F.format_string("%.2f", "overall_score")).alias("reason"),
+        F.concat(F.lit("low_score_"), two_decimals("overall_score")).alias("reason"),
         F.lit(REEMBED_PRIORITY).alias("priority"), F.col("ts").alias("scheduled_at"), F.lit("pending").alias("status"),
     )
 
