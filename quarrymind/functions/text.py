@@ -197,30 +197,38 @@ def content_type(content: Column, path: Column | None = None, url: Column | None
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, however often that mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def two_decimals(c: Column | str) -> Column:
     """A non-negative number with two decimals, rounded by its exact binary value, ties to even.
 
-    Java formats the shortest decimal form instead, which moves some values up a cent.
-    Below 8 a double times 2**60 is a whole number, and below 8192 times 2**50, so the
-    rounding is done in whole numbers.
+    Java formats the shortest decimal form instead, which moves some values up a cent. The
+    fraction times 2**56 (2**60 when it is small) is a whole number, so the rounding is
+    done in whole numbers.
     """
     x = _col(c).cast("double")
 
-    def rounded(bits: int) -> Column:
-        unit = F.lit(2**bits).cast("decimal(20,0)")
-        cents = (x * float(2**bits)).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-        whole = F.floor(cents / unit).cast("bigint")
-        twice = (cents - whole.cast("decimal(20,0)") * unit) * F.lit(2).cast("decimal(1,0)")
-        up = (twice > unit) | ((twice == unit) & (whole % 2 == 1))
-        n = whole + up.cast("bigint")
-        return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    def scale(parts: Column) -> Column:
+        small = parts["f"] < 0.0625
+        hundredfold = (parts["f"] * F.when(small, float(2**60)).otherwise(float(2**56))).cast("bigint") * 100
+        return bind(
+            F.struct(parts["i"], hundredfold.alias("p"), F.when(small, F.lit(2**60)).otherwise(F.lit(2**56)).alias("unit")), cents
+        )
 
-    return F.when(x < 8, rounded(60)).when(x < 8192, rounded(50)).otherwise(F.format_string("%.2f", x))
+    def cents(parts: Column) -> Column:
+        rest = F.pmod(parts["p"], parts["unit"])
+        whole = F.when(parts["unit"] == 2**60, F.shiftright(parts["p"], 60)).otherwise(F.shiftright(parts["p"], 56))
+        half = F.shiftright(parts["unit"], 1)
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        return bind(parts["i"] * 100 + whole + up.cast("bigint"), shown)
 
+    def shown(n: Column) -> Column:
+        return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``, however often that mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(x.isNotNull(), bind(F.struct(F.floor(x).alias("i"), (x - F.floor(x)).alias("f")), scale))
 
 
 def keywords(c: Column | str, n: int = 10) -> Column:
