@@ -128,17 +128,17 @@ def simple_chunk(
     )
 
 
-def hierarchical_chunk(
-    df: DataFrame, key: str = "doc_id", col: str = "text", size: int = CHUNK_SIZE, parent_size: int | None = None,
-    overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = ("\n\n\n",),
-) -> DataFrame:
-    """Parent chunks per large section with overlapping children; small sections stand alone.
-
-    Built inside each document row: the section list becomes a list of chunk structs, and
-    positions in that list are the document-wide index. No shuffle.
+def hierarchy_of(
+    col: Column | str, size: int = CHUNK_SIZE, parent_size: int | None = None, overlap: int = CHUNK_OVERLAP,
+    separators: tuple[str, ...] = ("\n\n\n",),
+) -> Column:
+    """Array of chunk structs of one text: a parent per large section, then its children.
+
+    Built inside the row: the section list becomes a list of chunks, and positions in that
+    list are the document-wide index.
     """
     parent_chars = (parent_size or size * 2) * 4
-    text = F.col(col)
+    text = F.col(col) if isinstance(col, str) else col
 
     def leaf(content: Column, level: int, section: Column, child: Column, start: Column, length: Column) -> Column:
         return F.struct(
@@ -174,13 +174,15 @@ def hierarchical_chunk(
         ),
         lambda acc: acc["out"],
     )
-    rows = df.where(F.length(tx.strip(text)) > 0).select(
-        key, F.flatten(F.transform(placed, lambda p, i: expand(p["section"], i, p["at"]))).alias("chunks")
-    )
+    return F.flatten(F.transform(placed, lambda p, i: expand(p["section"], i, p["at"])))
+
+
+def explode_hierarchy(df: DataFrame, key: str, chunks: str = "chunks") -> DataFrame:
+    """Chunk rows from a column made by :func:`hierarchy_of`, with ids derived from their place."""
     node = lambda child: F.substring(
         F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("c.section").cast("string"), child.cast("string")), 256), 1, 16
     )
-    return rows.select(key, F.posexplode("chunks").alias("chunk_index", "c")).select(
+    return df.select(key, F.posexplode(chunks).alias("chunk_index", "c")).select(
         node(F.col("c.child")).alias("chunk_id"),
         F.col(key).alias("source_id"),
         "chunk_index",
@@ -191,6 +193,15 @@ def hierarchical_chunk(
     )
 
 
+def hierarchical_chunk(
+    df: DataFrame, key: str = "doc_id", col: str = "text", size: int = CHUNK_SIZE, parent_size: int | None = None,
+    overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = ("\n\n\n",),
+) -> DataFrame:
+    """Parent chunks per large section with overlapping children; small sections stand alone. No shuffle."""
+    held = df.where(F.length(tx.strip(col)) > 0)
+    return explode_hierarchy(held.select(key, hierarchy_of(col, size, parent_size, overlap, separators).alias("chunks")), key)
+
+
 def merge_small(parts: Column | str, min_tokens: int = 50, tokens: tx.TokenEstimator = tx.estimate_tokens) -> Column:
     """Join array elements to the next until each has ``min_tokens``; the last may stay small."""
     parts = F.col(parts) if isinstance(parts, str) else parts

@@ -121,12 +121,12 @@ def dedup_hits(hits: DataFrame, threshold: float = 0.9, content: str = "content"
     """
     kept = F.aggregate(
         "items",
-        F.expr("cast(array() as array<struct<rank:int,doc_id:bigint,words:array<string>>>)"),
+        F.slice("items", 1, 0),
         lambda acc, h: F.when(
             F.exists(acc, lambda k: tx.jaccard_sets(k["words"], h["words"]) >= threshold), acc
         ).otherwise(F.concat(acc, F.array(h))),
     )
-    listed = _listed(hits.withColumn("doc_id", F.col("doc_id").cast("bigint")), content, [])
+    listed = _listed(hits, content, [])
     survivors = listed.select("query_id", F.posexplode(kept).alias("pos", "k")).select(
         "query_id", F.col("k.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank")
     )
@@ -139,15 +139,12 @@ def mmr(hits: DataFrame, k: int = 10, penalty: float = 0.3, content: str = "cont
     Input hits are limited lists. Every candidate carries its likeness so far, so a pick
     compares the rest with the newest choice only.
     """
-    listed = _listed(
-        hits.where(F.col(score) >= min_score).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("_s", F.col(score)),
-        content, ["_s"],
-    )
+    listed = _listed(hits.where(F.col(score) >= min_score).withColumn("_s", F.col(score)), content, ["_s"])
     pool = F.transform(
         "items",
         lambda h: F.struct(h["rank"], h["doc_id"], h["_s"].alias("s"), h["words"], F.lit(0.0).alias("sim")),
     )
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("picked"), pool.alias("pool"))
+    start = F.struct(F.slice("items.doc_id", 1, 0).alias("picked"), pool.alias("pool"))
 
     def pick(acc: Column, _: Column) -> Column:
         best = F.array_max(F.transform(acc["pool"], lambda c: F.struct((c["s"] - penalty * c["sim"]).alias("v"), (-c["rank"]).alias("r"))))
