@@ -43,14 +43,23 @@ class Snapshots:
 def run_available(
     stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None
 ) -> int:
-    """Process what has landed, one ``write`` per trigger; returns the last trigger's number."""
+    """Process what has landed, one ``write`` per trigger; returns the last trigger's number.
+
+    A new checkpoint fixes the number of state partitions: at most two per core, since each
+    has a store to open and commit at every trigger.
+    """
     spark = stream.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    started = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream")).start()
-    )
-    started.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        started = (
+            stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
+            .option("checkpointLocation", checkpoint or scratch_path(spark, "stream")).start()
+        )
+        started.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     done = started.lastProgress
     return done["batchId"] if done else -1
 
