@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrymind.catalog.common import NOT_WORD, r6, table
 from quarrymind.catalog.retrieval import KEYWORDS_CTE, TITLE_SQL
 from quarrymind.functions import text as tx
+from quarrymind.functions.rows import unfold
 from quarrymind.operators import chunking as ch
 from quarrymind.operators import documents as dm
 
@@ -204,11 +205,9 @@ def token_counts(spark, sf_dir):
 
 
 @query("keywords", "with kw_src as (select doc_id as id, text from documents)," + KEYWORDS_CTE + """
-select id as doc_id, string_agg(word, '|' order by pos) as keywords from kw group by 1""")
+select doc_id, coalesce(k, '') as keywords from documents left join (select id, string_agg(word, '|' order by pos) as k from kw group by 1) on id = doc_id""")
 def keywords(spark, sf_dir):
-    return dm.keywords(table(spark, sf_dir, "documents")).where(F.size("keywords") > 0).select(
-        "doc_id", F.array_join("keywords", "|").alias("keywords")
-    )
+    return dm.keywords(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("jaccard", f"""with w as (select conv_id, turn, list_distinct({WORDS.format(x='lower(text)')}) as w from conversations)
@@ -248,13 +247,13 @@ def truncate_sentences(spark, sf_dir):
 
 @query("sentences", f"""select doc_id, unnest(s) as sentence, unnest(range(0, len(s))) as pos from (select doc_id, {SENT_SQL} as s from documents)""")
 def sentences(spark, sf_dir):
-    return dm.with_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+    return unfold(dm.with_sentences(table(spark, sf_dir, "documents")), ["doc_id"], "sentences", "sentence", "pos")
 
 
 @query("split_sections", """select doc_id, unnest(p) as part, unnest(range(0, len(p))) as pos from (
   select doc_id, list_filter(string_split(replace(replace(text, chr(10), chr(10) || chr(30)), ', ', ', ' || chr(30)), chr(30)), lambda x: trim(x, E' \\n\\t') <> '') as p from documents)""")
 def split_sections(spark, sf_dir):
-    return dm.split_by(table(spark, sf_dir, "documents"), ["\n", ", "]).select("doc_id", F.posexplode("parts").alias("pos", "part"))
+    return unfold(dm.split_by(table(spark, sf_dir, "documents"), ["\n", ", "]), ["doc_id"], "parts", "part", "pos")
 
 
 _META = r"""[+\-&|!(){}\[\]^"~*?:\\]"""
@@ -285,7 +284,7 @@ select conv_id, turn, rank, md5(passage) as passage from r""")
 def highlights(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("query").alias("content"))
-    return dm.highlights(c.join(after, ["conv_id", "turn"])).select("conv_id", "turn", F.posexplode("highlights").alias("pos", "p")).select(
+    return unfold(dm.highlights(c.join(after, ["conv_id", "turn"])), ["conv_id", "turn"], "highlights", "p", "pos").select(
         "conv_id", "turn", (F.col("pos") + 1).alias("rank"), F.md5("p").alias("passage")
     )
 
@@ -379,9 +378,8 @@ pieces as (select doc_id, i, done as piece from walk where done is not null
   union all select doc_id, max(i) + 1, arg_max(open, i) from walk group by 1)
 select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, md5(piece) as piece from pieces""")
 def merge_small(spark, sf_dir):
-    return dm.with_sentences(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.posexplode(ch.merge_small("sentences", 40)).alias("pos", "piece")
-    ).withColumn("piece", F.md5("piece"))
+    split = dm.with_sentences(table(spark, sf_dir, "documents"))
+    return unfold(split, ["doc_id"], ch.merge_small("sentences", 40), "piece", "pos").withColumn("piece", F.md5("piece"))
 
 
 @query("chunk_links", f"""with recursive {HIER_SQL} select parent_chunk_id as chunk_id, string_agg(chunk_id, '|' order by chunk_index) as children

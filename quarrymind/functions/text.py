@@ -237,10 +237,9 @@ def keywords(c: Column | str, n: int = 10) -> Column:
     Everything happens inside the row: the (word, position) pairs are sorted, run
     boundaries give counts, and no token is shuffled.
     """
-    stop = F.create_map(*[F.lit(x) for w in sorted(set(STOP_WORDS)) for x in (w, True)])
     found = F.filter(
         F.split(F.lower(_col(c)), r"(?U)\W+"),
-        lambda w: (F.length(w) >= 3) & F.try_element_at(stop, w).isNull(),
+        lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(set(STOP_WORDS))),
     )
     ranked = F.sort_array(
         F.transform(count_runs(found), lambda r: F.struct((-r["n"]).alias("neg"), r["first"].alias("first"), r["word"].alias("word")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrymind.functions import text as tx
+from quarrymind.functions.rows import unfold
 
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 50
@@ -89,7 +90,7 @@ def chunk_overlapping(
 ) -> DataFrame:
     """Chunks ``(key, chunk_index, content, token_count)``; a narrow job without shuffles."""
     return (
-        df.select(key, F.posexplode(chunk_texts(col, size, overlap, tokens)).alias("chunk_index", "content"))
+        unfold(df, [key], chunk_texts(col, size, overlap, tokens), "content", "chunk_index")
         .withColumn("token_count", tokens(F.col("content")))
     )
 
@@ -118,7 +119,7 @@ def simple_chunk(
         ),
     )
     return (
-        df.select(key, F.posexplode(rows).alias("chunk_index", "r"))
+        unfold(df, [key], rows, "r", "chunk_index")
         .select(
             key, "chunk_index", F.lit(0).alias("level"), "r.content",
             tx.estimate_tokens("r.content").alias("token_count"),
@@ -182,7 +183,7 @@ def explode_hierarchy(df: DataFrame, key: str, chunks: str = "chunks") -> DataFr
     node = lambda child: F.substring(
         F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("c.section").cast("string"), child.cast("string")), 256), 1, 16
     )
-    return df.select(key, F.posexplode(chunks).alias("chunk_index", "c")).select(
+    return unfold(df, [key], chunks, "c", "chunk_index").select(
         node(F.col("c.child")).alias("chunk_id"),
         F.col(key).alias("source_id"),
         "chunk_index",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrymind.functions.rows import unfold
+from quarrymind.functions.text import bind
 from quarrymind.operators.graph import make_edges
 from quarrymind.operators.ranking import first_per_key
 
@@ -21,19 +23,20 @@ def readable_json(response: Column) -> Column:
     Takes the text from the first opening to the last closing bracket. A second attempt
     turns single quotes into double ones and drops trailing commas.
     """
-    inner = F.regexp_extract(response, r"(?s)([\[{].*[\]}])", 1)
-    repaired = F.regexp_replace(F.replace(inner, F.lit("'"), F.lit('"')), r",\s*([}\]])", "$1")
     is_json = lambda c: F.try_parse_json(c).isNotNull()
-    return F.when(is_json(inner), inner).when(is_json(repaired), repaired)
+    repair = lambda c: F.regexp_replace(F.replace(c, F.lit("'"), F.lit('"')), r",\s*([}\]])", "$1")
+    return bind(
+        F.regexp_extract(response, r"(?s)([\[{].*[\]}])", 1),
+        lambda j: F.when(is_json(j), j).otherwise(bind(repair(j), lambda r: F.when(is_json(r), r))),
+    )
 
 
 def parse_responses(extractions: DataFrame, kind: str, item: str) -> DataFrame:
     """Items of the list responses of one kind: ``(source_id, pos, item fields…)``."""
-    readable = extractions.where(F.col("kind") == kind).select("source_id", readable_json(F.col("response")).alias("json"))
-    lists = readable.where(F.startswith("json", F.lit("[")))
-    return lists.select("source_id", F.posexplode(F.from_json("json", f"array<{item}>")).alias("pos", "item")).select(
-        "source_id", "pos", "item.*"
+    items = bind(
+        readable_json(F.col("response")), lambda j: F.when(F.startswith(j, F.lit("[")), F.from_json(j, f"array<{item}>"))
     )
+    return unfold(extractions.where(F.col("kind") == kind), ["source_id"], items, "item", "pos").select("source_id", "pos", "item.*")
 
 
 def concept_id(source: Column, name: Column) -> Column:
@@ -52,10 +55,11 @@ def concepts_from(extractions: DataFrame) -> DataFrame:
 
 def alias_map(extractions: DataFrame) -> DataFrame:
     """Lower-cased alias to canonical name per source, from the resolution responses."""
-    readable = extractions.where(F.col("kind") == "resolution").select("source_id", readable_json(F.col("response")).alias("json"))
-    groups = readable.where(F.startswith("json", F.lit("{"))).select(
-        "source_id", F.posexplode(F.from_json("json", RESOLUTION)["duplicates"]).alias("g", "d")
+    found = bind(
+        readable_json(F.col("response")),
+        lambda j: F.when(F.startswith(j, F.lit("{")), F.from_json(j, RESOLUTION)["duplicates"]),
     )
+    groups = unfold(extractions.where(F.col("kind") == "resolution"), ["source_id"], found, "d", "g")
     named = groups.select("source_id", "g", F.col("d.canonical").alias("canonical"), F.posexplode("d.aliases").alias("a", "alias"))
     # An alias given twice keeps its last canonical name.
     return named.groupBy("source_id", F.lower("alias").alias("alias")).agg(F.max_by("canonical", F.struct("g", "a")).alias("canonical"))

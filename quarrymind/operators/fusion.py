@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrymind.functions import text as tx
+from quarrymind.functions.rows import unfold
 from quarrymind.operators.ranking import number_rows, top_k
 
 # Share of each source in weighted fusion, and of any other source.
@@ -127,7 +128,7 @@ def dedup_hits(hits: DataFrame, threshold: float = 0.9, content: str = "content"
         ).otherwise(F.concat(acc, F.array(h))),
     )
     listed = _listed(hits, content, [])
-    survivors = listed.select("query_id", F.posexplode(kept).alias("pos", "k")).select(
+    survivors = unfold(listed, ["query_id"], kept, "k", "pos").select(
         "query_id", F.col("k.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank")
     )
     return hits.drop("rank").join(survivors, ["query_id", "doc_id"])
@@ -164,7 +165,7 @@ def mmr(hits: DataFrame, k: int = 10, penalty: float = 0.3, content: str = "cont
 
     rounds = F.sequence(F.lit(1), F.least(F.lit(k), F.size("items")))
     chosen = F.aggregate(rounds, start, pick, lambda acc: acc["picked"])
-    survivors = listed.select("query_id", F.posexplode(chosen).alias("pos", "doc_id")).select(
+    survivors = unfold(listed, ["query_id"], chosen, "doc_id", "pos").select(
         "query_id", "doc_id", (F.col("pos") + 1).alias("rank")
     )
     return hits.drop("rank").join(survivors, ["query_id", "doc_id"])

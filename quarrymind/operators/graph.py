@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrymind.functions.rows import unfold
 from quarrymind.functions.text import two_decimals
 from quarrymind.operators.ranking import top_k
 from quarrymind.session import cut_lineage
@@ -218,7 +219,7 @@ def subgraph(centers: DataFrame, edges: DataFrame, radius: int = 2) -> tuple[Dat
         lambda a, b: F.struct(a.alias("src"), b.alias("dst")),
     )
     links = (
-        reached.where(F.size("path") > 1).select("query_id", F.explode(hops).alias("h"))
+        unfold(reached.where(F.size("path") > 1), ["query_id"], hops, "h")
         .select("query_id", "h.src", "h.dst", F.lit("relates_to").alias("edge_type")).distinct()
     )
     return reached, links
@@ -285,7 +286,7 @@ def edge_updates(feedback: DataFrame) -> DataFrame:
         ),
     ))
     links = F.when(F.col("action") == "reinforce", F.concat(concept_pairs, support)).otherwise(support)
-    return acted.select("feedback_id", "ts", "action", "delta", F.explode(links).alias("l")).select(
+    return unfold(acted, ["feedback_id", "ts", "action", "delta"], links, "l").select(
         "l.link", "l.a", "l.b", "action", "delta", "ts", "feedback_id"
     )
 

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymind.functions import text as tx
+from quarrymind.functions.rows import unfold
 from quarrymind.operators.ranking import top_k
 from quarrymind.session import cut_lineage
 
@@ -55,9 +56,8 @@ def bm25_search(
 
     Documents match with any query term, or with all of them for ``match='all'``.
     """
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms_of(col)).alias("terms")).select(
-        "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
-    )
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms_of(col)).alias("terms"))
+    wanted = unfold(asked, ["query_id", F.size("terms").alias("n_terms")], "terms", "term")
     stats = index.stats.select(F.struct("n_docs", "avgdl")).scalar()
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
     weighted = (
@@ -111,11 +111,9 @@ def substring_pairs(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     replaces comparing every string with every pattern.
     """
     piece = F.when(F.length("pattern") <= 3, F.array("pattern")).otherwise(_grams(F.col("pattern"), 3))
-    pieces = patterns.where(F.length("pattern") > 0).select("pattern", F.explode(F.array_distinct(piece)).alias("gram"))
-    string_grams = strings.select(
-        "string",
-        F.explode(F.array_distinct(F.concat(*[_grams(F.col("string"), n) for n in (1, 2, 3)]))).alias("gram"),
-    ).join(pieces.select("gram").distinct(), "gram", "left_semi")
+    pieces = unfold(patterns.where(F.length("pattern") > 0), ["pattern"], F.array_distinct(piece), "gram")
+    grams = F.array_distinct(F.concat(*[_grams(F.col("string"), n) for n in (1, 2, 3)]))
+    string_grams = unfold(strings, ["string"], grams, "gram").join(pieces.select("gram").distinct(), "gram", "left_semi")
     sizes = string_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         pieces.join(sizes, "gram", "left")
@@ -146,14 +144,12 @@ def keyword_fallback(
     token. Substring search therefore runs over the distinct tokens, and counts per
     document come from (token, document) pairs.
     """
-    kw = query_keywords(queries, query_id, query_col).select(
-        "query_id", F.size("keywords").alias("n_kw"), F.posexplode("keywords").alias("pos", "pattern")
+    kw = unfold(
+        query_keywords(queries, query_id, query_col), ["query_id", F.size("keywords").alias("n_kw")], "keywords", "pattern", "pos"
     )
+    counted = unfold(docs, [F.col(key).alias("doc_id")], tx.count_runs(tx.words(F.lower(F.col(col)))), "r")
     tokens = cut_lineage(
-        docs.select(F.col(key).alias("doc_id"), F.explode(tx.count_runs(tx.words(F.lower(F.col(col))))).alias("r")).select(
-            "doc_id", F.col("r.word").alias("string"), F.col("r.n").alias("tf")
-        ),
-        "tokens",
+        counted.select("doc_id", F.col("r.word").alias("string"), F.col("r.n").alias("tf")), "tokens"
     )
     pairs = substring_pairs(tokens.select("string").distinct(), kw.select("pattern").distinct())
     times = ((F.length("string") - F.length(F.replace(F.col("string"), F.col("pattern"), F.lit("")))) / F.length("pattern")).cast("int")
@@ -182,9 +178,8 @@ def find_by_substring(
 ) -> DataFrame:
     """Rows whose columns contain the query text, ignoring case; the first ``limit`` by key per query."""
     wanted = queries.select(F.col(query_id).alias("query_id"), F.lower(query_col).alias("pattern")).where(F.length("pattern") > 0)
-    rows = texts.select(
-        F.col(key).alias("_key"),
-        F.explode(F.array_distinct(F.array_compact(F.array(*[F.lower(c) for c in cols])))).alias("string"),
+    rows = unfold(
+        texts, [F.col(key).alias("_key")], F.array_distinct(F.array_compact(F.array(*[F.lower(c) for c in cols]))), "string"
     )
     pairs = substring_pairs(rows.select("string").distinct(), wanted.select("pattern").distinct())
     found = (
