@@ -115,6 +115,11 @@ def _listed(hits: DataFrame, content: str, extra: list[str]) -> DataFrame:
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
+def _may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Sets of too different a size cannot share that much; tested before comparing words."""
+    return F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * (threshold - 1e-9)
+
+
 def dedup_hits(hits: DataFrame, threshold: float = 0.9, content: str = "content") -> DataFrame:
     """Walk each query's ranked hits and drop those too similar to any kept before.
 
@@ -124,7 +129,7 @@ def dedup_hits(hits: DataFrame, threshold: float = 0.9, content: str = "content"
         "items",
         F.slice("items", 1, 0),
         lambda acc, h: F.when(
-            F.exists(acc, lambda k: tx.jaccard_sets(k["words"], h["words"]) >= threshold), acc
+            F.exists(acc, lambda k: _may_reach(k["words"], h["words"], threshold) & (tx.jaccard_sets(k["words"], h["words"]) >= threshold)), acc
         ).otherwise(F.concat(acc, F.array(h))),
     )
     listed = _listed(hits, content, [])

@@ -30,8 +30,8 @@ def terms_of(c: Column | str) -> Column:
 def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved: bool = True) -> LexicalIndex:
     """Count terms inside each document row, so building postings shuffles nothing.
 
-    With ``saved`` the postings are written once to the shared folder; the term and
-    length statistics and every search then read that table and not the texts.
+    With ``saved`` the postings and both statistics tables are written once to the shared
+    folder, and every search reads those and not the texts.
     """
     counted = docs.select(F.col(key).alias("doc_id"), terms_of(col).alias("terms")).select(
         "doc_id", F.size("terms").alias("dl"), tx.count_runs(F.col("terms")).alias("runs")
@@ -45,6 +45,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved:
     per_doc = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     stats = per_doc.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = postings.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
+    if saved:
+        terms, stats = cut_lineage(terms, "terms"), cut_lineage(stats, "stats")
     return LexicalIndex(postings, terms, stats)
 
 
@@ -112,8 +114,11 @@ def substring_pairs(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     piece = F.when(F.length("pattern") <= 3, F.array("pattern")).otherwise(_grams(F.col("pattern"), 3))
     pieces = unfold(patterns.where(F.length("pattern") > 0), ["pattern"], F.array_distinct(piece), "gram")
-    grams = F.array_distinct(F.concat(*[_grams(F.col("string"), n) for n in (1, 2, 3)]))
-    string_grams = unfold(strings, ["string"], grams, "gram").join(pieces.select("gram").distinct(), "gram", "left_semi")
+    lengths = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]  # at most 1, 2 and 3
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.col("string"), n) for n in lengths]))
+    string_grams = cut_lineage(
+        unfold(strings, ["string"], grams, "gram").join(pieces.select("gram").distinct(), "gram", "left_semi"), "grams"
+    )
     sizes = string_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         pieces.join(sizes, "gram", "left")

@@ -139,8 +139,8 @@ def vector_search(
         rows = _block_rows(dim)
         n_v, n_q = -(-v.count() // rows) or 1, -(-q.count() // rows) or 1
         spread = lambda df, c, n: F.pmod(F.xxhash64(c), F.lit(n))
-        v_blocks = v.withColumn("vb", spread(v, "doc_id", n_v)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
-        q_blocks = q.withColumn("qb", spread(q, "query_id", n_q)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).cast("long"))
+        v_blocks = v.withColumn("vb", spread(v, "doc_id", n_v)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+        q_blocks = q.withColumn("qb", spread(q, "query_id", n_q)).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
         hits = _scan_blocks(v_blocks, q_blocks, ["vb", "qb"], dim, k, skip_self)
     return _finish(hits, k, min_score)
 
@@ -192,7 +192,7 @@ def ivf_search(
     n_q = max(1, -(-q.count() // rows))
     q_blocks = probes.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
     if n_q > 1:
-        v_blocks = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+        v_blocks = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     else:
         v_blocks = v_blocks.withColumn("qb", F.lit(0).cast("long"))
     q_blocks = q_blocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
