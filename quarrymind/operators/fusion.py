@@ -1,6 +1,7 @@
 """Normalise, combine, de-duplicate and select ranked hits.
 
 Hits are long rows ``(query_id, source, rank, doc_id, score)`` and may carry ``content``.
+``rank`` is the place of a hit in its source's list for the query, from 1.
 """
 
 from __future__ import annotations
@@ -63,8 +64,7 @@ def fuse(
     fusion limit first.
     """
     if method == "rrf":
-        order = Window.partitionBy(*_LIST).orderBy("rank")
-        parts = hits.withColumn("norm", 1 / (F.lit(float(rrf_k)) + F.row_number().over(order)))
+        parts = hits.withColumn("norm", 1 / (F.lit(float(rrf_k)) + F.col("rank")))
         total = F.sum("norm")
     elif method == "max":
         parts = normalize_scores(hits, normalization) if normalization else hits.withColumn("norm", F.col("score"))
@@ -183,9 +183,8 @@ def apply_boosts(hits: DataFrame, boosts: dict[str, float], metadata: str = "met
         value = F.get_json_object(metadata, "$." + path.replace("metadata.", ""))
         truthy = value.isNotNull() & ~value.isin("", "false", "0", "0.0", "null", "[]", "{}")
         factor = factor * F.when(truthy, F.lit(float(boost))).otherwise(F.lit(1.0))
-    boosted = hits.withColumn(score, F.col(score) * factor)
-    order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("doc_id"))
-    return boosted.withColumn("rank", F.row_number().over(order))
+    boosted = hits.withColumn(score, F.col(score) * factor).drop("rank")
+    return number_rows(boosted, ["query_id"], -F.floor(F.col(score) * 1000), [F.col(score).desc(), F.col("doc_id")])
 
 
 def build_context(hits: DataFrame, max_tokens: int = 8000, content: str = "content") -> DataFrame:

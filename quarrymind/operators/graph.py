@@ -5,11 +5,11 @@ Edges are rows ``(edge_type, src, dst, weight, confidence, negative_signals)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymind.functions.rows import unfold
 from quarrymind.functions.text import two_decimals
-from quarrymind.operators.ranking import top_k
+from quarrymind.operators.ranking import number_rows, top_k
 from quarrymind.session import cut_lineage
 
 DECAY = 0.8
@@ -187,8 +187,8 @@ def rank_paths(paths: DataFrame, method: str = "weighted", nodes: DataFrame | No
         scored = paths.join(types, ["source", "target", "nodes"], "left").fillna({"total_score": 0.0})
     else:
         raise ValueError(f"unknown path ranking: {method}")
-    order = Window.partitionBy("source", "target").orderBy(F.col("total_score").desc(), "length", "nodes")
-    return scored.withColumn("rank", F.row_number().over(order))
+    order = [F.col("total_score").desc(), F.col("length"), F.col("nodes")]
+    return number_rows(cut_lineage(scored, "paths"), ["source", "target"], -F.floor(F.col("total_score") * 1000), order)
 
 
 def limit_depth(reached: DataFrame, max_depth: int) -> DataFrame:
@@ -312,30 +312,36 @@ def _compose(steps: Column) -> Column:
     )
 
 
-def fold_updates(updates: DataFrame, span: str = "HOUR") -> DataFrame:
-    """Fold steps per link in arrival order: per time span first, then over the spans."""
+def fold_updates(updates: DataFrame, spans: tuple[str, ...] = ("MINUTE", "DAY")) -> DataFrame:
+    """Fold steps per link in arrival order: inside short time spans, then over longer ones.
+
+    Each level lists what one link did in one span and replaces it by a single step, so
+    even a link named by very many rows never has them all in one place.
+    """
     up = F.col("action") == "reinforce"
-    step = F.struct(
-        "ts", "feedback_id", "delta",
-        F.col("delta").alias("shift"),
+    keys = ["link", "a", "b"]
+    level = updates.select(
+        *keys, "ts", "feedback_id", "delta", F.col("delta").alias("shift"),
         F.when(up, F.lit(float("-inf"))).otherwise(F.lit(WEIGHT_FLOOR)).alias("lo"),
         F.when(up, F.lit(WEIGHT_CAP)).otherwise(F.lit(float("inf"))).alias("hi"),
         F.when(up, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("weakened"),
+        F.when(up, F.col("ts")).alias("last_reinforced"), F.when(~up, F.col("ts")).alias("last_weakened"),
     )
-    by_span = (
-        updates.withColumn("_span", F.date_trunc(span, "ts"))
-        .groupBy("link", "a", "b", "_span")
-        .agg(F.sort_array(F.collect_list(step)).alias("steps"), F.max(F.when(up, F.col("ts"))).alias("last_reinforced"), F.max(F.when(~up, F.col("ts"))).alias("last_weakened"))
-        .withColumn("m", _compose(F.col("steps")))
-    )
-    whole = by_span.groupBy("link", "a", "b").agg(
-        F.sort_array(F.collect_list(F.struct("_span", "m.shift", "m.lo", "m.hi", "m.weakened"))).alias("steps"),
-        F.max("last_reinforced").alias("last_reinforced"), F.max("last_weakened").alias("last_weakened"),
-    )
-    return whole.withColumn("m", _compose(F.col("steps"))).select(
-        "link", "a", "b", F.col("m.shift").alias("shift"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"),
-        F.col("m.weakened").alias("weakened"), "last_reinforced", "last_weakened",
-    )
+    order = ["ts", "feedback_id", "delta"]
+    for span in (*spans, None):
+        within = [F.date_trunc(span, "ts").alias("_span")] if span else []
+        listed = level.groupBy(*keys, *within).agg(
+            F.sort_array(F.collect_list(F.struct(*order, "shift", "lo", "hi", "weakened"))).alias("steps"),
+            F.max("last_reinforced").alias("last_reinforced"), F.max("last_weakened").alias("last_weakened"),
+        )
+        folded = listed.withColumn("m", _compose(F.col("steps")))
+        level = folded.select(
+            *keys, *([F.col("_span").alias("ts")] if span else []),
+            F.col("m.shift").alias("shift"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"),
+            F.col("m.weakened").alias("weakened"), "last_reinforced", "last_weakened",
+        )
+        order = ["ts"]
+    return level
 
 
 def apply_updates(edges: DataFrame, updates: DataFrame) -> DataFrame:

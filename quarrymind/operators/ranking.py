@@ -38,7 +38,7 @@ def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
 
 def ewma(
     df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, tuple[Column, float, float | None]],
-    extra: list[Column] | None = None, span: str = "DAY",
+    extra: list[Column] | None = None, span: str = "HOUR",
 ) -> DataFrame:
     """Exponentially weighted means per key in arrival order, as ordinary aggregates.
 

@@ -21,6 +21,7 @@ from quarrymind.session import fits
 
 MAX_BROADCAST_VALUES = 4_000_000  # 32 MB of doubles
 BLOCK_ROWS = 8192
+QUERY_ROWS = 512  # queries scored at once, which bounds the score matrix
 
 
 
@@ -78,8 +79,10 @@ def _scan_with_broadcast(vectors: DataFrame, queries: DataFrame, dim: int, k: in
         for batch in batches:
             mat, at = _matrix(batch.column("embedding"), dim)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
-            if len(ids) and len(qids):
-                yield _best(qids, queries_matrix, ids, mat, k, skip_self, arrow)
+            if len(ids):
+                for i in range(0, len(qids), QUERY_ROWS):
+                    part = slice(i, i + QUERY_ROWS)
+                    yield _best(qids[part], queries_matrix[part], ids, mat, k, skip_self, arrow)
 
     return vectors.select("doc_id", "embedding").mapInArrow(score, schema)
 
@@ -95,10 +98,8 @@ def _scan_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], dim: i
         if not len(at) or not len(used):
             return arrow.empty_table()
         ids, qids = left["doc_id"].to_numpy()[at], right["query_id"].to_numpy()[used]
-        step = 512
-        return pa.Table.from_batches(
-            [_best(qids[i:i + step], qmat[i:i + step], ids, mat, k, skip_self, arrow) for i in range(0, len(qids), step)]
-        )
+        parts = (slice(i, i + QUERY_ROWS) for i in range(0, len(qids), QUERY_ROWS))
+        return pa.Table.from_batches([_best(qids[p], qmat[p], ids, mat, k, skip_self, arrow) for p in parts])
 
     return (
         vectors.select(*keys, "doc_id", "embedding").groupBy(*keys)
@@ -186,6 +187,7 @@ def ivf_search(
         centers, q, nprobe, -1.0, key="cell", col="center", query_id="query_id", query_col="embedding"
     ).select("query_id", F.col("doc_id").cast("int").alias("cell"))
     rows = _block_rows(dim)
+    # One row per cell, so never more rows than cells were asked for.
     sizes = v.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("long").alias("n_blocks"))
     v_blocks = v.join(F.broadcast(sizes), "cell").withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")))
     probes = center_queries.join(q, "query_id").join(F.broadcast(sizes), "cell")

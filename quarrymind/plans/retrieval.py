@@ -121,14 +121,15 @@ def context_for(queries: DataFrame, corpus: Corpus, max_tokens: int = 8000, mode
     return fusion.build_context(hybrid_retrieve(queries, corpus, mode, max(max_tokens // 500, 3)), max_tokens)
 
 
-def retrieve_with_strategy(queries: DataFrame, corpus: Corpus, max_k: int = 30) -> DataFrame:
+def retrieve_with_strategy(queries: DataFrame, corpus: Corpus) -> DataFrame:
     """Hits for queries that carry retrieval settings (see ``routing.strategy_for``).
 
     Vector hits must reach 0.8 of the minimum score; both text sources pass the type
     preference; graph-enhanced queries also start a walk from the concepts found. Sources
     are fused with the query's own weights, near-copies dropped, and ``top_k`` kept.
-    Metadata-only queries get exercise listings instead. ``max_k`` bounds ``top_k``.
+    Metadata-only queries get exercise listings instead.
     """
+    max_k = queries.agg(F.max("top_k")).first()[0] or 1
     settings = queries.select(
         "query_id", "top_k", "min_score", "chunk_type_filter", "strategy", "expand_concepts",
         "vector_weight", "bm25_weight", "graph_weight",

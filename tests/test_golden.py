@@ -267,3 +267,41 @@ def test_upsert_and_partial_update(spark):
     assert sorted(map(tuple, tables.upsert(base, new, ["k"], "ver").collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 1)]
     part = spark.createDataFrame([(1, None, 5), (2, "z", 6)], "k int, v string, ver int")
     assert sorted((r.k, r.v) for r in tables.merge_update(base, part, ["k"], "ver").collect()) == [(1, "a"), (2, "z")]
+
+
+def test_strategy_retrieval_on_a_small_corpus(spark):
+    """Every settings row against a brute-force rendering of the same rules."""
+    from quarrymind.operators import lexical, routing
+    from quarrymind.plans import retrieval as rp
+
+    kinds = ["exercise", "worked_example", "chunk"]
+    words = ["alpha", "beta", "gamma", "delta"]
+    chunks = [(f"chunk:{i}", f"{words[i % 4]} {words[(i + 1) % 4]} note{i} item{i}", '{"chunk_type": "%s", "title": "T%d"}' % (kinds[i % 3], i)) for i in range(12)]
+    vectors = [(f"chunk:{i}", [float(i % 5) + 1, float(i % 3), 1.0]) for i in range(12)]
+    docs = spark.createDataFrame(chunks, "chunk_id string, content string, metadata string")
+    nodes = spark.createDataFrame([("concept:1", "concept", "zzz", "nothing here")], "node_id string, node_type string, name string, description string")
+    edges = spark.createDataFrame([("relates_to", "concept:1", "concept:2", 1.0, 0.8, 0)], "edge_type string, src string, dst string, weight double, confidence double, negative_signals int")
+    corpus = rp.Corpus(lexical.build_index(docs, "chunk_id", "content"), spark.createDataFrame(vectors, "chunk_id string, embedding array<float>"), docs, nodes, edges)
+    asked = spark.createDataFrame([(0, "alpha beta", [1.0, 0.0, 0.0], "practice"), (1, "gamma", [1.0, 2.0, 1.0], "exercise_list")], "query_id long, text string, embedding array<float>, mode string")
+    rows = rp.retrieve_with_strategy(routing.strategy_for(asked, "basic"), corpus).collect()
+
+    kind_of = {c: kinds[i % 3] for i, (c, _, _) in enumerate(chunks)}
+    listed = [r for r in rows if r.query_id == 1]
+    assert listed and all(kind_of[r.doc_id] == "exercise" and r.content == "" and r.exercise_title.startswith("T") for r in listed)
+
+    query = asked.where("query_id = 0")
+    lists = {}
+    for source, found in (("vector", rp.vector_hits(query, corpus, 20)), ("bm25", rp.bm25_hits(query, corpus, 20))):
+        got = [(r.doc_id, r.score) for r in found.orderBy("rank").collect() if source == "bm25" or r.score >= 0.24]
+        preferred = [(d, s) for d, s in got if kind_of[d] == "worked_example"]
+        lists[source] = preferred or got
+    total = {}
+    for source, weight in (("vector", 0.4), ("bm25", 0.3)):
+        scores = [s for _, s in lists[source]]
+        low, high = min(scores), max(scores)
+        for d, s in lists[source]:
+            total[d] = total.get(d, 0.0) + weight * (0.5 if high == low else (s - low) / (high - low))
+    want = sorted(total.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+    got = [(r.doc_id, r.final_score) for r in sorted((r for r in rows if r.query_id == 0), key=lambda r: r["rank"])]
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
