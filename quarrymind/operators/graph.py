@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarrymind.functions.rows import unfold
 from quarrymind.functions.text import two_decimals
 from quarrymind.operators.ranking import number_rows, top_k
-from quarrymind.session import cut_lineage
+from quarrymind.session import cut_lineage, small_side
 
 DECAY = 0.8
 MAX_DEPTH = 3
@@ -85,7 +85,10 @@ def expand(
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "depth", "path")).alias("b"))
         .select("query_id", "node_id", (-F.col("b.s")).alias("score"), F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
     )
-    return top_k(best, ["query_id"], [F.col("score").desc(), F.col("depth"), F.col("node_id")], max_nodes)
+    # Stored, so that what is joined to the few reached nodes need not move.
+    return cut_lineage(
+        top_k(best, ["query_id"], [F.col("score").desc(), F.col("depth"), F.col("node_id")], max_nodes), "reached"
+    )
 
 
 def evidence(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -206,7 +209,7 @@ def prune(reached: DataFrame, min_score: float = 0.1) -> DataFrame:
 def related(concepts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = 10, types: tuple[str, ...] | None = None) -> DataFrame:
     """Strongest neighbours of each concept with their type, weight and name."""
     asked = concepts.select("node_id").distinct()
-    found = neighbors(edges, types).join(asked, "node_id", "left_semi").distinct()
+    found = neighbors(edges, types).join(small_side(asked), "node_id", "left_semi").distinct()
     named = found.join(nodes.select(F.col("node_id").alias("neighbor_id"), "name"), "neighbor_id")
     return top_k(named, ["node_id"], [F.col("weight").desc(), F.col("neighbor_id"), F.col("edge_type")], limit)
 
@@ -346,7 +349,7 @@ def fold_updates(updates: DataFrame, spans: tuple[str, ...] = ("MINUTE", "DAY"))
 
 def apply_updates(edges: DataFrame, updates: DataFrame) -> DataFrame:
     """Edges with every update applied in arrival order; links without an edge are ignored."""
-    folded = fold_updates(updates)
+    folded = cut_lineage(fold_updates(updates), "folded")
     link = F.when(F.col("edge_type") == EVIDENCE, "evidence").otherwise("concept")
     is_evidence = F.col("edge_type") == EVIDENCE
     keyed = edges.withColumn("link", link).withColumn(

@@ -9,19 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarrymind.functions import text as tx
 from quarrymind.functions.rows import unfold
 from quarrymind.operators.ranking import top_k
-from quarrymind.session import cut_lineage, fits
+from quarrymind.session import cut_lineage, small_side
 
 K1 = 1.2
 B = 0.75
-MAX_BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``df`` marked for broadcast when ``rows``, which bounds its size, is counted to be small.
-
-    The other side is then read in place. Otherwise the join shuffles both sides.
-    """
-    return F.broadcast(df) if fits(df if rows is None else rows, MAX_BROADCAST_ROWS) else df
 
 
 class LexicalIndex(NamedTuple):
@@ -78,7 +69,7 @@ def bm25_search(
     )
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = (
-        index.postings.join(_small(weighted, wanted), "term")
+        index.postings.join(small_side(weighted, wanted), "term")
         .groupBy("query_id", "doc_id")
         .agg(
             F.round(F.sum(F.col("idf") * tf), 9).alias("score"),
@@ -126,7 +117,7 @@ def substring_pairs(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     lengths = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]  # at most 1, 2 and 3
     grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.col("string"), n) for n in lengths]))
     string_grams = cut_lineage(
-        unfold(strings, ["string"], grams, "gram").join(_small(pieces.select("gram").distinct()), "gram", "left_semi"), "grams"
+        unfold(strings, ["string"], grams, "gram").join(small_side(pieces.select("gram").distinct()), "gram", "left_semi"), "grams"
     )
     sizes = string_grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (

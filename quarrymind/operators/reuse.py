@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrymind.operators.ranking import as_of, first_per_key
+from quarrymind.session import small_side
 
 ANSWER_TTL, EMBEDDING_TTL = 3600, 86400
 
@@ -54,7 +55,7 @@ def invalidate(
     """Answers left after dropping the given keys and everything with one of the tags."""
     left = answers
     if keys is not None:
-        left = left.join(keys.select("answer_key").distinct(), "answer_key", "left_anti")
+        left = left.join(small_side(keys.select("answer_key").distinct()), "answer_key", "left_anti")
     gone = [*(tags or []), *[f"concept:{c}" for c in concepts or []], *[f"doc:{d}" for d in documents or []]]
     if gone:
         left = left.where(~F.arrays_overlap("tags", F.array(*[F.lit(t) for t in gone])))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrymind.session import small_side
+
 # Model limits as (model, provider, context window, most output, default output).
 MODELS = [
     ("gpt-5.2", "openai", 400_000, 32_768, 4_096),
@@ -61,13 +63,13 @@ def merge_update(base: DataFrame, changes: DataFrame, keys: list[str], version:
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges left after removing ``ids(node_id)`` and every edge that touches them."""
-    gone = ids.select("node_id").distinct()
+    gone = small_side(ids.select("node_id").distinct())
     left = edges.join(gone, edges["src"] == gone["node_id"], "left_anti")
     return nodes.join(gone, "node_id", "left_anti"), left.join(gone, left["dst"] == gone["node_id"], "left_anti")
 
 
 def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
-    return edges.join(keys.select("src", "edge_type", "dst").distinct(), ["src", "edge_type", "dst"], "left_anti")
+    return edges.join(small_side(keys.select("src", "edge_type", "dst").distinct()), ["src", "edge_type", "dst"], "left_anti")
 
 
 def list_sources(sources: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,6 +60,17 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MAX_BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast when ``rows``, which bounds its size, is counted to be small.
+
+    The other side of the join is then read in place. Otherwise the join shuffles both.
+    """
+    return F.broadcast(df) if fits(df if rows is None else rows, MAX_BROADCAST_ROWS) else df
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows

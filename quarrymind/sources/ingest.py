@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from quarrymind.functions import text as tx
 from quarrymind.operators import chunking as ch
 from quarrymind.operators import documents as dm
-from quarrymind.session import cut_lineage
+from quarrymind.session import cut_lineage, small_side
 
 MAX_ATTEMPTS = 3
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -54,7 +54,7 @@ def ingest(
 
 def reprocess(docs: DataFrame, ids: DataFrame, key: str = "source_id", **options) -> Ingested:
     """Ingest again the documents whose id is in ``ids``."""
-    return ingest(docs.join(ids.select(key).distinct(), key, "left_semi"), key, **options)
+    return ingest(docs.join(small_side(ids.select(key).distinct()), key, "left_semi"), key, **options)
 
 
 def write_ingested(result: Ingested, base: str) -> None:
