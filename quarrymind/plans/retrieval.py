@@ -68,6 +68,11 @@ def contents(corpus: Corpus) -> DataFrame:
     )
 
 
+def _with_content(hits: DataFrame, corpus: Corpus) -> DataFrame:
+    """Hits with their text; one whose text is not stored keeps its place with an empty one."""
+    return hits.join(contents(corpus), "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
 def hybrid_retrieve(
     queries: DataFrame, corpus: Corpus, mode: str = "hybrid", k: int = 10, weights: dict[str, float] | None = None,
     method: str = "weighted",
@@ -94,11 +99,11 @@ def hybrid_retrieve(
     hits = cut_lineage(hits, "hits")
     if len(parts) == 1:
         own = hits.where(F.col("rank") <= k).withColumnRenamed("score", "final_score")
-        return own.join(contents(corpus), "doc_id")
+        return _with_content(own, corpus)
     if mode == "adaptive":
         hits = hits.join(fusion.adapt_weights(hits, weights), "query_id")
     fused = cut_lineage(fusion.fuse(hits, method, weights, max_results=k * 3), "fused")
-    return fusion.dedup_hits(fused.join(contents(corpus), "doc_id")).where(F.col("rank") <= k)
+    return fusion.dedup_hits(_with_content(fused, corpus)).where(F.col("rank") <= k)
 
 
 def quick_search(queries: DataFrame, corpus: Corpus, k: int = 5) -> DataFrame:
@@ -146,7 +151,7 @@ def retrieve_with_strategy(queries: DataFrame, corpus: Corpus) -> DataFrame:
         .where((F.col("source") != "vector") | (F.col("score") >= needed))
         .where(~listing | (F.col("source") == "vector"))
     ), "hits")
-    kept = ht.filter_chunk_type(ht.to_hits(text_hits.join(described, "doc_id")), F.col("chunk_type_filter"), listing, ["query_id", "source"])
+    kept = ht.filter_chunk_type(ht.to_hits(text_hits.join(described, "doc_id", "left")), F.col("chunk_type_filter"), listing, ["query_id", "source"])
     place = Window.partitionBy("query_id").orderBy(F.col("source").desc(), "rank")
     positioned = kept.withColumn("position", F.row_number().over(place))
     enhanced = (F.col("strategy") == "graph_enhanced") & F.col("expand_concepts")
@@ -164,7 +169,7 @@ def retrieve_with_strategy(queries: DataFrame, corpus: Corpus) -> DataFrame:
     fused = fusion.fuse(pool, max_results=max_k * 3).join(weights.select("query_id", "top_k"), "query_id").where(
         F.col("rank") <= F.col("top_k") * 3
     )
-    best = fusion.dedup_hits(cut_lineage(fused, "fused").join(contents(corpus), "doc_id")).where(F.col("rank") <= F.col("top_k"))
+    best = fusion.dedup_hits(_with_content(cut_lineage(fused, "fused"), corpus)).where(F.col("rank") <= F.col("top_k"))
     listed = ht.exercise_listing(kept.where(listing).drop("rank"), F.col("top_k"), max_k * 2)
     shared = ["query_id", "doc_id", "rank", "final_score", "content", "exercise_title", "difficulty"]
     return best.withColumns({"exercise_title": F.lit(None).cast("string"), "difficulty": F.lit(None).cast("string")}).select(*shared).unionByName(
