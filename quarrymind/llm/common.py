@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrymind.session import cut_lineage
 
-__all__ = ["blank", "crc_bucket", "cut_lineage", "read_table", "slices", "texts", "utf8"]
+__all__ = ["Remembered", "blank", "crc_bucket", "cut_lineage", "gathered", "in_worker", "read_table", "slices", "texts", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +44,50 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column, without decoding it first."""
     return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """An object that lives as long as its Python worker; later tasks of the worker find it again."""
+    home = sys.modules.setdefault("_quarrymind_worker", types.ModuleType("_quarrymind_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
+class Remembered(dict):
+    """Numbers of the strings seen, and a run of token ids for each: ``encode`` is called once per string.
+
+    ``look`` gives numbers, ``settle`` encodes what is new, and then :func:`gathered` joins the runs. At ``limit`` strings all is forgotten.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
+        super().__init__()
+        self.encode, self.limit, self.new = encode, limit, []
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def settle(self) -> None:
+        if self.new:
+            flat, size = self.encode(self.new)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.new = []
+
+    def forget(self) -> None:
+        """Call between batches."""
+        if len(self) >= self.limit:
+            self.clear()
+            self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+
+def gathered(store: Remembered, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the numbered strings one after another, and how many each has."""
+    size = store.size[numbers]
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(store.start[numbers] - ends + size, size)
+    return store.flat[at], size
