@@ -167,13 +167,25 @@ def literal_rules(rules: list[Rule]) -> Column:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def any_of(words: list[str]) -> str:
+    """An expression for any of the words that shares their common beginnings, so that few branches are tried at each place."""
+    ends, by_first = "" in words, {}
+    for word in words:
+        if word:
+            by_first.setdefault(word[0], []).append(word[1:])
+    branches = [first + any_of(rest) for first, rest in sorted(by_first.items())]
+    if not branches:
+        return ""
+    return branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})" + "?" * ends
+
+
 def gate(rules: list[Rule]) -> str:
     """One expression for texts that hold any rule's keyword, or any base phrase, as whole words."""
     words = {r.keyword for r in rules} | {p.split()[0] for p in BASE}
     # These two are no signs of a license by themselves.
     after = {"cc": "by", "all": "rights"}
-    parts = [rf"{w}[{SEPARATORS}]+{after[w]}" if w in after else w for w in sorted(words)]
-    return rf"(?i)(?<![^{SEPARATORS}])(?:{'|'.join(parts)})(?![^{SEPARATORS}])"
+    pairs = [rf"{w}[{SEPARATORS}]+{then}" for w, then in after.items()]
+    return rf"(?i)(?<![^{SEPARATORS}])(?:{any_of(sorted(words - set(after)))}|{'|'.join(pairs)})(?![^{SEPARATORS}])"
 
 
 def normalised(text: Column) -> Column:
