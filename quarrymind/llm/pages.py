@@ -231,21 +231,29 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         return out
 
     near = {same: (nearest(range(n), same), nearest(range(n - 1, -1, -1), same)) for same in (True, False)}
+    good_homes = {b.inside for b, label in zip(found, labels) if label == GOOD}
     kept = []
     for i, label in enumerate(labels):
         if label in (GOOD, BAD):
             kept.append(label == GOOD)
             continue
+        home = found[i].inside
         before, after = near[True][0][i], near[True][1][i]
+        if home and (home not in good_homes or found[i].heading and before is None):
+            # An article of short blocks is good as it stands, and so is its title.
+            kept.append(True)
+            continue
         if before is None and after is None:
-            if found[i].inside or not decided or not homes and not any(labels[k] == GOOD for k in decided):
+            if not decided or not homes and not any(labels[k] == GOOD for k in decided):
                 kept.append(True)
                 continue
             before, after = near[False][0][i], near[False][1][i]
         sides = {labels[k] for k in (before, after) if k is not None}
         if len(sides) == 1:
             kept.append(sides == {GOOD})
-        elif label == NEAR or found[i].heading and after is not None and labels[after] == GOOD:
+        elif found[i].heading:
+            kept.append(labels[after] == GOOD)
+        elif label == NEAR:
             kept.append(True)
         else:
             kept.append(labels[before if i - before <= after - i else after] == GOOD)

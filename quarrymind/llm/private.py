@@ -82,7 +82,7 @@ WINDOW = 512
 KEY_WORDS = frozenset(["password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "access_key", "auth"])
 
 SHAPES = (
-    "bias", "lower", "capital", "digits", "digits_long", "digits_group", "mixed", "hex_long", "at", "dots", "dotted_numbers", "plus",
+    "bias", "lower", "capital", "digits", "digits_few", "digits_long", "digits_group", "mixed", "hex_long", "at", "dots", "dotted_numbers", "plus",
     "brackets", "dash_digits", "equals", "quote", "key_word", "key_value", "symbol", "other",
 )
 SHAPE_NUMBER = {name: i for i, name in enumerate(SHAPES)}
@@ -104,7 +104,7 @@ def shape(word: str) -> int:
             names.add("quote")
         return sum(1 << SHAPE_NUMBER[n] for n in names)
     if digits and digits == len(core):
-        names.add("digits_long" if digits >= 12 else "digits_group" if digits in (3, 4) else "digits")
+        names.add("digits_long" if digits >= 12 else "digits_few" if digits < 3 else "digits_group" if digits < 5 else "digits")
     elif digits and any(c.isalpha() for c in core):
         names.add("mixed")
     if digits and digits < len(core) and HEX.search(core) and any(c.isalpha() for c in HEX.search(core)[0]):
@@ -285,6 +285,17 @@ def labelled_lines() -> list[tuple[list[str], list[str]]]:
         "und das ist ein Wort mit 3 Zahlen 100",
         "la casa de la calle 25 es azul",
         "le 14 juillet 1789, page 12",
+        "w12 w7 x9 a1b2 w300 the w45 w6",
+        "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10",
+        "lines 7 8 9 10 11 12 of 13",
+        "1 2 3 4 5 6 7 8 9 10",
+        "rows 100 200 300 400 500 and 6000 7000 8000",
+        "Q3 2024 and H1 2025 beat 4K and 8K",
+        "x = 5 and y = 10 then z = 15",
+        "id 123456 and 7890123 and 45678 are numbers",
+        "part a12f9 of b7 with c0ffee in it",
+        "(12) and (300) or [45] (see 7.1)",
+        "-5 -12 -300 +4 +17 degrees",
     ]
     out = []
     for line in marked:
@@ -357,6 +368,13 @@ def field_spans(batch: Sequence[str], field: Field, shapes: Shapes, lines_at_onc
     return found
 
 
+# The least that a span of each kind holds, so that a wrong guess of the field on unseen shapes does no harm.
+LEAST = {
+    "email": re.compile(r"[^@]@[^@]"), "ip": re.compile(r"(?:[0-9]+\D){3}[0-9]"), "card": re.compile(r"(?:[0-9][^0-9]?){12}"),
+    "phone": re.compile(r"(?:[0-9][^0-9]{0,3}){7}"), "secret": re.compile(r"(?=.*[0-9])[^ ]{8}"),
+}
+
+
 def trimmed(text: str, start: int, end: int, kind: str) -> Span:
     while end > start and text[end - 1] in EDGE:
         end -= 1
@@ -379,7 +397,7 @@ def all_spans(batch: Sequence[str], field: Field, shapes: Shapes) -> list[tuple[
             while k < len(taken) and taken[k][0] < span.end:
                 reach = max(reach, taken[k][1])
                 k += 1
-            if span.end > span.start >= reach:
+            if span.end > span.start >= reach and LEAST[span.kind].search(text, span.start, span.end):
                 added.append(span)
                 reach = max(reach, span.end)
         out.append((base, sorted([*base, *added], key=lambda s: (s.start, ORDER.index(s.kind), s.end))))
