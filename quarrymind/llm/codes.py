@@ -13,16 +13,18 @@ Null and empty texts are one end id. Repeated rows are written one by one. Furth
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quarrymind.llm.common import Remembered, blank, cut_lineage, gathered, in_worker, read_table, slices, texts
+from quarrymind.llm.common import LATER, Remembered, blank, cut_lineage, in_worker, read_table, runs, slices, texts
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -104,44 +106,66 @@ class Codes:
 
 # A space after a character that is no white space begins a new token under the tokenizer's pattern, whatever surrounds it.
 AFTER_TEXT = re.compile(r"(?<=\S) ")
-OPEN_SPACE = re.compile(r"\s ")
+SPACES = re.compile(r"\s\s")
+SPACE = re.compile(r"\s")
+LINE_END = "\n"
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, by the tokenizers library; pieces between spaces are encoded once per worker."""
+    """Byte-level BPE ids of whole texts, by the tokenizers library; pieces between spaces are encoded once per worker.
+
+    New pieces go to the library in lines: a line end is a token of its own beside a piece without white space.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.later = Remembered(self.encode), Remembered(lambda pieces: self.encode([" " + p for p in pieces]))
-
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for run in ids for i in run), np.int32, int(size.sum())), size
+        (self.line_end,) = self.ids([LINE_END])[0]
+        self.first, self.later = Remembered(self.encode), Remembered(lambda pieces: self.encode(pieces, " "), LATER)
+
+    def ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(self, pieces: list[str], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        spaced = [n for n, p in enumerate(pieces) if SPACE.search(p)] if SPACE.search("".join(pieces)) else []
+        if spaced:
+            taken = set(spaced)
+            own = self.ids([lead + pieces[n] for n in spaced])
+            plain, sizes = self.encode([p for n, p in enumerate(pieces) if n not in taken], lead)
+            runs = np.split(plain, np.cumsum(sizes))[:-1]
+            for n, run in zip(spaced, own):
+                runs.insert(n, np.array(run, np.int32))
+            return np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs))
+        between = LINE_END + lead
+        lines = [lead + between.join(pieces[i : i + 64]) + LINE_END for i in range(0, len(pieces), 64)]
+        stream = np.fromiter(chain.from_iterable(self.ids(lines)), np.int32)
+        ends = stream == self.line_end
+        return stream[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
 
     def __call__(self, batch: Sequence[str]) -> list[np.ndarray]:
         self.first.forget()
         self.later.forget()
-        first, later, sizes = [], [], []
+        first, later, numbers, counts = self.first.__getitem__, self.later.__getitem__, [], []
         for text in batch:
-            head, *rest = AFTER_TEXT.split(text) if OPEN_SPACE.search(text) else text.split(" ")
-            first.append(self.first[head])
-            later += map(self.later.__getitem__, rest)
-            sizes.append(len(rest))
-        self.first.settle()
-        self.later.settle()
-        heads, head_sizes = gathered(self.first, np.array(first, np.int64))
-        tails, tail_sizes = gathered(self.later, np.array(later, np.int64))
-        head_ends = np.cumsum(head_sizes)
-        ends = np.concatenate([[0], np.cumsum(tail_sizes)])[np.cumsum(sizes)]
-        out, a, b = [], 0, 0
-        for c, d in zip(head_ends, ends):
-            out.append(np.concatenate([heads[a:c], tails[b:d]]))
-            a, b = c, d
-        return out
+            at = len(numbers)
+            if SPACES.search(text):
+                head, *rest = AFTER_TEXT.split(text)
+                numbers.append(first(head))
+                numbers += map(later, rest)
+            else:
+                # White space stands alone everywhere, so a line end is a token of its own, too.
+                for i, line in enumerate(text.split(LINE_END)):
+                    head, *rest = line.split(" ")
+                    if i:
+                        numbers.append(first(LINE_END))
+                    numbers.append(first(head))
+                    numbers += map(later, rest)
+            counts.append(len(numbers) - at)
+        return runs(self.first, self.later, numbers, counts)
 
 
 def byte_bpe(path: str) -> Callable[[], Encoder]:

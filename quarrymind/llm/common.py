@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrymind.session import cut_lineage
 
-__all__ = ["Remembered", "blank", "crc_bucket", "cut_lineage", "gathered", "in_worker", "read_table", "slices", "texts", "utf8"]
+__all__ = ["LATER", "Remembered", "blank", "crc_bucket", "cut_lineage", "in_worker", "read_table", "runs", "slices", "texts", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,16 +57,17 @@ def in_worker(name: str, make: Callable[[], Any]) -> Any:
 class Remembered(dict):
     """Numbers of the strings seen, and a run of token ids for each: ``encode`` is called once per string.
 
-    ``look`` gives numbers, ``settle`` encodes what is new, and then :func:`gathered` joins the runs. At ``limit`` strings all is forgotten.
+    Looking a string up gives its number, from ``base`` on; ``settle`` encodes what is new, and then :func:`runs` joins the ids. At
+    ``limit`` strings all is forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], base: int = 0, limit: int = 1_000_000):
         super().__init__()
-        self.encode, self.limit, self.new = encode, limit, []
+        self.encode, self.base, self.limit, self.new = encode, base, limit, []
         self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
+        self[key] = number = self.base + len(self)
         self.new.append(key)
         return number
 
@@ -85,9 +86,21 @@ class Remembered(dict):
             self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
 
-def gathered(store: Remembered, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of the numbered strings one after another, and how many each has."""
-    size = store.size[numbers]
+LATER = 1 << 40
+
+
+def runs(first: Remembered, later: Remembered, numbers: list[int], counts: list[int]) -> list[np.ndarray]:
+    """Token ids of each text, given the numbers of all texts' strings in order and how many each text has. Numbers from
+    ``LATER`` on belong to the store ``later``, which has that base."""
+    first.settle()
+    later.settle()
+    which = np.array(numbers, np.int64)
+    size, start, ids = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), np.concatenate([first.flat, later.flat])
+    second = which >= LATER
+    for store, mine, shift in ((first, ~second, 0), (later, second, len(first.flat))):
+        own = which[mine] - store.base
+        size[mine], start[mine] = store.size[own], store.start[own] + shift
     ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(store.start[numbers] - ends + size, size)
-    return store.flat[at], size
+    flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+    cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+    return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymind.llm.common import Remembered, blank, gathered, in_worker, read_table, slices, texts
+from quarrymind.llm.common import LATER, Remembered, blank, in_worker, read_table, runs, slices, texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -262,43 +262,31 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.first = Remembered(vocabulary.segment)
-        self.later = Remembered(lambda parts: vocabulary.segment([MARK + p for p in parts]))
+        self.later = Remembered(lambda parts: vocabulary.segment([MARK + p for p in parts]), LATER)
 
     def __call__(self, batch: Sequence[str]) -> list[np.ndarray]:
         self.first.forget()
         self.later.forget()
-        plain, marked, numbers, sizes = self.first.__getitem__, self.later.__getitem__, [], []
+        plain, marked, numbers, counts = self.first.__getitem__, self.later.__getitem__, [], []
         for text in batch:
             at = len(numbers)
             if not text:
                 pass
-            elif MARK in text or "  " in text or text[0] == " " or " \n" in text or text[-1] == " ":
+            elif MARK in text or "  " in text or text[0] == " " or " \n" in text or "\n " in text or text[-1] == " ":
                 numbers += map(plain, PART.findall(MARK + text.replace(" ", MARK)))
             else:
-                # Numbers of marked parts are told apart by their sign.
                 line_end = plain("\n")
                 for i, line in enumerate(text.split("\n")):
+                    head, *rest = line.split(" ")
                     if i:
                         numbers.append(line_end)
-                    head, *rest = line.split(" ")
-                    if head:
-                        numbers.append(plain(head) if i else ~marked(head))
-                    elif not i:
-                        numbers.append(plain(MARK))
-                    numbers += [~marked(p) for p in rest] if head else map(plain, PART.findall(line.replace(" ", MARK)))
-            sizes.append(len(numbers) - at)
-        self.first.settle()
-        self.later.settle()
-        all_of = np.array(numbers, np.int64)
-        later = all_of < 0
-        size = np.zeros(len(all_of), np.int64)
-        size[~later], size[later] = self.first.size[all_of[~later]], self.later.size[~all_of[later]]
-        ids = np.empty(int(size.sum()), np.int32)
-        where = np.repeat(later, size)
-        ids[~where] = gathered(self.first, all_of[~later])[0]
-        ids[where] = gathered(self.later, ~all_of[later])[0]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *sizes])]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                        if head:
+                            numbers.append(plain(head))
+                    else:
+                        numbers.append(marked(head))
+                    numbers += map(marked, rest)
+            counts.append(len(numbers) - at)
+        return runs(self.first, self.later, numbers, counts)
 
 
 def load(path: str, zipf: bool = True) -> Vocabulary:
