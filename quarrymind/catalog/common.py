@@ -4,16 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Tables whose rows carry long values; a single small file is spread over the cores.
-WIDE = {"documents", "pages", "conversations", "embeddings", "benchmark"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(index, values: list) -> F.Column:
@@ -82,7 +74,7 @@ def signals_of(e: DataFrame) -> DataFrame:
         F.col("event_id").alias("signal_id"), "signal_type", raw.alias("raw_value"),
         F.floor(F.col("event_id") / 8).alias("query_id"),
         F.array(F.col("event_id") % 200, (F.col("event_id") * 7) % 200).alias("chunk_ids"),
-        F.array(F.col("event_id") % 50).alias("concept_ids"),
+        F.array(F.floor(F.col("event_id") / 3) % 50).alias("concept_ids"),
         F.col("user_id").alias("student_id"), "ts",
     )
 
@@ -93,7 +85,7 @@ SIGNALS_SQL = f"""signals as (
               when signal_type in ('click', 'copy') then (event_id // 12) % 2
               when signal_type = 'comment' then null else value end::double as raw_value,
          event_id // 8 as query_id, [event_id % 200, (event_id * 7) % 200] as chunk_ids,
-         [event_id % 50] as concept_ids, user_id as student_id, ts
+         [event_id // 3 % 50] as concept_ids, user_id as student_id, ts
   from (select *, ({sql_list(SIGNAL_TYPES)})[event_id % 12 + 1] as signal_type from events))"""
 
 

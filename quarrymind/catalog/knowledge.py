@@ -133,6 +133,19 @@ def graph_paths_shortest(spark, sf_dir):
     )
 
 
+@query("graph_paths_coverage", with_ctes(*PATHS_CTES) + """
+select source, target, count(*) as paths, round(min(1 / 5.0), 6) as lowest, round(max(1 / 5.0), 6) as highest from paths group by 1, 2""")
+def graph_paths_coverage(spark, sf_dir):
+    """All nodes on the paths are concepts, one of the five types that count."""
+    parts = table(spark, sf_dir, "part")
+    targets = parts.select(F.col("p_partkey").alias("target"))
+    pairs = parts.where("p_partkey > 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 2).alias("target")).join(targets, "target", "left_semi")
+    ranked = graph.rank_paths(graph.paths_between(pairs, edges(spark, sf_dir), 3, 0.3), "coverage", nodes(spark, sf_dir))
+    return ranked.groupBy("source", "target").agg(
+        F.count("*").alias("paths"), F.round(F.min("total_score"), 6).alias("lowest"), F.round(F.max("total_score"), 6).alias("highest")
+    )
+
+
 @query("graph_related", with_ctes(EDGES_SQL, BOTH_SQL, NODES_SQL) + """
 select b.node_id, neighbor_id, edge_type, weight, n.name,
        row_number() over (partition by b.node_id order by weight desc, neighbor_id, edge_type) as rank
@@ -144,7 +157,7 @@ def graph_related(spark, sf_dir):
     )
 
 
-@query("subgraph", with_ctes(*EXPAND_CTES[:-1], EXPAND_CTES[-1].replace("rank <= 30", "rank <= 50")) + """
+@query("subgraph", with_ctes(*EXPAND_CTES[:-1], EXPAND_CTES[-1].replace(" qualify rank <= 30", "")) + """
 select distinct query_id, h.a as src, h.b as dst, 'relates_to' as edge_type from (
   select query_id, unnest(list_transform(range(1, len(path)), lambda i: {'a': path[i], 'b': path[i + 1]})) as h from reached)""")
 def subgraph(spark, sf_dir):
@@ -177,7 +190,7 @@ FAULTY_SQL = """faulty as (
   select case when src % 11 = 0 then 'mentions' else edge_type end as edge_type,
          case when dst % 13 = 0 then -src - 1 else src end as src, dst,
          case when src % 7 = 0 then weight + 10 else weight end as weight,
-         case when dst % 17 = 0 then 1.5 else confidence end as confidence from edges where edge_type <> 'evidenced_by'),
+         case when dst % 17 = 0 then 1.5 else confidence end as confidence from edges),
 all_nodes as (
   select node_id, case when node_id % 19 = 0 then 'chunk' else node_type end as node_type,
          case when node_id % 23 = 0 then '' else name end as name from nodes
@@ -186,7 +199,7 @@ all_nodes as (
 
 def faulty(spark, sf_dir):
     src, dst = F.col("src"), F.col("dst")
-    e = edges(spark, sf_dir).where("edge_type <> 'evidenced_by'").select(
+    e = edges(spark, sf_dir).select(
         F.when(src % 11 == 0, "mentions").otherwise(F.col("edge_type")).alias("edge_type"),
         F.when(dst % 13 == 0, -src - 1).otherwise(src).alias("src"), "dst",
         F.when(src % 7 == 0, F.col("weight") + 10).otherwise(F.col("weight")).alias("weight"),
@@ -208,8 +221,8 @@ def validate_nodes(spark, sf_dir):
 
 
 _EDGE_ERR = """case when s.t is null then 'origin does not exist' when d.t is null then 'destination does not exist'
-  when edge_type not in ('relates_to', 'prerequisite') then 'unsupported edge type'
-  when not (s.t = 'concept' and d.t = 'concept') then 'node types not allowed'
+  when edge_type not in ('relates_to', 'prerequisite', 'evidenced_by') then 'unsupported edge type'
+  when not (s.t = 'concept' and d.t = case when edge_type = 'evidenced_by' then 'chunk' else 'concept' end) then 'node types not allowed'
   when weight < 0 or weight > 10 then 'weight out of range' when confidence > 1 then 'confidence out of range' end"""
 
 

@@ -193,7 +193,7 @@ STORED_SQL = """stored as (select s_suppkey + 150 as chunk_id, (s_suppkey % 9)::
 @query("poor_chunks", with_ctes(*CHUNK_CTES, STORED_SQL) + """,
 poor as (select chunk_id, total_feedback, positive_feedback, negative_feedback, average_score from chunk_metrics
   where total_feedback >= 3 and (average_score < 0.45 or positive_feedback / total_feedback < 0.3)),
-known as (select * from stored where average_score < 0.45 and total_feedback >= 3 order by average_score, chunk_id limit 50),
+known as (select * from stored where average_score < 0.45 and total_feedback >= 3),
 both_sets as (select * from poor union all select * from known where chunk_id not in (select chunk_id from poor))
 select chunk_id, total_feedback, positive_feedback, negative_feedback, round(average_score, 6) as average_score,
   case when average_score >= 0.85 then 'excellent' when average_score >= 0.7 then 'good'
@@ -233,7 +233,7 @@ def confusion(spark, sf_dir):
 @query("confusing_concepts", with_ctes(*BASE, CONCEPTS_SQL) + """,
 stored as (select 40 + n_nationkey as concept_id, (n_nationkey * 7 % 25) / 25.0 as confusion_score from nation),
 a as (select concept_id, confusion_score from concept_metrics where confusion_score >= 0.5),
-b as (select * from stored where confusion_score >= 0.5 order by confusion_score desc, concept_id limit 20)
+b as (select * from stored where confusion_score >= 0.5)
 select concept_id, round(confusion_score, 6) as confusion_score from (
   select * from a union all select * from b where concept_id not in (select concept_id from a))
 order by confusion_score desc, concept_id limit 20""")
@@ -324,7 +324,7 @@ def student_summary(spark, sf_dir):
 s as (select query_id % 13 as content_id, count(*) as n, count(*) filter (feedback_type = 'helpful') as h,
   count(*) filter (feedback_type in ('not_helpful', 'incorrect', 'incomplete')) as g,
   count(*) filter (feedback_type = 'too_complex') as c, count(*) filter (feedback_type = 'too_simple') as t from explicit_feedback
-  where rating > 1 group by 1)
+  group by 1)
 select content_id, n as total_feedback, round(h / n, 6) as positive_ratio, round(g / n, 6) as negative_ratio,
        c as too_complex, t as too_simple, h as appropriate,
        concat_ws('|', case when c > n * 0.3 then 'Contenido demasiado complejo para muchos usuarios' end,
@@ -333,7 +333,7 @@ select content_id, n as total_feedback, round(h / n, 6) as positive_ratio, round
        concat_ws('|', case when c > t then 'Simplificar explicaciones|Agregar más ejemplos' end,
          case when t > c then 'Agregar contenido más avanzado' end) as suggested_improvements from s""")
 def content_summary(spark, sf_dir):
-    rated = explicit_feedback(spark, sf_dir).where("rating > 1").withColumn("query_id", F.col("query_id") % 13)
+    rated = explicit_feedback(spark, sf_dir).withColumn("query_id", F.col("query_id") % 13)
     out = fb.content_summary(rated)
     return out.withColumns({
         "positive_ratio": F.round("positive_ratio", 6), "negative_ratio": F.round("negative_ratio", 6),
@@ -476,6 +476,18 @@ def review_marks(spark, sf_dir):
     return graph.review_marks(scored_feedback(spark, sf_dir)).select("chunk_id", "review_reason")
 
 
+@query("finish_tasks", with_ctes(SCORED_SQL) + """
+select feedback_id as task_id, case when feedback_id % 4 = 3 then 'pending' when feedback_id % 4 = 0 or feedback_id % 12 = 1 then 'failed' else 'completed' end as status
+from sf where overall_score <= 0.25""")
+def finish_tasks(spark, sf_dir):
+    """Every fourth task has no outcome yet; of two outcomes of a task a failure counts."""
+    tasks = graph.revector_tasks(scored_feedback(spark, sf_dir))
+    i = F.col("task_id")
+    once = tasks.where(i % 4 != 3).select("task_id", (i % 4 != 0).alias("ok"))
+    twice = tasks.where(i % 12 == 1).select("task_id", F.lit(False).alias("ok"))
+    return graph.finish_tasks(tasks, once.unionByName(twice)).select("task_id", "status")
+
+
 @query("revector_queue", with_ctes(SCORED_SQL) + """,
 picked as (select s.feedback_id as task_id, doc as chunk_id from steps s join (select feedback_id, overall_score from sf) f using (feedback_id)
   where overall_score <= 0.25 order by s.ts, s.feedback_id limit 5)

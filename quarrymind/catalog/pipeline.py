@@ -10,8 +10,11 @@ from quarrymind.catalog.knowledge import BOTH_SQL
 from quarrymind.catalog.retrieval import QTERMS, _bm25_ctes, _cos, _index_ctes
 from quarrymind.operators import fusion, hits as ht, lexical
 from quarrymind.operators import routing as rt
+from quarrymind.operators.ranking import number_rows
 from quarrymind.plans import retrieval as rp
+from quarrymind.session import scratch_path
 from quarrymind.sources import ingest as ig
+from quarrymind.sources.corpus import read_pages as read_corpus_pages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -98,6 +101,22 @@ def embed_table(spark, sf_dir):
     return embedded.select("doc_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
+@query("read_pages", "select page_id, url, md5(html) as html from pages")
+def read_pages(spark, sf_dir):
+    return read_corpus_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.md5("html").alias("html"))
+
+
+# Every second source is ingested again with a word more; the newest version of each is read.
+@query("reingest", f"""with {INGEST_SQL}
+select id as source_id, (n + case when substr(md5(id), 1, 1) < '8' then 1 else 0 end)::bigint as word_count from n where normalized <> '' and n >= 40 and title <> ''""")
+def reingest(spark, sf_dir):
+    docs, base = mixed(spark, sf_dir), scratch_path(spark, "stored")
+    ig.write_ingested(_ingested(spark, sf_dir), base)
+    again = docs.where(F.substring(F.md5("id"), 1, 1) < "8").withColumn("text", F.concat("text", F.lit("\nagain")))
+    ig.write_ingested(ig.ingest(again, "id", "text", min_words=41, as_of="2024-03-01"), base)
+    return ig.read_ingested(spark, base).sources.select("source_id", F.col("word_count").cast("long").alias("word_count"))
+
+
 # ---------------------------------------------------------------- hits
 
 # Chunk metadata made from each document; some fields are missing.
@@ -140,14 +159,13 @@ def to_hits(spark, sf_dir):
 
 
 @query("filter_chunk_type", f"with {EVENT_HITS_SQL}" + """,
-s as (select query_id, doc_id, chunk_type, score > 60 as strong from th),
-k as (select *, (['worked_example', 'exercise', null])[query_id % 3 + 1] as wanted, query_id % 2 = 0 as strict from s where strong),
+s as (select query_id, doc_id, chunk_type from th),
+k as (select *, (['worked_example', 'exercise', null])[query_id % 3 + 1] as wanted, query_id % 2 = 0 as strict from s),
 a as (select query_id, bool_or(chunk_type = wanted) as hit from k group by 1)
 select query_id, doc_id, chunk_type from k join a using (query_id) where wanted is null or chunk_type = wanted or (not strict and not coalesce(hit, false))""")
 def filter_chunk_type(spark, sf_dir):
     wanted = F.when(F.col("query_id") % 3 == 0, "worked_example").when(F.col("query_id") % 3 == 1, "exercise")
-    strong = event_hits(spark, sf_dir).where("score > 60")
-    return ht.filter_chunk_type(strong, wanted, F.col("query_id") % 2 == 0).select("query_id", "doc_id", "chunk_type")
+    return ht.filter_chunk_type(event_hits(spark, sf_dir), wanted, F.col("query_id") % 2 == 0).select("query_id", "doc_id", "chunk_type")
 
 
 @query("exercise_listing", f"with {EVENT_HITS_SQL}" + """
@@ -165,7 +183,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, do
 select query_id, count(*) as n_hits, md5(string_agg('[' || rank || ']' || case when source_id <> '' then ' (Fuente: ' || source_id || ')' else '' end || ' [Conceptos: concept:' || c || ']' || chr(10)
   || content[:800] || case when length(content) > 800 then '...' else '' end, chr(10) || chr(10) order by rank)) as context from r group by 1""")
 def prompt_context(spark, sf_dir):
-    ranked = fusion.select_top_k(event_hits(spark, sf_dir), 12, 0.0, "score")
+    ranked = number_rows(event_hits(spark, sf_dir), ["query_id"], -F.floor("score"), [F.col("score").desc(), F.col("doc_id")])
     return fusion.format_context(ranked).select("query_id", "n_hits", F.md5("context").alias("context"))
 
 
@@ -184,7 +202,8 @@ s as (select query_id, 'concept:' || c as node_id, 0 as s, position as p from p
 o as (select query_id, node_id, min((s, p)) as o from s group by 1, 2)
 select query_id, node_id, row_number() over (partition by query_id order by o) as rank from o qualify rank <= 5""")
 def seed_concepts(spark, sf_dir):
-    ranked = fusion.select_top_k(event_hits(spark, sf_dir), 12, 0.0, "score").withColumnRenamed("rank", "position")
+    order = [F.col("score").desc(), F.col("doc_id")]
+    ranked = number_rows(event_hits(spark, sf_dir), ["query_id"], -F.floor("score"), order, "position")
     found = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id")).distinct().select(
         "query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")
     ).withColumn("node_id", F.concat(F.lit("concept:"), (F.col("rank") * 10).cast("string")))
@@ -211,11 +230,12 @@ def requests(spark, sf_dir):
     return items.join(vectors, "query_id").withColumn("concepts", F.array(F.concat(F.lit("concept:"), F.col("query_id"))))
 
 
-CORPUS_CTES = (EDGES_SQL, BOTH_SQL, NODES_SQL, _index_ctes("b", "documents"), QTERMS, _bm25_ctes("b", 20), f"""
+def corpus_ctes(per_source: int = 20) -> tuple[str, ...]:
+    return (EDGES_SQL, BOTH_SQL, NODES_SQL, _index_ctes("b", "documents"), QTERMS, _bm25_ctes("b", per_source), f"""
 v_top as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, 'chunk:' || doc_id) as rank from (
    select q.vec_id as query_id, v.vec_id as doc_id, {_cos('q.embedding', 'v.embedding')} as score from embeddings q join benchmark on item_id = q.vec_id, embeddings v)
-   where score >= 0 qualify rank <= 20),
-bt as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, 'chunk:' || doc_id) as rank from b_hit qualify rank <= 20)""",
+   where score >= 0 qualify rank <= {per_source}),
+bt as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, 'chunk:' || doc_id) as rank from b_hit qualify rank <= {per_source})""",
 """adj as (select node_id, neighbor_id, max(weight) as weight from both_ways
   where weight >= 0.3 and edge_type in ('relates_to', 'prerequisite', 'similar_to') group by 1, 2),
 l0 as (select item_id as query_id, item_id as node_id, 1.0::double as score, 0 as depth, ['concept:' || item_id] as path from benchmark),
@@ -249,13 +269,13 @@ _NORM = """nrm as (select *, case when hi = lo then 0.5 else (score - lo) / (hi
    select *, min(score) over w as lo, max(score) over w as hi from hits window w as (partition by query_id, source)))"""
 
 
-def _hybrid_sql(weight: str, extra: str = "") -> str:
-    return "with recursive " + ",\n".join(CORPUS_CTES) + f""",
+def _hybrid_sql(weight: str, extra: str = "", k: int = 10) -> str:
+    return "with recursive " + ",\n".join(corpus_ctes(2 * k)) + f""",
 {_NORM}{extra},
 r as materialized (select query_id, doc_id, final_score, row_number() over (partition by query_id order by final_score desc, doc_id) as rank
-  from (select query_id, doc_id, round(sum(norm * {weight}), 9) as final_score from nrm {'join aw using (query_id)' if extra else ''} group by 1, 2) qualify rank <= 30),
+  from (select query_id, doc_id, round(sum(norm * {weight}), 9) as final_score from nrm {'join aw using (query_id)' if extra else ''} group by 1, 2) qualify rank <= {3 * k}),
 {_DEDUP}
-select fin.query_id, fin.doc_id, round(final_score, 6) as final_score, place as rank from fin join r on r.query_id = fin.query_id and r.doc_id = fin.doc_id where place <= 10"""
+select fin.query_id, fin.doc_id, round(final_score, 6) as final_score, place as rank from fin join r on r.query_id = fin.query_id and r.doc_id = fin.doc_id where place <= {k}"""
 
 
 def _shown(df):
@@ -274,8 +294,13 @@ def adaptive_retrieve(spark, sf_dir):
     return _shown(rp.hybrid_retrieve(requests(spark, sf_dir), corpus(spark, sf_dir), "adaptive"))
 
 
+@query("quick_search", _hybrid_sql("case source when 'vector' then 0.5 when 'bm25' then 0.3 else 0.2 end", k=5))
+def quick_search(spark, sf_dir):
+    return _shown(rp.quick_search(requests(spark, sf_dir), corpus(spark, sf_dir)))
+
+
 def _single(source: str) -> str:
-    return "with recursive " + ",\n".join(CORPUS_CTES) + f"\nselect query_id, doc_id, round(score, 6) as final_score, rank from hits where source = '{source}' and rank <= 10"
+    return "with recursive " + ",\n".join(corpus_ctes()) + f"\nselect query_id, doc_id, round(score, 6) as final_score, rank from hits where source = '{source}' and rank <= 10"
 
 
 @query("semantic_search", _single("vector"))

@@ -38,7 +38,7 @@ ASKS = [
 ]
 ASKED_SQL = f"""asked as (
   select conv_id as session_id, turn as turn_no, ({sql_list(ASKS)})[(conv_id * 5 + turn) % {len(ASKS)} + 1] || ' '
-    || array_to_string((list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))[1:(conv_id + turn) % 9 + 1], ' ') as text from conversations)"""
+    || array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') as text from conversations)"""
 
 
 def asked(spark, sf_dir):
@@ -46,7 +46,7 @@ def asked(spark, sf_dir):
 
     c, t = F.col("conv_id"), F.col("turn")
     ask = F.element_at(F.array(*[F.lit(a) for a in ASKS]), ((c * 5 + t) % len(ASKS) + 1).cast("int"))
-    some = F.array_join(F.slice(words("text"), F.lit(1), ((c + t) % 9 + 1).cast("int")), " ")
+    some = F.array_join(words("text"), " ")
     return table(spark, sf_dir, "conversations").select(
         c.alias("session_id"), t.alias("turn_no"), F.concat(ask, F.lit(" "), some).alias("text")
     )
@@ -158,9 +158,9 @@ def effective_mode(spark, sf_dir):
     return rt.effective_mode(forced).select("session_id", "turn_no", "mode", r6("confidence"))
 
 
-# Stocks per tenant from the documents: tenants are languages.
+# Stocks per tenant from the documents: tenants are languages, and some of two tenants' stocks count as definitions.
 STOCK_SQL = """stock as (select lang as tenant, (['exercise', 'worked_example', 'concept', 'definition', 'chunk'])[doc_id % 5 + 1] as content_type, count(*) as n
-  from documents where not (lang = 'de' and doc_id % 5 = 4) and not (lang = 'fr' and doc_id % 5 < 2) group by 1, 2),
+  from (select lang, case when lang = 'de' and doc_id % 5 = 4 or lang = 'fr' and doc_id % 5 < 2 then 3 else doc_id end as doc_id from documents) group by 1, 2),
 wanted as (select doc_id, lang as tenant, (['concept', 'practice', 'exercise_list'])[doc_id % 3 + 1] as mode from documents)"""
 
 
@@ -177,10 +177,9 @@ def mode_feasible(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     kinds = F.array(*[F.lit(k) for k in ("exercise", "worked_example", "concept", "definition", "chunk")])
-    stock = (
-        d.where(~((F.col("lang") == "de") & (i % 5 == 4)) & ~((F.col("lang") == "fr") & (i % 5 < 2)))
-        .groupBy(F.col("lang").alias("tenant"), F.element_at(kinds, (i % 5 + 1).cast("int")).alias("content_type")).agg(F.count("*").alias("n"))
-    )
+    bare = ((F.col("lang") == "de") & (i % 5 == 4)) | ((F.col("lang") == "fr") & (i % 5 < 2))
+    kind = F.element_at(kinds, (F.when(bare, F.lit(3)).otherwise(i) % 5 + 1).cast("int"))
+    stock = d.groupBy(F.col("lang").alias("tenant"), kind.alias("content_type")).agg(F.count("*").alias("n"))
     modes = F.array(*[F.lit(m) for m in rt.MODES])
     wanted = d.select("doc_id", F.col("lang").alias("tenant"), F.element_at(modes, (i % 3 + 1).cast("int")).alias("mode"))
     return rt.mode_feasible(wanted, stock).select("doc_id", "mode", "feasible", "message")
@@ -359,14 +358,14 @@ def qa_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- extraction
 
-# Model responses made from the first words of each document, in five shapes: clean, inside
+# Model responses made from the words of each document (%1 to %5 its first ones, %6 all), in five shapes: clean, inside
 # prose, with single quotes, with trailing commas, and unreadable.
 _JSON = {
-    "concepts": """[{"name": "%1", "description": "%2 %3", "difficulty": 2}, {"name": "%2", "importance": 0.9, "aliases": ["%4"]}, {"name": "%5"}, {"name": "%3", "description": "%1"}]""",
+    "concepts": """[{"name": "%1", "description": "%6", "difficulty": 2}, {"name": "%2", "importance": 0.9, "aliases": ["%4"]}, {"name": "%5"}, {"name": "%3", "description": "%1"}]""",
     "resolution": """{"duplicates": [{"canonical": "%1", "aliases": ["%5", "%4"]}]}""",
-    "definitions": """[{"concept": "%1", "definition": "%2 %3 %4"}, {"concept": "%2", "definition": "x", "confidence": 0.6}, {"concept": "nobody", "definition": "y"}]""",
+    "definitions": """[{"concept": "%1", "definition": "%6"}, {"concept": "%2", "definition": "x", "confidence": 0.6}, {"concept": "nobody", "definition": "y"}]""",
     "relationships": """[{"from": "%1", "to": "%2", "type": "prerequisite"}, {"from": "%2", "to": "%3", "type": "contrasts", "confidence": 0.9}, {"from": "%1", "to": "%3", "type": "likes"}, {"from": "%1", "to": "nobody", "type": "relates_to"}]""",
-    "summary": "%1 %2 %3 %4 %5 %1 %2 %3 %4 %5 %1 %2 %3 %4 %5 %1 %2 %3 %4 %5 %1 %2 %3 %4 %5 %1 %2 %3 %4 %5 %1 %2 %3 %4 %5",
+    "summary": "%6",
 }
 
 
@@ -374,7 +373,7 @@ def _filled(template: str) -> str:
     out = quoted(template)
     for i in range(1, 6):
         out = f"replace({out}, '%{i}', coalesce(w[{i}], 'w{i}'))"
-    return out
+    return f"replace({out}, '%6', array_to_string(w, ' '))"
 
 
 def _shaped(x: str) -> str:
@@ -382,7 +381,7 @@ def _shaped(x: str) -> str:
    when 3 then replace(replace({x}, '}}]', '}}, ]'), '"}}', '", }}') else 'nothing found' end"""
 
 
-RESPONSES_SQL = f"""wordy as (select doc_id, (list_filter(string_split_regex(text, '{NOT_WORD}+'), lambda x: x <> ''))[1:5] as w from documents),
+RESPONSES_SQL = f"""wordy as (select doc_id, (list_filter(string_split_regex(text, '{NOT_WORD}+'), lambda x: x <> '')) as w from documents),
 responses as (""" + "\nunion all ".join(
     f"select doc_id as source_id, '{kind}' as kind, {_shaped(_filled(t)) if kind != 'summary' else _filled(t)} as response from wordy" for kind, t in _JSON.items()
 ) + ")"
@@ -393,13 +392,14 @@ readable as (select source_id, kind, case when j <> '' and json_valid(j) then j
 
 def responses(spark, sf_dir):
     w = F.filter(F.split("text", r"(?U)\W+"), lambda x: x != "")
-    wordy = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 5).alias("w"))
+    wordy = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     shape = F.col("doc_id") % 5
     out = None
     for kind, template in _JSON.items():
         x = F.lit(template)
         for i in range(1, 6):
             x = F.replace(x, F.lit(f"%{i}"), F.coalesce(F.get("w", F.lit(i - 1)), F.lit(f"w{i}")))
+        x = F.replace(x, F.lit("%6"), F.array_join("w", " "))
         shaped = x if kind == "summary" else (
             F.when(shape == 0, x).when(shape == 1, F.concat(F.lit("Here it is: "), x, F.lit(" Done.")))
             .when(shape == 2, F.replace(x, F.lit('"'), F.lit("'")))
@@ -475,7 +475,7 @@ def lines(spark, sf_dir):
 
 @query("link_evidence", f"with {CONCEPTS_SQL}, {LINES_SQL}" + """
 select 'evidenced_by' as edge_type, concept_id as src, l.source_id || '-' || chunk_index as dst, 0.8::double as weight, 0.7::double as confidence
-from res join lines l using (source_id) where chunk_index < 20 and contains(lower(content), lower(name))""")
+from res join lines l using (source_id) where contains(lower(content), lower(name))""")
 def link_evidence(spark, sf_dir):
     return ex.link_evidence(_resolved(spark, sf_dir), lines(spark, sf_dir)).drop("negative_signals")
 
@@ -561,7 +561,7 @@ def _sources_and_runs(spark, sf_dir):
 
 
 @query("list_sources", with_ctes(RUNS_SQL) + """,
-st as (select source_id, title, source_type, 'completed' as status, chunk_count, created_at from stored order by created_at desc nulls last, source_id limit 100),
+st as (select source_id, title, source_type, 'completed' as status, chunk_count, created_at from stored),
 al as (select * from st
   union all select source_id, replace(message, 'Completado: ', ''), 'file', 'completed', chunks_created, completed_at from runs where status = 'completed' and source_id not in (select source_id from st)
   union all select run_id, message, 'file', status, 0, started_at from runs where status in ('pending', 'processing'))

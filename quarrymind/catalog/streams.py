@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quarrymind.catalog import common as cm
 from quarrymind.catalog.documents import WORDS, normalize_sql
-from quarrymind.catalog.learning import BASE, MASTERY_SQL, MIXED_SQL, PROFILE_SQL, RETAIN_SQL, SCORED_SQL, scored_of
+from quarrymind.catalog.learning import BASE, CONCEPTS_SQL, MASTERY_SQL, MIXED_SQL, PROFILE_SQL, RETAIN_SQL, SCORED_SQL, scored_of
 from quarrymind.session import scratch_path
+from quarrymind.sources import ingest as ig
 from quarrymind.streaming import jobs
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def landed(spark, sf_dir, name):
     """A table's files as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}*.parquet")
 
 
 def _signals(spark, sf_dir):
@@ -51,20 +52,17 @@ m as (select doc as chunk_id, count(*) as total_feedback, count(*) filter (s >=
   from (select doc, f.overall_score as s, row_number() over (partition by doc order by f.ts desc, feedback_id desc) - 1 as age from steps join sf f using (feedback_id)) group by 1)
 select chunk_id, total_feedback, positive_feedback, round(a, 6) as average_score, a < 0.4 as needs_review from m""")
 def chunk_metrics_stream(spark, sf_dir):
-    return jobs.latest_per_key(jobs.chunk_metrics_stream(_feedback(spark, sf_dir)), ["chunk_id"]).select(
+    return jobs.chunk_metrics_stream(_feedback(spark, sf_dir)).select(
         "chunk_id", "total_feedback", "positive_feedback", cm.r6("average_score"), "needs_review"
     )
 
 
-@query("concept_metrics_stream", cm.with_ctes(*BASE) + """,
-m as (select unnest(concept_ids) as concept_id, ts, signal_id, value, least(1.0, case signal_type when 'rephrase' then 2 when 'followup' then 1 when 'thumbs_down' then 2
-   when 'report' then 3 else case when value < 0.4 then 1 else 0 end end / 2) as c from parsed),
-s as (select concept_id, count(*) as n, sum(0.2 * pow(0.8, age) * c) as conf, sum(0.2 * pow(0.8, age) * value) + pow(0.8, count(*)) * 0.5 as sat
-  from (select *, row_number() over (partition by concept_id order by ts desc, signal_id desc) - 1 as age from m) group by 1)
-select concept_id, n as total_queries, round(sat, 6) as average_satisfaction, round(conf, 6) as confusion_score from s""")
+@query("concept_metrics_stream", cm.with_ctes(*BASE, CONCEPTS_SQL) + """
+select concept_id, total_queries, unique_students, round(average_satisfaction, 6) as average_satisfaction, round(confusion_score, 6) as confusion_score
+from concept_metrics join students using (concept_id)""")
 def concept_metrics_stream(spark, sf_dir):
-    return jobs.latest_per_key(jobs.concept_metrics_stream(_signals(spark, sf_dir)), ["concept_id"]).select(
-        "concept_id", "total_queries", cm.r6("average_satisfaction"), cm.r6("confusion_score")
+    return jobs.concept_metrics_stream(_signals(spark, sf_dir)).select(
+        "concept_id", "total_queries", "unique_students", cm.r6("average_satisfaction"), cm.r6("confusion_score")
     )
 
 
@@ -84,9 +82,7 @@ def session_stream(spark, sf_dir):
 @query("edge_update_stream", "with recursive " + ",\n".join([cm.EDGES_SQL, SCORED_SQL]) + ",\n" + MIXED_SQL)
 def edge_update_stream(spark, sf_dir):
     edges = cm.edges(spark, sf_dir)
-    stored = jobs.Snapshots(spark, scratch_path(spark, "edges"), edges.schema).create(edges)
-    last = jobs.edge_update_stream(_feedback(spark, sf_dir), stored)()
-    return stored.latest(last).select("edge_type", "src", "dst", cm.r6("weight"), "negative_signals")
+    return jobs.edge_update_stream(_feedback(spark, sf_dir), edges).select("edge_type", "src", "dst", cm.r6("weight"), "negative_signals")
 
 
 @query("period_metrics_stream", cm.with_ctes(SCORED_SQL) + """,
@@ -104,7 +100,7 @@ def period_metrics_stream(spark, sf_dir):
 select student_id, concept_id, round(mastery_score, 6) as mastery_score, interactions, is_weakness from student_concept""")
 def mastery_stream(spark, sf_dir):
     rows = cm.interactions_of(landed(spark, sf_dir, "events"))
-    return jobs.latest_per_key(jobs.mastery_stream(rows), ["student_id", "concept_id"]).select(
+    return jobs.mastery_stream(rows).select(
         "student_id", "concept_id", cm.r6("mastery_score"), "interactions", "is_weakness"
     )
 
@@ -113,7 +109,7 @@ def mastery_stream(spark, sf_dir):
 select student_id, total_questions, correct_answers, round(average_response_quality, 6) as average_response_quality from prof""")
 def profile_stream(spark, sf_dir):
     rows = cm.interactions_of(landed(spark, sf_dir, "events"))
-    return jobs.latest_per_key(jobs.profile_stream(rows), ["student_id"]).select(
+    return jobs.profile_stream(rows).select(
         "student_id", "total_questions", "correct_answers", cm.r6("average_response_quality")
     )
 
@@ -123,5 +119,4 @@ select doc_id as source_id, n as word_count from n where n >= 40""")
 def ingest_stream(spark, sf_dir):
     base = scratch_path(spark, "landing")
     jobs.ingest_stream(landed(spark, sf_dir, "documents"), base, "doc_id", content="text", min_words=40, as_of="2024-02-01")
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/sources")
-    return stored.select("source_id", F.col("word_count").cast("long").alias("word_count"))
+    return ig.read_ingested(spark, base).sources.select("source_id", F.col("word_count").cast("long").alias("word_count"))

@@ -93,8 +93,8 @@ def _violations(answer: Column, n_words: Column) -> Column:
     return F.when(F.col("mode") == "exercise_list", found).otherwise(0)
 
 
-def context_coverage(answers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Share of context concepts named and of leading chunks used, per query.
+def context_coverage(answers: DataFrame, contexts: DataFrame, leading: int = 5) -> DataFrame:
+    """Share of context concepts named and of the ``leading`` chunks used, per query.
 
     ``contexts(query_id, rank, content, concepts)`` are the hits an answer was built from.
     Chunks are compared row by row with their query's answer; only counts are grouped.
@@ -108,13 +108,13 @@ def context_coverage(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     )
     shared = F.size(F.array_intersect(words(F.lower("content")), words(F.col("_a"))))
     used = joined.groupBy("query_id").agg(
-        F.count("*").alias("context_count"), F.count_if((F.col("rank") <= 5) & (shared > 3)).alias("chunks_used")
+        F.count("*").alias("context_count"), F.count_if((F.col("rank") <= leading) & (shared > 3)).alias("chunks_used")
     )
     return used.join(named, "query_id", "left").select(
         "query_id", "context_count", "chunks_used", F.coalesce("concepts_mentioned", F.lit(0)).alias("concepts_mentioned"),
         (
             0.5 * F.coalesce("concepts_mentioned", F.lit(0)) / F.greatest(F.coalesce("_nc", F.lit(0)), F.lit(1))
-            + 0.5 * F.col("chunks_used") / F.least("context_count", F.lit(5))
+            + 0.5 * F.col("chunks_used") / F.least("context_count", F.lit(leading))
         ).alias("context_coverage"),
     )
 

@@ -14,7 +14,6 @@ DEFINITION = "struct<concept:string,definition:string,confidence:double>"
 RELATION = "struct<`from`:string,`to`:string,type:string,confidence:double>"
 RESOLUTION = "struct<duplicates:array<struct<canonical:string,aliases:array<string>>>>"
 RELATION_TYPES = ("prerequisite", "relates_to", "similar_to", "contrasts")
-EVIDENCE_CHUNKS = 20
 
 
 def readable_json(response: Column) -> Column:
@@ -114,9 +113,9 @@ def relationships_from(extractions: DataFrame, concepts: DataFrame) -> DataFrame
 
 
 def link_evidence(concepts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence edges from a concept to those of its source's first chunks that name it."""
-    leading = chunks.where(F.col("chunk_index") < EVIDENCE_CHUNKS).select("source_id", "chunk_id", F.lower("content").alias("_text"))
-    found = concepts.join(leading, "source_id").where(F.contains("_text", F.lower("name")))
+    """Evidence edges from a concept to those of its source's chunks that name it."""
+    searched = chunks.select("source_id", "chunk_id", F.lower("content").alias("_text"))
+    found = concepts.join(searched, "source_id").where(F.contains("_text", F.lower("name")))
     return make_edges(
         found.select(F.col("concept_id").alias("src"), F.col("chunk_id").alias("dst")), "evidenced_by", weight=0.8, confidence=0.7
     )

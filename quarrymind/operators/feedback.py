@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymind.operators.ranking import ewma, top_k
+from quarrymind.operators.ranking import ewma, ewma_fold, ewma_parts, ewma_totals, top_k
 
 # Fixed values per signal type: category, confidence, weight, and value where it does not
 # depend on what was measured.
@@ -158,14 +158,27 @@ def quality(score: Column) -> Column:
     )
 
 
+def _chunk_means() -> dict:
+    return {"average_score": (F.col("overall_score"), CHUNK_ALPHA, 0.5)}
+
+
 def chunk_metrics(feedback: DataFrame, chunks: str = "chunk_ids", tie: str = "query_id") -> DataFrame:
     """Running score, counts and quality per chunk from scored feedback that names chunks."""
+    return chunk_metrics_of(chunk_parts(feedback, chunks, tie))
+
+
+def chunk_parts(feedback: DataFrame, chunks: str = "chunk_ids", tie: str = "query_id") -> DataFrame:
+    """What a batch of feedback adds to each chunk it names."""
     rows = feedback.select(F.explode(chunks).alias("chunk_id"), "ts", tie, "overall_score")
     good = F.col("overall_score") >= 0.6
-    totals = ewma(
-        rows, ["chunk_id"], "ts", tie, {"average_score": (F.col("overall_score"), CHUNK_ALPHA, 0.5)},
-        [F.count_if(good).alias("positive_feedback"), F.count_if(~good).alias("negative_feedback"), F.max("ts").alias("last_used")],
-    )
+    counts = [F.count_if(good).alias("positive_feedback"), F.count_if(~good).alias("negative_feedback"), F.max("ts").alias("last_used")]
+    return ewma_parts(rows, ["chunk_id"], "ts", tie, _chunk_means(), counts)
+
+
+def chunk_metrics_of(parts: DataFrame, order: str | None = None) -> DataFrame:
+    """Metrics from parts: one row per chunk, or with ``order`` those of several batches."""
+    folded = ewma_fold(parts, ["chunk_id"], _chunk_means(), order) if order else parts
+    totals = ewma_totals(folded, ["chunk_id"], _chunk_means())
     return totals.select(
         "chunk_id", F.col("n").alias("total_feedback"), F.col("n").alias("times_used_in_answer"),
         "positive_feedback", "negative_feedback", "average_score",
@@ -186,7 +199,7 @@ def quality_distribution(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("quality").agg(F.count("*").alias("chunks"))
 
 
-def poor_chunks(metrics: DataFrame, stored: DataFrame | None = None, threshold: float = 0.4, min_feedback: int = 3, stored_limit: int = 50) -> DataFrame:
+def poor_chunks(metrics: DataFrame, stored: DataFrame | None = None, threshold: float = 0.4, min_feedback: int = 3) -> DataFrame:
     """Chunks with poor scores, mostly negative feedback, or rare use; then stored poor ones not seen."""
     retrieved = F.coalesce("times_retrieved", F.lit(0)) if "times_retrieved" in metrics.columns else F.lit(0)
     enough = metrics.where(F.col("total_feedback") >= min_feedback)
@@ -198,7 +211,6 @@ def poor_chunks(metrics: DataFrame, stored: DataFrame | None = None, threshold:
     if stored is not None:
         known = (
             stored.where((F.col("average_score") < threshold) & (F.col("total_feedback") >= min_feedback))
-            .orderBy("average_score", "chunk_id").limit(stored_limit)
             .select(*poor.columns).join(poor, "chunk_id", "left_anti")
         )
         poor = poor.unionByName(known)
@@ -210,23 +222,35 @@ def poor_chunks(metrics: DataFrame, stored: DataFrame | None = None, threshold:
 
 def concept_metrics(signals: DataFrame, batch: str = "query_id") -> DataFrame:
     """Confusion and satisfaction per concept over its batches of parsed signals."""
+    return concept_metrics_of(concept_parts(signals, batch), batch)
+
+
+def concept_parts(signals: DataFrame, batch: str = "query_id") -> DataFrame:
+    """Sums per concept, batch and student; sums of several calls can be added up."""
     kind = F.col("signal_type")
     mark = (
         F.when(kind == "rephrase", 2).when(kind == "followup", 1).when(kind == "thumbs_down", 2)
         .when(kind == "report", 3).when(F.col("value") < 0.4, 1).otherwise(0)
     )
-    each = signals.withColumn("concept_id", F.explode("concept_ids"))
-    w = _weight(None)
-    batches = each.withColumn("_w", w).groupBy("concept_id", batch).agg(
-        F.least(F.lit(1.0), F.sum(mark) / (F.count("*") * 2)).alias("confusion"),
-        F.coalesce(_weighted(F.lit(True)), F.lit(0.5)).alias("satisfaction"), F.max("ts").alias("ts"),
+    each = signals.withColumn("concept_id", F.explode("concept_ids")).withColumn("_w", _weight(None))
+    return each.groupBy("concept_id", batch, "student_id").agg(
+        F.sum(mark).alias("marks"), F.count("*").alias("signals"), F.sum(F.col("value") * F.col("_w")).alias("weighted"),
+        F.sum("_w").alias("weight"), F.max("ts").alias("ts"),
+    )
+
+
+def concept_metrics_of(parts: DataFrame, batch: str = "query_id") -> DataFrame:
+    """Metrics per concept from the parts of any number of calls: a batch counts once, whole, at its last signal."""
+    batches = parts.groupBy("concept_id", batch).agg(
+        F.least(F.lit(1.0), F.sum("marks") / (F.sum("signals") * 2)).alias("confusion"),
+        F.coalesce(F.sum("weighted") / F.nullif(F.sum("weight"), F.lit(0.0)), F.lit(0.5)).alias("satisfaction"), F.max("ts").alias("ts"),
     )
     totals = ewma(batches, ["concept_id"], "ts", batch, {
         "confusion_score": (F.col("confusion"), CONCEPT_ALPHA, 0.0),
         "average_satisfaction": (F.col("satisfaction"), CONCEPT_ALPHA, 0.5),
     })
     # Distinct (concept, student) pairs first, so that no concept's students gather in one place.
-    students = each.select("concept_id", "student_id").where(F.col("student_id").isNotNull()).distinct().groupBy("concept_id").agg(
+    students = parts.select("concept_id", "student_id").where(F.col("student_id").isNotNull()).distinct().groupBy("concept_id").agg(
         F.count("*").alias("unique_students")
     )
     return totals.join(students, "concept_id", "left").select(
@@ -242,8 +266,7 @@ def confusing_concepts(metrics: DataFrame, stored: DataFrame | None = None, thre
     marked = (F.col("confusion_score") >= threshold) | F.col("is_confusing")
     found = metrics.where(marked)
     if stored is not None:
-        known = stored.where(marked).orderBy(F.col("confusion_score").desc(), "concept_id").limit(limit)
-        found = found.unionByName(known.join(found, "concept_id", "left_anti").select(*found.columns))
+        found = found.unionByName(stored.where(marked).join(found, "concept_id", "left_anti").select(*found.columns))
     return found.orderBy(F.col("confusion_score").desc(), "concept_id").limit(limit)
 
 
@@ -403,6 +426,6 @@ def explicit_to_signals(explicit: DataFrame) -> DataFrame:
 
 
 def recent_feedback(explicit: DataFrame, feedback_type: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest explicit feedback, at most 200 rows."""
+    """Newest explicit feedback, ``limit`` rows."""
     rows = explicit if feedback_type is None else explicit.where(F.col("feedback_type") == feedback_type)
-    return rows.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc()).limit(min(limit, 200))
+    return rows.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc()).limit(limit)

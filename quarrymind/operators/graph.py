@@ -5,7 +5,7 @@ Edges are rows ``(edge_type, src, dst, weight, confidence, negative_signals)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrymind.functions.rows import unfold
 from quarrymind.functions.text import two_decimals
@@ -13,8 +13,6 @@ from quarrymind.operators.ranking import number_rows, top_k
 from quarrymind.session import cut_lineage, small_side
 
 DECAY = 0.8
-MAX_DEPTH = 3
-MAX_NODES = 50
 EXPAND_TYPES = ("relates_to", "prerequisite", "similar_to")
 EVIDENCE = "evidenced_by"
 
@@ -36,34 +34,29 @@ def neighbors(edges: DataFrame, types: tuple[str, ...] | None = None, min_weight
     )
 
 
-def _adjacency(edges: DataFrame, types: tuple[str, ...] | None, min_weight: float) -> DataFrame:
-    """One row per ordered node pair: strongest weight and a representative type."""
-    both = neighbors(edges, types, min_weight)
-    return cut_lineage(
-        both.groupBy("node_id", "neighbor_id").agg(
-            F.max("weight").alias("weight"), F.min("edge_type").alias("edge_type")
-        ),
-        "adjacency",
-    )
+def _around(frontier: DataFrame, edges: DataFrame, types: tuple[str, ...] | None, min_weight: float) -> DataFrame:
+    """``(at, neighbor_id, weight, edge_type)`` of the frontier's nodes; only their edges are aggregated."""
+    wanted = small_side(frontier.select("node_id").distinct())
+    near = neighbors(edges, types, min_weight).join(wanted, "node_id", "left_semi")
+    return near.groupBy(F.col("node_id").alias("at"), "neighbor_id").agg(F.max("weight").alias("weight"), F.min("edge_type").alias("edge_type"))
 
 
 def expand(
-    seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 30, min_weight: float = 0.3,
+    seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int | None = 30, min_weight: float = 0.3,
     types: tuple[str, ...] = EXPAND_TYPES,
 ) -> DataFrame:
     """Best-scoring nodes around each seed set, with the path that reached them.
 
     ``seeds(query_id, node_id)``. A node scores the product of ``weight * 0.8`` along its
-    path. Each level joins the frontier with the adjacency and keeps one best path per
-    (query, node), so the frontier is bounded by nodes and not by walks.
+    path. Each level joins the frontier with the edges of its nodes and keeps one best path per
+    (query, node), so the frontier is bounded by nodes and not by walks. ``max_nodes`` None keeps all.
     """
-    depth, max_nodes = min(depth, MAX_DEPTH), min(max_nodes, MAX_NODES)
-    adjacent = _adjacency(edges, types, min_weight).select(F.col("node_id").alias("at"), "neighbor_id", "weight")
     level = seeds.select(
         "query_id", "node_id", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array("node_id").alias("path")
     ).distinct()
     reached = level
     for d in range(1, depth + 1):
+        adjacent = _around(level, edges, types, min_weight)
         step = (
             level.join(adjacent, level["node_id"] == adjacent["at"])
             .where(~F.array_contains("path", F.col("neighbor_id")))
@@ -85,10 +78,13 @@ def expand(
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "depth", "path")).alias("b"))
         .select("query_id", "node_id", (-F.col("b.s")).alias("score"), F.col("b.depth").alias("depth"), F.col("b.path").alias("path"))
     )
+    order = [F.col("score").desc(), F.col("depth"), F.col("node_id")]
+    if max_nodes is None:
+        # All nodes of a query may be many: they are numbered by score, not sorted in one task.
+        numbered = number_rows(cut_lineage(best, "best"), ["query_id"], -F.floor(F.col("score") * 1000), order)
+        return cut_lineage(numbered, "reached")
     # Stored, so that what is joined to the few reached nodes need not move.
-    return cut_lineage(
-        top_k(best, ["query_id"], [F.col("score").desc(), F.col("depth"), F.col("node_id")], max_nodes), "reached"
-    )
+    return cut_lineage(top_k(best, ["query_id"], order, max_nodes), "reached")
 
 
 def evidence(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,10 +115,10 @@ def paths_between(pairs: DataFrame, edges: DataFrame, max_len: int = 4, min_weig
     """All simple paths of at most ``max_len`` edges between ``pairs(source, target)``.
 
     Walks half way from each end and meets in the middle, so only half-length walks are
-    ever enumerated. Node scores are the products of the weights up to the node.
+    ever enumerated. Each level is written once, and only edges of its end nodes are read. Node scores are the products of
+    the weights up to the node.
     """
-    adjacent = _adjacency(edges, None, min_weight).select(F.col("node_id").alias("at"), "neighbor_id", "weight", "edge_type")
-    pairs = pairs.select("source", "target").distinct()
+    pairs = cut_lineage(pairs.select("source", "target").distinct(), "pairs")
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
 
     def walks(start: str, avoid: str, steps: int) -> list[DataFrame]:
@@ -132,16 +128,18 @@ def paths_between(pairs: DataFrame, edges: DataFrame, max_len: int = 4, min_weig
         levels = [level]
         for _ in range(steps):
             end = F.element_at("nodes", -1)
-            level = (
-                level.where(end != F.col(avoid))
-                .join(adjacent, end == F.col("at"))
+            open_walks = level.where(end != F.col(avoid))
+            adjacent = _around(open_walks.select(end.alias("node_id")), edges, None, min_weight)
+            level = cut_lineage(
+                open_walks.join(adjacent, end == F.col("at"))
                 .where(~F.array_contains("nodes", F.col("neighbor_id")))
                 .select(
                     "source", "target",
                     F.concat("nodes", F.array("neighbor_id")).alias("nodes"),
                     F.concat("types", F.array("edge_type")).alias("types"),
                     F.concat("weights", F.array("weight")).alias("weights"),
-                )
+                ),
+                "walks",
             )
             levels.append(level)
         return levels
@@ -214,9 +212,9 @@ def related(concepts: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int
     return top_k(named, ["node_id"], [F.col("weight").desc(), F.col("neighbor_id"), F.col("edge_type")], limit)
 
 
-def subgraph(centers: DataFrame, edges: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+def subgraph(centers: DataFrame, edges: DataFrame, radius: int = 2, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes around each center set and the distinct edges of the paths that reached them."""
-    reached = expand(centers, edges, radius, 100)
+    reached = expand(centers, edges, radius, max_nodes)
     hops = F.zip_with(
         F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1),
         lambda a, b: F.struct(a.alias("src"), b.alias("dst")),
@@ -315,41 +313,61 @@ def _compose(steps: Column) -> Column:
     )
 
 
-def fold_updates(updates: DataFrame, spans: tuple[str, ...] = ("MINUTE", "DAY")) -> DataFrame:
+LINK = ["link", "a", "b"]
+
+
+def _folded(level: DataFrame, order: list[str], span: Column | None, block: int | None = None) -> DataFrame:
+    """Steps of each link (and span) composed in order; with ``block`` at most so many rows in one list."""
+    keys = [*LINK, *([span.alias("_span")] if span is not None else [])]
+    names = [*LINK, *(["_span"] if span is not None else [])]
+    if block:
+        place = Window.partitionBy(*names).orderBy(*order)
+        level = level.withColumns({"_span": span} if span is not None else {}).withColumn(
+            "_block", F.floor((F.row_number().over(place) - 1) / block)
+        )
+        keys = names = [*names, "_block"]
+    return level.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*order, "shift", "lo", "hi", "weakened"))).alias("steps"),
+        F.max("last_reinforced").alias("last_reinforced"), F.max("last_weakened").alias("last_weakened"),
+    ).withColumn("m", _compose(F.col("steps"))).select(
+        *names, *[F.col("m")[c].alias(c) for c in ("shift", "lo", "hi", "weakened")], "last_reinforced", "last_weakened"
+    )
+
+
+def fold_updates(updates: DataFrame, spans: tuple[str, ...] = ("MINUTE", "DAY"), block: int = 1000) -> DataFrame:
     """Fold steps per link in arrival order: inside short time spans, then over longer ones.
 
-    Each level lists what one link did in one span and replaces it by a single step, so
-    even a link named by very many rows never has them all in one place.
+    Each level lists what one link did in one span and replaces it by a single step. Steps of one minute are listed in
+    blocks of at most ``block``, so even a link named by very many rows at one time never has them all in one list.
     """
     up = F.col("action") == "reinforce"
-    keys = ["link", "a", "b"]
     level = updates.select(
-        *keys, "ts", "feedback_id", "delta", F.col("delta").alias("shift"),
+        *LINK, "ts", "feedback_id", "delta", F.col("delta").alias("shift"),
         F.when(up, F.lit(float("-inf"))).otherwise(F.lit(WEIGHT_FLOOR)).alias("lo"),
         F.when(up, F.lit(WEIGHT_CAP)).otherwise(F.lit(float("inf"))).alias("hi"),
         F.when(up, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("weakened"),
         F.when(up, F.col("ts")).alias("last_reinforced"), F.when(~up, F.col("ts")).alias("last_weakened"),
     )
-    order = ["ts", "feedback_id", "delta"]
-    for span in (*spans, None):
-        within = [F.date_trunc(span, "ts").alias("_span")] if span else []
-        listed = level.groupBy(*keys, *within).agg(
-            F.sort_array(F.collect_list(F.struct(*order, "shift", "lo", "hi", "weakened"))).alias("steps"),
-            F.max("last_reinforced").alias("last_reinforced"), F.max("last_weakened").alias("last_weakened"),
-        )
-        folded = listed.withColumn("m", _compose(F.col("steps")))
-        level = folded.select(
-            *keys, *([F.col("_span").alias("ts")] if span else []),
-            F.col("m.shift").alias("shift"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"),
-            F.col("m.weakened").alias("weakened"), "last_reinforced", "last_weakened",
-        )
-        order = ["ts"]
+    level = _folded(level, ["ts", "feedback_id", "delta"], F.date_trunc(spans[0], "ts"), block)
+    level = _folded(level.withColumnRenamed("_span", "ts"), ["_block"], F.col("ts"))
+    for span in (*spans[1:], None):
+        level = level.withColumnRenamed("_span", "ts")
+        level = _folded(level, ["ts"], F.date_trunc(span, "ts") if span else None)
     return level
 
 
+def merge_folded(parts: DataFrame, order: str = "batch") -> DataFrame:
+    """One step per link from the folded steps of several batches that follow each other by ``order``."""
+    return _folded(parts, [order], None)
+
+
 def apply_updates(edges: DataFrame, updates: DataFrame) -> DataFrame:
     """Edges with every update applied in arrival order; links without an edge are ignored."""
-    folded = cut_lineage(fold_updates(updates), "folded")
+    return apply_folded(edges, cut_lineage(fold_updates(updates), "folded"))
+
+
+def apply_folded(edges: DataFrame, folded: DataFrame) -> DataFrame:
+    """Edges after one folded step per link."""
     link = F.when(F.col("edge_type") == EVIDENCE, "evidence").otherwise("concept")
     is_evidence = F.col("edge_type") == EVIDENCE
     keyed = edges.withColumn("link", link).withColumn(

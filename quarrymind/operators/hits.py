@@ -37,13 +37,11 @@ def filter_chunk_type(hits: DataFrame, wanted: Column, strict: Column | bool = F
     return marked.join(flags, keys).where(wanted.isNull() | F.col("_match") | (~strict & ~F.col("_any"))).drop("_match", "_any")
 
 
-def exercise_listing(hits: DataFrame, k: int | Column = 10, limit: int = 100) -> DataFrame:
+def exercise_listing(hits: DataFrame, k: int | Column = 10) -> DataFrame:
     """Exercises without their content: id, title, difficulty, concepts; the first ``k`` per query."""
     line = strip(F.get(F.split(strip("content"), "\n"), F.lit(0)))
     first_line = F.when(F.length(line) > 0, F.substring(line, 1, 80)).otherwise(F.lit("Sin título"))
-    listed = top_k(hits.where(F.col("chunk_type") == "exercise"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k if isinstance(k, int) else limit)
-    if not isinstance(k, int):
-        listed = listed.where(F.col("rank") <= k)
+    listed = top_k(hits.where(F.col("chunk_type") == "exercise"), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
     return listed.withColumns({
         "exercise_id": F.coalesce(_field("exercise_id"), F.col("doc_id").cast("string")),
         "exercise_title": F.coalesce(_field("title"), first_line),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrymind.operators.ranking import ewma, first_per_key, top_k
+from quarrymind.operators.ranking import ewma_fold, ewma_parts, ewma_totals, first_per_key, top_k
 
 QUALITY_ALPHA, MASTERY_ALPHA = 0.1, 0.2
 
@@ -31,16 +31,33 @@ def profiles(students: DataFrame, student_concept: DataFrame) -> DataFrame:
     )
 
 
+def _quality_mean() -> dict:
+    return {"average_response_quality": (F.col("score"), QUALITY_ALPHA, 0.0)}
+
+
+def _mastery_mean() -> dict:
+    return {"mastery_score": (F.col("score"), MASTERY_ALPHA, None)}
+
+
+def profile_parts(interactions: DataFrame, tie: str = "interaction_id") -> DataFrame:
+    """What a batch of interactions adds to each student."""
+    scored = interactions.where(F.col("score").isNotNull())
+    counts = [F.count_if(F.col("score") >= 0.7).alias("correct_answers"), F.max("ts").alias("last_active")]
+    return ewma_parts(scored, ["student_id"], "ts", tie, _quality_mean(), counts)
+
+
+def profiles_of(parts: DataFrame, order: str | None = None) -> DataFrame:
+    """Totals per student from parts; with ``order`` those of several batches."""
+    folded = ewma_fold(parts, ["student_id"], _quality_mean(), order) if order else parts
+    return ewma_totals(folded, ["student_id"], _quality_mean()).withColumnRenamed("n", "total_questions")
+
+
 def update_profiles(interactions: DataFrame, stored: DataFrame | None = None, tie: str = "interaction_id") -> DataFrame:
     """Question counts, correct answers (score at least 0.7) and running answer quality per student.
 
     With ``stored`` the totals continue from each student's present values.
     """
-    scored = interactions.where(F.col("score").isNotNull())
-    fresh = ewma(
-        scored, ["student_id"], "ts", tie, {"average_response_quality": (F.col("score"), QUALITY_ALPHA, 0.0)},
-        [F.count_if(F.col("score") >= 0.7).alias("correct_answers"), F.max("ts").alias("last_active")],
-    ).withColumnRenamed("n", "total_questions")
+    fresh = profiles_of(profile_parts(interactions, tie))
     if stored is None:
         return fresh
     old = stored.select(
@@ -58,11 +75,19 @@ def update_profiles(interactions: DataFrame, stored: DataFrame | None = None, ti
 
 def mastery(interactions: DataFrame, tie: str = "interaction_id") -> DataFrame:
     """Mastery per student and concept: the first score, then a running mean of the later ones."""
+    return mastery_of(mastery_parts(interactions, tie))
+
+
+def mastery_parts(interactions: DataFrame, tie: str = "interaction_id") -> DataFrame:
+    """What a batch of interactions adds to each student and concept."""
     scored = interactions.where(F.col("score").isNotNull())
-    totals = ewma(
-        scored, ["student_id", "concept_id"], "ts", tie, {"mastery_score": (F.col("score"), MASTERY_ALPHA, None)},
-        [F.max("ts").alias("last_reviewed")],
-    )
+    return ewma_parts(scored, ["student_id", "concept_id"], "ts", tie, _mastery_mean(), [F.max("ts").alias("last_reviewed")])
+
+
+def mastery_of(parts: DataFrame, order: str | None = None) -> DataFrame:
+    """Mastery from parts; with ``order`` those of several batches."""
+    keys = ["student_id", "concept_id"]
+    totals = ewma_totals(ewma_fold(parts, keys, _mastery_mean(), order) if order else parts, keys, _mastery_mean())
     low = F.col("mastery_score") < 0.4
     return totals.select(
         "student_id", "concept_id", "mastery_score", F.col("n").alias("interactions"), "last_reviewed",

@@ -4,50 +4,92 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrymind.functions import text as tx
 from quarrymind.functions.rows import unfold
 from quarrymind.operators.ranking import top_k
-from quarrymind.session import cut_lineage, small_side
+from quarrymind.session import cut_lineage, scratch_path, small_side
 
 K1 = 1.2
 B = 0.75
 
 
+BUCKETS = 64
+SPREAD = 4
+
+
 class LexicalIndex(NamedTuple):
-    """``postings(term, doc_id, tf, dl)``, ``terms(term, df)`` and one row ``stats(n_docs, avgdl)``."""
+    """``postings(bucket, term, doc_id, tf, dl)`` and ``stats(n_docs, words)`` with one row per build or addition.
+
+    Stored postings lie in one folder per bucket of terms, so a search reads the buckets of its terms only.
+    """
 
     postings: DataFrame
-    terms: DataFrame
     stats: DataFrame
 
+    @property
+    def terms(self) -> DataFrame:
+        """``(term, df)`` of all terms."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def totals(self) -> DataFrame:
+        """One row ``(n_docs, avgdl)``."""
+        return self.stats.agg(F.sum("n_docs").alias("n_docs"), (F.sum("words") / F.sum("n_docs")).alias("avgdl"))
+
 
 def terms_of(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"(?U)\W+"), lambda w: w != "")
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved: bool = True) -> LexicalIndex:
-    """Count terms inside each document row, so building postings shuffles nothing.
+def _bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-    With ``saved`` the postings and both statistics tables are written once to the shared
-    folder, and every search reads those and not the texts.
-    """
+
+def _postings(docs: DataFrame, key: str, col: str) -> DataFrame:
+    """Terms counted inside each document row."""
     counted = docs.select(F.col(key).alias("doc_id"), terms_of(col).alias("terms")).select(
         "doc_id", F.size("terms").alias("dl"), tx.count_runs(F.col("terms")).alias("runs")
     )
-    postings = counted.select("doc_id", "dl", F.explode_outer("runs").alias("r")).select(
-        F.col("r.word").alias("term"), "doc_id", F.col("r.n").alias("tf"), "dl"
-    )
-    if saved:
-        postings = cut_lineage(postings, "postings")
-    # A document's postings lie together, so this collapses to one row per document map-side.
-    per_doc = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    stats = per_doc.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    terms = postings.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
-    if saved:
-        terms, stats = cut_lineage(terms, "terms"), cut_lineage(stats, "stats")
-    return LexicalIndex(postings, terms, stats)
+    rows = unfold(counted, ["doc_id", "dl"], "runs", "r")
+    return rows.select(_bucket("r.word").alias("bucket"), F.col("r.word").alias("term"), "doc_id", F.col("r.n").alias("tf"), "dl")
+
+
+def _stats(docs: DataFrame, col: str) -> DataFrame:
+    """Documents and words, from the document rows."""
+    size = F.size(terms_of(col)).cast("long")
+    return docs.select(size.alias("dl")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0).cast("long")).alias("words"))
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved: bool = True, folder: str | None = None) -> LexicalIndex:
+    """An index of a document table; with ``saved`` it is stored in ``folder`` (a new scratch folder without one).
+
+    A stored index is read by later searches, can be opened again with :func:`load_index` and grows by :func:`add_to_index`.
+    """
+    if not saved:
+        return LexicalIndex(_postings(docs, key, col), _stats(docs, col))
+    folder = folder or scratch_path(docs.sparkSession, "index")
+    add_to_index(docs, folder, key, col)
+    return load_index(docs.sparkSession, folder)
+
+
+def add_to_index(docs: DataFrame, folder: str, key: str = "doc_id", col: str = "text") -> None:
+    """Store the postings of documents that the index does not hold yet.
+
+    Postings are dealt by bucket and a few shares of the documents, so a frequent term's postings are written by several tasks.
+    """
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    rows = _postings(docs, key, col).repartition("bucket", share).sortWithinPartitions("bucket", "term")
+    rows.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
+    _stats(docs, col).withColumn("kind", F.lit(str(docs.schema[key].dataType.simpleString()))).write.mode("append").parquet(f"{folder}/stats")
+
+
+def load_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    stats = spark.read.parquet(f"{folder}/stats")
+    kind = stats.select("kind").first()["kind"]
+    schema = f"term string, doc_id {kind}, tf int, dl int, bucket int"
+    return LexicalIndex(spark.read.schema(schema).parquet(f"{folder}/postings"), stats.select("n_docs", "words"))
 
 
 def bm25_search(
@@ -60,16 +102,22 @@ def bm25_search(
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms_of(col)).alias("terms"))
     wanted = unfold(asked, ["query_id", F.size("terms").alias("n_terms")], "terms", "term")
-    stats = index.stats.select(F.struct("n_docs", "avgdl")).scalar()
+    stats = index.totals.select(F.struct("n_docs", "avgdl")).scalar()
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
+    terms = small_side(wanted.select("term").distinct().withColumn("bucket", _bucket("term")))
+    # Their buckets, never more than there are, are all that is read of a stored index.
+    read = index.postings.where(F.col("bucket").isin([r["bucket"] for r in terms.select("bucket").distinct().collect()]))
+    found = read.join(terms, ["bucket", "term"])
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = (
-        wanted.join(index.terms, "term")
+        wanted.join(df, "term")
         .withColumn("idf", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        .withColumn("bucket", _bucket("term"))
         .drop("df")
     )
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     scored = (
-        index.postings.join(small_side(weighted, wanted), "term")
+        read.join(small_side(weighted), ["bucket", "term"])
         .groupBy("query_id", "doc_id")
         .agg(
             F.round(F.sum(F.col("idf") * tf), 9).alias("score"),
@@ -114,8 +162,7 @@ def substring_pairs(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     piece = F.when(F.length("pattern") <= 3, F.array("pattern")).otherwise(_grams(F.col("pattern"), 3))
     pieces = unfold(patterns.where(F.length("pattern") > 0), ["pattern"], F.array_distinct(piece), "gram")
-    lengths = [r[0] for r in pieces.select(F.length("gram")).distinct().collect()]  # at most 1, 2 and 3
-    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.col("string"), n) for n in lengths]))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("string"), n) for n in (1, 2, 3)]))
     string_grams = cut_lineage(
         unfold(strings, ["string"], grams, "gram").join(small_side(pieces.select("gram").distinct()), "gram", "left_semi"), "grams"
     )
@@ -132,25 +179,25 @@ def substring_pairs(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def query_keywords(queries: DataFrame, query_id: str = "query_id", col: str = "text", first: int = 5) -> DataFrame:
-    """Keywords per query, or its first words when it has none."""
-    return queries.select(F.col(query_id).alias("query_id"), tx.keywords(col).alias("kw"), tx.words(F.lower(F.col(col))).alias("w")).select(
+def query_keywords(queries: DataFrame, query_id: str = "query_id", col: str = "text", first: int = 5, keywords: int = 10) -> DataFrame:
+    """Up to ``keywords`` keywords per query, or its ``first`` words when it has none."""
+    return queries.select(F.col(query_id).alias("query_id"), tx.keywords(col, keywords).alias("kw"), tx.words(F.lower(F.col(col))).alias("w")).select(
         "query_id", F.when(F.size("kw") > 0, F.col("kw")).otherwise(F.slice("w", 1, first)).alias("keywords")
     )
 
 
 def keyword_fallback(
     docs: DataFrame, queries: DataFrame, limit: int = 10, min_score: float = 0.0, key: str = "doc_id",
-    col: str = "text", query_id: str = "query_id", query_col: str = "text",
+    col: str = "text", query_id: str = "query_id", query_col: str = "text", direct: int = 5, keywords: int = 10,
 ) -> DataFrame:
-    """Documents containing any of a query's first five keywords, scored by capped counts.
+    """Documents containing any of a query's first ``direct`` keywords, scored by capped counts of all of them.
 
     A keyword has no white space, so each of its occurrences lies inside one space-free
     token. Substring search therefore runs over the distinct tokens, and counts per
     document come from (token, document) pairs.
     """
     kw = unfold(
-        query_keywords(queries, query_id, query_col), ["query_id", F.size("keywords").alias("n_kw")], "keywords", "pattern", "pos"
+        query_keywords(queries, query_id, query_col, direct, keywords), ["query_id", F.size("keywords").alias("n_kw")], "keywords", "pattern", "pos"
     )
     counted = unfold(docs, [F.col(key).alias("doc_id")], tx.count_runs(tx.words(F.lower(F.col(col)))), "r")
     tokens = cut_lineage(
@@ -169,7 +216,7 @@ def keyword_fallback(
         .groupBy("query_id", "doc_id")
         .agg(
             F.round(F.sum("n") / (F.first("n_kw") * 3), 9).alias("score"),
-            F.max((F.col("pos") < 5).cast("int")).alias("direct"),
+            F.max((F.col("pos") < direct).cast("int")).alias("direct"),
         )
         .where((F.col("direct") == 1) & (F.col("score") >= min_score))
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key; Spark prunes to ``k`` per key before the shuffle."""
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key; Spark prunes to a constant ``k`` per key before the shuffle."""
     spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= k)
 
@@ -49,7 +49,14 @@ def ewma(
     counts, which are summed over the spans; aliases starting with ``last_`` hold maxima.
     Adds ``n``, the number of rows.
     """
-    extra = extra or []
+    return ewma_totals(ewma_parts(df, keys, ts, tie, values, extra, span), keys, values)
+
+
+def ewma_parts(
+    df: DataFrame, keys: list[str], ts: str, tie: str, values: dict[str, tuple[Column, float, float | None]],
+    extra: list[Column] | None = None, span: str = "HOUR",
+) -> DataFrame:
+    """What :func:`ewma` knows of the rows of each key, one row per key, so that later rows can still be folded in."""
     newest = Window.partitionBy(*keys, "_span").orderBy(F.col(ts).desc(), F.col(tie).desc())
     aged = df.withColumn("_span", F.date_trunc(span, F.col(ts))).withColumn("_age", F.row_number().over(newest) - 1)
     parts = []
@@ -58,20 +65,34 @@ def ewma(
         parts.append(F.sum(weight * value).alias(f"_part{i}"))
         if start is None:
             parts.append(F.min_by(value, F.struct(ts, tie)).alias(f"_first{i}"))
-    spans = aged.groupBy(*keys, "_span").agg(*parts, F.count("*").alias("_n"), *extra)
-    later = Window.partitionBy(*keys).orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = spans.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
-    totals = []
-    for i, (name, (value, alpha, start)) in enumerate(values.items()):
-        keep = F.lit(1.0 - alpha)
-        base = F.min_by(f"_first{i}", "_span") if start is None else F.lit(start)
-        totals.append((F.sum(F.col(f"_part{i}") * F.pow(keep, F.col("_later"))) + F.pow(keep, F.sum("_n")) * base).alias(name))
-    names = [c for c in spans.columns if c not in keys and not c.startswith("_")]
+    spans = aged.groupBy(*keys, "_span").agg(*parts, F.count("*").alias("_n"), *(extra or []))
+    return ewma_fold(spans, keys, values, "_span")
+
+
+def ewma_fold(parts: DataFrame, keys: list[str], values: dict[str, tuple], order: str) -> DataFrame:
+    """One row per key from parts that follow each other by ``order``."""
+    later = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    folded = []
+    for i, (_, alpha, start) in enumerate(values.values()):
+        folded.append(F.sum(F.col(f"_part{i}") * F.pow(F.lit(1.0 - alpha), F.col("_later"))).alias(f"_part{i}"))
+        if start is None:
+            folded.append(F.min_by(f"_first{i}", order).alias(f"_first{i}"))
+    names = [c for c in parts.columns if c not in keys and c != order and not c.startswith("_")]
     return placed.groupBy(*keys).agg(
-        *totals, F.sum("_n").alias("n"), *[(F.max(c) if c.startswith("last_") else F.sum(c)).alias(c) for c in names]
+        *folded, F.sum("_n").alias("_n"), *[(F.max(c) if c.startswith("last_") else F.sum(c)).alias(c) for c in names]
     )
 
 
+def ewma_totals(parts: DataFrame, keys: list[str], values: dict[str, tuple]) -> DataFrame:
+    """The means, from one row of parts per key."""
+    totals = []
+    for i, (name, (_, alpha, start)) in enumerate(values.items()):
+        base = F.col(f"_first{i}") if start is None else F.lit(start)
+        totals.append((F.col(f"_part{i}") + F.pow(F.lit(1.0 - alpha), F.col("_n")) * base).alias(name))
+    return parts.select(*keys, *totals, F.col("_n").alias("n"), *[c for c in parts.columns if c not in keys and not c.startswith("_")])
+
+
 def as_of(
     left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str],
     tie: str, span: str = "HOUR",
@@ -83,8 +104,8 @@ def as_of(
     span over one row per span, which spreads a frequent key.
     """
     item = F.struct(F.col(right_ts).alias("_at"), *payload)
-    events = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"), F.struct(*left.columns).alias("_row")).unionByName(
-        right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), item.alias("_item")),
+    events = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*left.columns).alias("_row")).unionByName(
+        right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), item.alias("_item")),
         allowMissingColumns=True,
     ).withColumn("_span", F.date_trunc(span, "_t"))
     inside = Window.partitionBy(*keys, "_span").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)

@@ -77,7 +77,7 @@ def list_sources(sources: DataFrame, runs: DataFrame, limit: int = 100) -> DataF
 
     ``runs(run_id, source_id, status, message, chunks_created, started_at, completed_at)``.
     """
-    stored = sources.orderBy(F.col("created_at").desc_nulls_last(), "source_id").limit(limit).select(
+    stored = sources.select(
         "source_id", F.coalesce("title", F.lit("Sin título")).alias("title"), F.coalesce("content_type", F.lit("text")).alias("source_type"),
         F.lit("completed").alias("status"), F.coalesce("total_chunks", F.lit(0)).cast("long").alias("chunk_count"), "created_at",
     )
@@ -96,7 +96,7 @@ def list_sources(sources: DataFrame, runs: DataFrame, limit: int = 100) -> DataF
 
 def list_runs(runs: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
     kept = runs if status is None else runs.where(F.col("status") == status)
-    return kept.orderBy(F.col("started_at").desc_nulls_last(), "run_id").limit(min(limit, 100))
+    return kept.orderBy(F.col("started_at").desc_nulls_last(), "run_id").limit(limit)
 
 
 def run_counts(runs: DataFrame) -> DataFrame:

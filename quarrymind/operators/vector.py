@@ -17,12 +17,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarrymind.functions import vectors as vx
 from quarrymind.operators.ranking import top_k
-from quarrymind.session import fits
+from quarrymind.session import cut_lineage
 
-MAX_BROADCAST_VALUES = 4_000_000  # 32 MB of doubles
-BLOCK_ROWS = 8192
+BLOCK_VALUES = 2_000_000  # numbers in a block, 16 MB
 QUERY_ROWS = 512  # queries scored at once, which bounds the score matrix
-
+MAX_CELLS = 1 << 20  # more cells than any index is built with
 
 
 def _hit_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
@@ -34,16 +33,19 @@ def _hit_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
     ])
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of the vectors of dimension ``dim``, and the positions they had."""
+def _matrices(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: unit rows of the vectors of that dimension, and the positions they had. Empty vectors and nulls are left out."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths = np.diff(column.offsets.to_numpy())
-    usable = np.flatnonzero((lengths == dim) & np.asarray(column.is_valid()))
-    picked = column.take(pa.array(usable))
-    rows = picked.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0), usable
+    lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    lengths = np.where(np.asarray(column.is_valid()), lengths, 0)
+    out = {}
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        usable = np.flatnonzero(lengths == dim)
+        rows = column.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        out[dim] = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0), usable
+    return out
 
 
 def _best(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, skip_self: bool, schema: pa.Schema) -> pa.RecordBatch:
@@ -62,44 +64,21 @@ def _best(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _block_rows(dim: int) -> int:
-    return max(256, min(BLOCK_ROWS, 8_000_000 // max(dim, 1)))
-
-
-def _scan_with_broadcast(vectors: DataFrame, queries: DataFrame, dim: int, k: int, skip_self: bool) -> DataFrame:
-    """Few queries: every task holds them all and vectors are read in place, unshuffled."""
-    rows = queries.select("query_id", "embedding").toArrow()
-    qmat, used = _matrix(rows["embedding"], dim)
-    schema = _hit_schema(vectors, queries)
-    arrow = to_arrow_schema(schema)
-    shared = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy()[used], qmat))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, queries_matrix = shared.value
-        for batch in batches:
-            mat, at = _matrix(batch.column("embedding"), dim)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
-            if len(ids):
-                for i in range(0, len(qids), QUERY_ROWS):
-                    part = slice(i, i + QUERY_ROWS)
-                    yield _best(qids[part], queries_matrix[part], ids, mat, k, skip_self, arrow)
-
-    return vectors.select("doc_id", "embedding").mapInArrow(score, schema)
-
-
-def _scan_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], dim: int, k: int, skip_self: bool) -> DataFrame:
-    """Meet bounded blocks of both sides on ``keys``; a block emits its best hits only."""
+def _scan_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, skip_self: bool) -> DataFrame:
+    """Meet bounded blocks of both sides on ``keys``; a block emits its best hits only. Vectors meet queries of their own dimension."""
     schema = _hit_schema(vectors, queries)
     arrow = to_arrow_schema(schema)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        mat, at = _matrix(left["embedding"], dim) if left.num_rows else (None, [])
-        qmat, used = _matrix(right["embedding"], dim) if right.num_rows else (None, [])
-        if not len(at) or not len(used):
-            return arrow.empty_table()
-        ids, qids = left["doc_id"].to_numpy()[at], right["query_id"].to_numpy()[used]
-        parts = (slice(i, i + QUERY_ROWS) for i in range(0, len(qids), QUERY_ROWS))
-        return pa.Table.from_batches([_best(qids[p], qmat[p], ids, mat, k, skip_self, arrow) for p in parts])
+        found = []
+        asked = _matrices(right["embedding"]) if right.num_rows else {}
+        for dim, (mat, at) in (_matrices(left["embedding"]) if left.num_rows and asked else {}).items():
+            if dim in asked:
+                qmat, used = asked[dim]
+                ids, qids = left["doc_id"].to_numpy()[at], right["query_id"].to_numpy()[used]
+                for i in range(0, len(qids), QUERY_ROWS):
+                    found.append(_best(qids[i : i + QUERY_ROWS], qmat[i : i + QUERY_ROWS], ids, mat, k, skip_self, arrow))
+        return pa.Table.from_batches(found, arrow)
 
     return (
         vectors.select(*keys, "doc_id", "embedding").groupBy(*keys)
@@ -108,42 +87,38 @@ def _scan_blocks(vectors: DataFrame, queries: DataFrame, keys: list[str], dim: i
     )
 
 
-def _dimension(vectors: DataFrame) -> int:
-    row = vectors.where(F.size("embedding") > 0).select(F.size("embedding").alias("d")).first()
-    return row["d"] if row else 0
-
-
 def _named(vectors: DataFrame, queries: DataFrame, key: str, col: str, query_id: str, query_col: str) -> tuple[DataFrame, DataFrame]:
     v = vectors.select(F.col(key).alias("doc_id"), F.col(col).alias("embedding"), *[c for c in ("cell",) if c in vectors.columns])
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_col).alias("embedding"))
     return v.where(F.col("embedding").isNotNull()), q.where(F.col("embedding").isNotNull())
 
 
+def _blocks(rows: DataFrame, values: int) -> int:
+    """Blocks so that each holds about ``values`` numbers."""
+    total = rows.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    return max(1, -(-total // values))
+
+
 def vector_search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.0, filters: Column | None = None,
     key: str = "vec_id", col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
-    skip_self: bool = False, max_broadcast: int = MAX_BROADCAST_VALUES,
+    skip_self: bool = False, block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Exact cosine top-k for a table of queries: ``(query_id, doc_id, score, distance, rank)``.
 
-    Filters apply before ranking. Queries whose vectors fit ``max_broadcast`` values go to
-    every task. Larger query tables are cut, like the vectors, into bounded blocks that
-    meet block by block; both ways give the same rows.
+    Filters apply before ranking; a vector is compared with queries of its own dimension. Both tables are cut into blocks of
+    about ``block_values`` numbers that meet block by block, so the vectors are sent once per block of queries. For many
+    queries :func:`cell_search` gives the same rows and leaves out what cannot be among them.
     """
     if filters is not None:
         vectors = vectors.where(filters)
     v, q = _named(vectors, queries, key, col, query_id, query_col)
-    dim = _dimension(v)
-    if fits(q, max_broadcast // max(dim, 1)):
-        hits = _scan_with_broadcast(v, q, dim, k, skip_self)
-    else:
-        rows = _block_rows(dim)
-        n_v, n_q = -(-v.count() // rows) or 1, -(-q.count() // rows) or 1
-        spread = lambda df, c, n: F.pmod(F.xxhash64(c), F.lit(n))
-        v_blocks = v.withColumn("vb", spread(v, "doc_id", n_v)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-        q_blocks = q.withColumn("qb", spread(q, "query_id", n_q)).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
-        hits = _scan_blocks(v_blocks, q_blocks, ["vb", "qb"], dim, k, skip_self)
-    return _finish(hits, k, min_score)
+    n_v, n_q = _blocks(v, block_values), _blocks(q, block_values)
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v_blocks = v.withColumn("vb", spread("doc_id", n_v)).withColumn("qb", every(n_q))
+    q_blocks = q.withColumn("qb", spread("query_id", n_q)).withColumn("vb", every(n_v))
+    return _finish(_scan_blocks(v_blocks, q_blocks, ["vb", "qb"], k, skip_self), k, min_score)
 
 
 def _finish(hits: DataFrame, k: int, min_score: float) -> DataFrame:
@@ -163,42 +138,81 @@ def similar_items(
 
 
 def build_ivf(vectors: DataFrame, n_cells: int = 16, key: str = "vec_id", col: str = "embedding", seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Assign unit vectors to k-means cells: ``(vectors with cell, centers(cell, center))``."""
-    unit = vectors.where(F.size(col) > 0).withColumn("_unit", array_to_vector(vx.l2_normalize(F.col(col))))
-    model = KMeans(k=n_cells, seed=seed, featuresCol="_unit", predictionCol="cell", maxIter=10).fit(unit)
+    """Assign unit vectors to k-means cells: ``(vectors with cell, centers(cell, center, radius))``.
+
+    ``radius`` is the largest angle between a cell's center and its vectors. The vectors are written once and read by every
+    step of the clustering; null vectors are in no cell and empty ones are left out.
+    """
+    unit = vectors.where(F.size(col) > 0).withColumn("_unit", vx.l2_normalize(F.col(col)))
+    unit = cut_lineage(unit, "unit-vectors").withColumn("_features", array_to_vector("_unit"))
+    model = KMeans(k=n_cells, seed=seed, featuresCol="_features", predictionCol="cell", maxIter=10).fit(unit)
     centers = vectors.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, center array<double>"
     )
-    return model.transform(unit).drop("_unit"), centers
+    cells = cut_lineage(model.transform(unit).drop("_features"), "cells")
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), vx.cosine(F.col("_unit"), F.col("center")))))
+    radii = cells.join(F.broadcast(centers), "cell").groupBy("cell").agg(F.max(angle).alias("radius"))
+    return cells.drop("_unit"), centers.join(radii, "cell")
+
+
+def _probe(v: DataFrame, q: DataFrame, probes: DataFrame, k: int, block_values: int) -> DataFrame:
+    """Best ``k`` hits of each ``probes(query_id, cell)``; large cells are cut into blocks by their own size."""
+    size = F.ceil(F.sum(F.size("embedding")) / block_values).cast("long")
+    # One row per cell, so never more rows than cells were asked for.
+    sizes = v.groupBy("cell").agg(F.greatest(size, F.lit(1).cast("long")).alias("n_blocks"))
+    v_blocks = v.join(F.broadcast(sizes), "cell").withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")))
+    n_q = _blocks(q, block_values)
+    v_blocks = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    q_blocks = probes.join(q, "query_id").join(F.broadcast(sizes), "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
+    q_blocks = q_blocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    return _scan_blocks(v_blocks, q_blocks, ["cell", "vb", "qb"], k, False)
 
 
 def ivf_search(
     cells: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, min_score: float = 0.0,
     key: str = "vec_id", col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
+    block_values: int = BLOCK_VALUES,
+) -> DataFrame:
+    """Score only the ``nprobe`` cells whose centers are nearest to each query. Faster than :func:`cell_search`, not exact."""
+    v, q = _named(cells, queries, key, col, query_id, query_col)
+    near = _near_cells(centers, q).where(F.col("rank") <= nprobe).select("query_id", "cell")
+    return _finish(_probe(v, q, near, k, block_values), k, min_score)
+
+
+def _near_cells(centers: DataFrame, q: DataFrame) -> DataFrame:
+    """``(query_id, cell, rank, best)``: cells by nearness of their centers, and the best score that any vector of the cell can have.
+
+    By the triangle inequality of angles, a vector within ``radius`` of the center is at least ``angle - radius`` from the query.
+    """
+    found = vector_search(centers, q, MAX_CELLS, -1.0, key="cell", col="center", query_id="query_id", query_col="embedding")
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score"))))
+    held = found.select("query_id", F.col("doc_id").cast("int").alias("cell"), "rank", angle.alias("angle")).join(
+        F.broadcast(centers.select("cell", "radius")), "cell"
+    )
+    return held.withColumn("best", F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))) + 1e-9)
+
+
+def cell_search(
+    cells: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.0, first: int = 1,
+    key: str = "vec_id", col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
-    """Score only the ``nprobe`` cells whose centers are nearest to each query.
+    """The rows of :func:`vector_search`, from the cells that can hold them.
 
-    Cells are cut into bounded blocks by their own size, so a cell holding a large share
-    of the vectors is spread over many tasks.
+    Each query first meets its ``first`` nearest cells. Its ``k``-th score there is a floor, and of the other cells only those are
+    read whose bound reaches it; a skipped cell provably holds no hit.
     """
     v, q = _named(cells, queries, key, col, query_id, query_col)
-    dim = _dimension(v)
-    center_queries = vector_search(
-        centers, q, nprobe, -1.0, key="cell", col="center", query_id="query_id", query_col="embedding"
-    ).select("query_id", F.col("doc_id").cast("int").alias("cell"))
-    rows = _block_rows(dim)
-    # One row per cell, so never more rows than cells were asked for.
-    sizes = v.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("long").alias("n_blocks"))
-    v_blocks = v.join(F.broadcast(sizes), "cell").withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")))
-    probes = center_queries.join(q, "query_id").join(F.broadcast(sizes), "cell")
-    n_q = max(1, -(-q.count() // rows))
-    q_blocks = probes.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
-    if n_q > 1:
-        v_blocks = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    else:
-        v_blocks = v_blocks.withColumn("qb", F.lit(0).cast("long"))
-    q_blocks = q_blocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    return _finish(_scan_blocks(v_blocks, q_blocks, ["cell", "vb", "qb"], dim, k, False), k, min_score)
+    near = cut_lineage(_near_cells(centers, q), "near-cells")
+    start = cut_lineage(_probe(v, q, near.where(F.col("rank") <= first).select("query_id", "cell"), k, block_values), "first-cells")
+    floors = top_k(start, ["query_id"], [F.col("score").desc()], k, "_r").groupBy("query_id").agg(
+        F.max(F.when(F.col("_r") == k, F.col("score"))).alias("floor")
+    )
+    more = near.where(F.col("rank") > first).join(floors, "query_id", "left").where(
+        F.col("best") >= F.greatest(F.coalesce("floor", F.lit(-1.0)), F.lit(float(min_score)))
+    )
+    rest = _probe(v, q, more.select("query_id", "cell"), k, block_values)
+    return _finish(start.unionByName(rest), k, min_score)
 
 
 def avg_embedding(df: DataFrame, key: str, col: str = "embedding", order: str | None = None) -> DataFrame:

@@ -68,9 +68,17 @@ def contents(corpus: Corpus) -> DataFrame:
     )
 
 
+def _found(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The stored rows of ``texts`` that are hits. An inner join, so the few ids are sent to the texts and the corpus stays
+    in place; the result is small."""
+    ids = cut_lineage(hits.select("doc_id").distinct(), "hit-ids")
+    return cut_lineage(texts.join(ids, "doc_id"), "hit-texts")
+
+
 def _with_content(hits: DataFrame, corpus: Corpus) -> DataFrame:
     """Hits with their text; one whose text is not stored keeps its place with an empty one."""
-    return hits.join(contents(corpus), "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    texts = _found(hits, contents(corpus))
+    return hits.join(texts, "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 def hybrid_retrieve(
@@ -151,7 +159,7 @@ def retrieve_with_strategy(queries: DataFrame, corpus: Corpus) -> DataFrame:
         .where((F.col("source") != "vector") | (F.col("score") >= needed))
         .where(~listing | (F.col("source") == "vector"))
     ), "hits")
-    kept = ht.filter_chunk_type(ht.to_hits(text_hits.join(described, "doc_id", "left")), F.col("chunk_type_filter"), listing, ["query_id", "source"])
+    kept = ht.filter_chunk_type(ht.to_hits(text_hits.join(_found(text_hits, described), "doc_id", "left")), F.col("chunk_type_filter"), listing, ["query_id", "source"])
     place = Window.partitionBy("query_id").orderBy(F.col("source").desc(), "rank")
     positioned = kept.withColumn("position", F.row_number().over(place))
     enhanced = (F.col("strategy") == "graph_enhanced") & F.col("expand_concepts")
@@ -170,7 +178,7 @@ def retrieve_with_strategy(queries: DataFrame, corpus: Corpus) -> DataFrame:
         F.col("rank") <= F.col("top_k") * 3
     )
     best = fusion.dedup_hits(_with_content(cut_lineage(fused, "fused"), corpus)).where(F.col("rank") <= F.col("top_k"))
-    listed = ht.exercise_listing(kept.where(listing).drop("rank"), F.col("top_k"), max_k * 2)
+    listed = ht.exercise_listing(kept.where(listing).drop("rank"), F.col("top_k"))
     shared = ["query_id", "doc_id", "rank", "final_score", "content", "exercise_title", "difficulty"]
     return best.withColumns({"exercise_title": F.lit(None).cast("string"), "difficulty": F.lit(None).cast("string")}).select(*shared).unionByName(
         listed.withColumnRenamed("score", "final_score").select(*shared)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,8 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Folders of the scratch blocks that are open now, the innermost last.
+_open: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside this block go to a folder of their own, which is deleted at its end.
+
+    Results that are not written or collected by then can no longer be read. Outside of such a block the caller owns what is
+    written, for instance an index that later searches use.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    base = _open[-1] if _open else shared_dir(spark).rstrip("/")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
@@ -60,17 +84,9 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-MAX_BROADCAST_ROWS = 500_000
-
-
-def small_side(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``df`` marked for broadcast when ``rows``, which bounds its size, is counted to be small.
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side that is expected to be small, written so that its size in bytes is known when the join is planned.
 
-    The other side of the join is then read in place. Otherwise the join shuffles both.
+    Spark then broadcasts it below its own threshold, and the other side is read in place; above it both are shuffled.
     """
-    return F.broadcast(df) if fits(df if rows is None else rows, MAX_BROADCAST_ROWS) else df
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return cut_lineage(df, "small")

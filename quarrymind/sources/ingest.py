@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quarrymind.functions import text as tx
 from quarrymind.operators import chunking as ch
@@ -57,12 +58,38 @@ def reprocess(docs: DataFrame, ids: DataFrame, key: str = "source_id", **options
     return ingest(docs.join(small_side(ids.select(key).distinct()), key, "left_semi"), key, **options)
 
 
-def write_ingested(result: Ingested, base: str) -> None:
-    """Add the results to the stored tables; edges are laid out by type."""
-    result.sources.write.mode("append").parquet(f"{base}/sources")
-    result.chunks.write.mode("append").parquet(f"{base}/chunks")
-    result.edges.write.mode("append").partitionBy("edge_type").parquet(f"{base}/edges")
-    result.rejects.write.mode("append").parquet(f"{base}/rejects")
+def write_ingested(result: Ingested, base: str, version: int | None = None) -> int:
+    """Store the results as one version; a source that is stored already is replaced by it, with its chunks and edges.
+
+    Every version has its own folders, so storing it again changes nothing, and it counts only once its list of sources, written
+    last, is there. Without a number the next free one is taken. Edges are laid out by type and carry the source they come from.
+    """
+    spark = result.sources.sparkSession
+    if version is None:
+        stored = _stored(spark, base, "versions")
+        version = 0 if stored is None else stored.agg(F.max("version")).first()[0] + 1
+    owner = result.chunks.select(F.col("chunk_id").alias("src"), "source_id")
+    parts = result._asdict() | {"edges": result.edges.join(owner, "src")}
+    for name, df in parts.items():
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("edge_type") if name == "edges" else writer).parquet(f"{base}/{name}/version={version}")
+    came = result.sources.select("source_id").unionByName(result.rejects.select("source_id")).distinct()
+    came.write.mode("overwrite").parquet(f"{base}/versions/version={version}")
+    return version
+
+
+def _stored(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{base}/{name}")
+    except AnalysisException:  # nothing is stored yet
+        return None
+
+
+def read_ingested(spark: SparkSession, base: str) -> Ingested:
+    """The stored tables, each source as its newest version has it."""
+    newest = spark.read.parquet(f"{base}/versions").groupBy("source_id").agg(F.max("version").alias("version"))
+    tables = [spark.read.parquet(f"{base}/{name}").join(newest, ["source_id", "version"], "left_semi").drop("version") for name in Ingested._fields]
+    return Ingested(*tables)
 
 
 def embed_table(df: DataFrame, embedder: Embedder, dim: int, key: str, col: str = "content", batch_size: int = 50) -> DataFrame:

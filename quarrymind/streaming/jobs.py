@@ -1,93 +1,88 @@
-"""Streams over landed rows: signals, metrics, sessions, edge weights, periods, learners, files."""
+"""Streams over landed rows: signals, metrics, sessions, edge weights, periods, learners, files.
+
+A job has a folder that holds its checkpoint and its changes, one folder per trigger. A trigger that is run again replaces its own
+folder, and a job that is started again with the same folder goes on where it stopped. Tables are read from the changes:
+sums and folded steps of all triggers, or the newest row of each key. How much a trigger takes is set at the
+source (``maxFilesPerTrigger``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrymind.operators import feedback as fb
 from quarrymind.operators import graph, learners
 from quarrymind.session import ROCKSDB_PROVIDER, scratch_path
 from quarrymind.sources import ingest as ig
-from quarrymind.streaming.state import conversation_windows, running_means
+from quarrymind.streaming.state import conversation_windows
 
 
-class Snapshots:
-    """A stored table kept as one version per trigger.
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Process what has landed since the checkpoint, one ``write`` per trigger; returns the last trigger's number.
 
-    A trigger writes its own version from the one before it, so running a trigger again
-    gives the same table. Versions older than the previous one are not needed any more.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _version(self, batch_id: int) -> str:
-        return f"{self.path}/v{batch_id + 1}"
-
-    def create(self, df: DataFrame) -> "Snapshots":
-        df.write.mode("overwrite").parquet(self._version(-1))
-        return self
-
-    def before(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._version(batch_id))
-
-    def latest(self, last_batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._version(last_batch))
-
-
-def run_available(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None
-) -> int:
-    """Process what has landed, one ``write`` per trigger; returns the last trigger's number.
-
-    A new checkpoint fixes the number of state partitions: at most two per core, since each
-    has a store to open and commit at every trigger.
+    ``write`` has to use its rows in one action only, or the plan behind them, state included, would run again.
     """
     spark = stream.sparkSession
-    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        started = (
-            stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
-            .option("checkpointLocation", checkpoint or scratch_path(spark, "stream")).start()
-        )
-        started.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    started = (
+        stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint).start()
+    )
+    started.awaitTermination()
     done = started.lastProgress
     return done["batchId"] if done else -1
 
 
-def upsert_into(table: Snapshots, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Trigger step that replaces the rows of the keys it brings."""
+def record(stream: DataFrame, folder: str, step: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> int:
+    """Write what ``step`` makes of each trigger's rows (the rows themselves without it) to the job's changes."""
+    step = step or (lambda batch: batch)
+    return run_available(
+        stream, lambda batch, i: step(batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={i}"), f"{folder}/checkpoint", mode
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        kept = table.before(batch_id).join(batch.select(*keys), keys, "left_anti")
-        table.write(kept.unionByName(batch), batch_id)
 
-    return write
+def changes(empty: DataFrame, folder: str) -> DataFrame:
+    """All changes of a job with the number of their trigger; ``empty`` has their columns."""
+    spark, marked = empty.sparkSession, empty.withColumn("batch", F.lit(0).cast("long"))
+    try:
+        return spark.read.schema(marked.schema).parquet(f"{folder}/changes")
+    except AnalysisException:  # nothing has landed yet
+        return marked.limit(0)
+
 
+def _none_of(stream: DataFrame) -> DataFrame:
+    return stream.sparkSession.createDataFrame([], stream.schema)
 
-def latest_per_key(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+
+def latest_per_key(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run a keyed stream over what has landed and return the newest row per key."""
-    spark = stream.sparkSession
-    table = Snapshots(spark, path or scratch_path(spark, "keyed"), stream.schema)
-    table.create(spark.createDataFrame([], stream.schema))
-    return table.latest(run_available(stream, upsert_into(table, keys), "update"))
+    folder = folder or scratch_path(stream.sparkSession, "keyed")
+    record(stream, folder, mode="update")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = changes(_none_of(stream), folder).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in stream.columns])
 
 
-def append_all(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Run a stream over what has landed; each trigger writes its own folder."""
-    spark = stream.sparkSession
-    out = path or scratch_path(spark, "appended")
-    run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/trigger={i}"))
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+def append_all(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run a stream over what has landed and return all rows it ever gave."""
+    folder = folder or scratch_path(stream.sparkSession, "appended")
+    record(stream, folder)
+    return changes(_none_of(stream), folder).drop("batch")
+
+
+def totals(
+    stream: DataFrame, parts: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], folder: str | None = None
+) -> DataFrame:
+    """Record what each trigger adds to its keys, and merge what all triggers have added.
+
+    Parts are plain aggregates of one trigger, so there is no keyed state and no key's rows are ever listed.
+    """
+    folder = folder or scratch_path(stream.sparkSession, "totals")
+    record(stream, folder, parts)
+    return merge(changes(parts(_none_of(stream)), folder))
 
 
 # ---------------------------------------------------------------- the streams
@@ -97,58 +92,25 @@ def signals_stream(raw: DataFrame) -> DataFrame:
     return fb.parse_signals(raw)
 
 
-def chunk_metrics_stream(feedback: DataFrame, tie: str = "feedback_id") -> DataFrame:
+def chunk_metrics_stream(feedback: DataFrame, folder: str | None = None, tie: str = "feedback_id") -> DataFrame:
     """Running score and counts per chunk: ``feedback(feedback_id, ts, overall_score, chunk_ids)``."""
-    good = F.col("overall_score") >= 0.6
-    rows = feedback.select(
-        F.explode("chunk_ids").alias("chunk_id"), "ts", tie, "overall_score",
-        good.cast("int").alias("good"), (~good).cast("int").alias("bad"),
-    )
-    totals = running_means(
-        rows, ["chunk_id"], {"average_score": ("overall_score", fb.CHUNK_ALPHA, 0.5)},
-        {"positive_feedback": "good", "negative_feedback": "bad"}, tie=tie,
-    )
-    return totals.select(
-        "chunk_id", F.col("n").alias("total_feedback"), "positive_feedback", "negative_feedback", "average_score",
-        fb.quality(F.col("average_score")).alias("quality"), (F.col("average_score") < 0.4).alias("needs_review"),
-        F.col("last").alias("last_used"),
-    )
+    return totals(feedback, lambda batch: fb.chunk_parts(batch, tie=tie), lambda parts: fb.chunk_metrics_of(parts, "batch"), folder)
 
 
-def concept_metrics_stream(signals: DataFrame) -> DataFrame:
-    """Running confusion and satisfaction per concept, every signal being one report."""
-    kind = F.col("signal_type")
-    mark = (
-        F.when(kind == "rephrase", 2).when(kind == "followup", 1).when(kind == "thumbs_down", 2)
-        .when(kind == "report", 3).when(F.col("value") < 0.4, 1).otherwise(0)
-    )
-    rows = fb.parse_signals(signals).select(
-        F.explode("concept_ids").alias("concept_id"), "ts", "signal_id", "value",
-        F.least(F.lit(1.0), mark / 2).alias("confusion"),
-    )
-    totals = running_means(rows, ["concept_id"], {
-        "confusion_score": ("confusion", fb.CONCEPT_ALPHA, 0.0), "average_satisfaction": ("value", fb.CONCEPT_ALPHA, 0.5)
-    }, {}, tie="signal_id")
-    return totals.select(
-        "concept_id", F.col("n").alias("total_queries"), "average_satisfaction", "confusion_score",
-        (F.col("confusion_score") > 0.5).alias("is_confusing"),
-        ((F.col("confusion_score") > 0.3) | (F.col("average_satisfaction") < 0.5)).alias("needs_improvement"),
-    )
+def concept_metrics_stream(signals: DataFrame, folder: str | None = None) -> DataFrame:
+    """Confusion and satisfaction per concept by the rule of :func:`feedback.concept_metrics`; a query whose signals
+    come in several triggers is one report."""
+    return totals(signals, lambda batch: fb.concept_parts(fb.parse_signals(batch)), lambda parts: fb.concept_metrics_of(parts.drop("batch")), folder)
 
 
 def session_stream(turns: DataFrame, **limits) -> DataFrame:
     return conversation_windows(turns.select("session_id", "turn_no", "token_count", "concepts"), **limits)
 
 
-def edge_update_stream(feedback: DataFrame, table: Snapshots) -> Callable[[], int]:
-    """Job that applies each trigger's feedback to the stored edges; safe to run again."""
-    columns = [f.name for f in table.schema.fields]
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        updated = graph.apply_updates(table.before(batch_id), graph.edge_updates(batch))
-        table.write(updated.select(*columns), batch_id)
-
-    return lambda: run_available(feedback, write)
+def edge_update_stream(feedback: DataFrame, edges: DataFrame, folder: str | None = None) -> DataFrame:
+    """The edges after all feedback that has ever landed; a trigger records one folded step per link it names."""
+    step = lambda batch: graph.fold_updates(graph.edge_updates(batch))
+    return totals(feedback, step, lambda parts: graph.apply_folded(edges, graph.merge_folded(parts)), folder)
 
 
 def period_metrics_stream(feedback: DataFrame, period: str = "7 days", slide: str = "1 day", lateness: str = "1 day") -> DataFrame:
@@ -164,34 +126,16 @@ def period_metrics_stream(feedback: DataFrame, period: str = "7 days", slide: st
     )
 
 
-def mastery_stream(interactions: DataFrame) -> DataFrame:
+def mastery_stream(interactions: DataFrame, folder: str | None = None) -> DataFrame:
     """Running mastery per student and concept."""
-    rows = interactions.where(F.col("score").isNotNull()).select("student_id", "concept_id", "ts", "interaction_id", "score")
-    totals = running_means(rows, ["student_id", "concept_id"], {"mastery_score": ("score", learners.MASTERY_ALPHA, None)}, {}, tie="interaction_id")
-    low = F.col("mastery_score") < 0.4
-    return totals.select(
-        "student_id", "concept_id", "mastery_score", F.col("n").alias("interactions"), F.col("last").alias("last_reviewed"),
-        F.when(F.col("n") == 1, low).otherwise(low & (F.col("n") >= 3)).alias("is_weakness"),
-    )
+    return totals(interactions, learners.mastery_parts, lambda parts: learners.mastery_of(parts, "batch"), folder)
 
 
-def profile_stream(interactions: DataFrame) -> DataFrame:
+def profile_stream(interactions: DataFrame, folder: str | None = None) -> DataFrame:
     """Running question counts and answer quality per student."""
-    rows = interactions.where(F.col("score").isNotNull()).select(
-        "student_id", "ts", "interaction_id", "score", (F.col("score") >= 0.7).cast("int").alias("good")
-    )
-    totals = running_means(
-        rows, ["student_id"], {"average_response_quality": ("score", learners.QUALITY_ALPHA, 0.0)}, {"correct_answers": "good"}, tie="interaction_id"
-    )
-    return totals.select("student_id", F.col("n").alias("total_questions"), "correct_answers", "average_response_quality", F.col("last").alias("last_active"))
+    return totals(interactions, learners.profile_parts, lambda parts: learners.profiles_of(parts, "batch"), folder)
 
 
 def ingest_stream(docs: DataFrame, base: str, key: str = "source_id", **options) -> int:
-    """Ingest landed documents; each trigger writes its own folders, so a repeat replaces them."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        result = ig.ingest(batch, key, **options)
-        for name, df in result._asdict().items():
-            df.write.mode("overwrite").parquet(f"{base}/{name}/trigger={batch_id}")
-
-    return run_available(docs, write)
+    """Ingest landed documents; each trigger is a version of its sources (see :func:`ingest.write_ingested`)."""
+    return run_available(docs, lambda batch, i: ig.write_ingested(ig.ingest(batch, key, **options), base, i), f"{base}/checkpoint")

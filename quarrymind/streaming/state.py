@@ -1,72 +1,19 @@
-"""Keyed state for streams: running means with counts, and conversation windows.
+"""Keyed state for streams: conversation windows.
 
-Both fold the rows of a trigger in (time, id) order. Keys live in the state store, so
-memory holds one key's rows of one trigger, which the source's trigger limit bounds.
+The turns of a trigger are folded in order. A session's window lives in the state store; memory holds one session's
+turns of one trigger, which the source's trigger limit bounds.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-class RunningMeans(StatefulProcessor):
-    """Exponentially weighted means per key with row and flag counts.
-
-    ``means`` maps an output to ``(column, alpha, start)``, where a start of None takes
-    the first value; ``counts`` maps an output to a 0/1 column.
-    """
-
-    def __init__(self, keys: list[str], means: dict, counts: dict, ts: str, tie: str) -> None:
-        self.keys, self.means, self.counts, self.ts, self.tie = keys, means, counts, ts, tie
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("n", T.LongType())]
-        fields += [T.StructField(name, T.DoubleType()) for name in self.means]
-        fields += [T.StructField(name, T.LongType()) for name in self.counts]
-        self.state = handle.getValueState("totals", T.StructType([*fields, T.StructField("last", T.TimestampType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values([self.ts, self.tie], kind="stable")
-        held = self.state.get() if self.state.exists() else None
-        seen = int(held[0]) if held else 0
-        size = len(batch)
-        out = {name: [part] for name, part in zip(self.keys, key)}
-        values = [seen + size]
-        for i, (name, (column, alpha, start)) in enumerate(self.means.items()):
-            x = batch[column].to_numpy(dtype=float)
-            base = held[1 + i] if held else (x[0] if start is None else start)
-            weights = alpha * (1 - alpha) ** np.arange(size - 1, -1, -1)
-            values.append(float(weights @ x + (1 - alpha) ** size * base))
-        for j, column in enumerate(self.counts.values()):
-            before = int(held[1 + len(self.means) + j]) if held else 0
-            values.append(before + int(batch[column].sum()))
-        last = batch[self.ts].iloc[-1].to_pydatetime()
-        if held and held[-1] is not None:
-            last = max(last, pd.Timestamp(held[-1]).tz_localize(None).to_pydatetime())
-        self.state.update((*values, last))
-        names = ["n", *self.means, *self.counts]
-        yield pd.DataFrame({**out, **{c: [v] for c, v in zip(names, values)}, "last": [last]})
-
-    def close(self) -> None:
-        pass
-
-
-def running_means(stream: DataFrame, keys: list[str], means: dict, counts: dict, ts: str = "ts", tie: str = "id") -> DataFrame:
-    """Latest totals of every key touched by a trigger."""
-    fields = [stream.schema[k] for k in keys] + [T.StructField("n", T.LongType())]
-    fields += [T.StructField(name, T.DoubleType()) for name in means]
-    fields += [T.StructField(name, T.LongType()) for name in counts]
-    schema = T.StructType([*fields, T.StructField("last", T.TimestampType())])
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RunningMeans(keys, means, counts, ts, tie), outputStructType=schema, outputMode="Update", timeMode="None"
-    )
-
-
 class ConversationWindow(StatefulProcessor):
     """Turns still held and concepts still active per session, with an optional expiry."""
 
@@ -80,21 +27,23 @@ class ConversationWindow(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("turn_no", kind="stable")
         held = self.state.get() if self.state.exists() else ([], [], [])
-        turns, tokens, concepts = ([int(v) for v in part] for part in held)
-        for turn, cost, named in zip(batch["turn_no"], batch["token_count"], batch["concepts"]):
-            while len(turns) > self.keep_last and sum(tokens) + int(cost) > self.max_tokens:
-                turns.pop(0)
-                tokens.pop(0)
+        turns, tokens, concepts = (deque(int(v) for v in part) for part in held)
+        used = sum(tokens)
+        for turn, cost, named in zip(batch["turn_no"].tolist(), batch["token_count"].tolist(), batch["concepts"]):
+            while turns and (len(turns) >= self.max_turns or len(turns) > self.keep_last and used + cost > self.max_tokens):
+                turns.popleft()
+                used -= tokens.popleft()
             turns.append(int(turn))
             tokens.append(int(cost))
-            turns, tokens = turns[-self.max_turns:], tokens[-self.max_turns:]
-            if named is not None and len(named):
-                for concept in named:
-                    if int(concept) not in concepts:
-                        concepts.append(int(concept))
-                concepts = concepts[-self.active:]
-        self.state.update((turns, tokens, concepts))
-        yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "total_tokens": [sum(tokens)], "concepts": [concepts]})
+            used += int(cost)
+            for concept in [] if named is None else named:
+                if int(concept) not in concepts:
+                    concepts.append(int(concept))
+            while len(concepts) > self.active:
+                concepts.popleft()
+        kept = [list(part) for part in (turns, tokens, concepts)]
+        self.state.update(tuple(kept))
+        yield pd.DataFrame({"session_id": [key[0]], "turns": [kept[0]], "total_tokens": [used], "concepts": [kept[2]]})
 
     def close(self) -> None:
         pass
