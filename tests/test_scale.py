@@ -1,13 +1,17 @@
 """Large-input routes give the rows of the small-input routes, and no key rules the layout."""
 
+import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymind.catalog.common import table
-from quarrymind.operators import lexical, ranking, vector
+from quarrymind.operators import graph, lexical, ranking, tables, vector
+from quarrymind.plans import retrieval
+from quarrymind.session import scratch, shared_dir, small_side
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,25 +20,41 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_block_route_equals_broadcast_route(spark, monkeypatch):
-    monkeypatch.setattr(vector, "_block_rows", lambda dim: 100)
+def test_blocks_do_not_change_the_hits(spark):
     v = table(spark, SF, "embeddings")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
-    small = vector.vector_search(v, q, 5)
-    large = vector.vector_search(v, q, 5, max_broadcast=1)
-    assert rows(small) == rows(large)
+    assert rows(vector.vector_search(v, q, 5)) == rows(vector.vector_search(v, q, 5, block_values=6400))
 
 
-def test_all_cells_equal_exact_search(spark, monkeypatch):
-    monkeypatch.setattr(vector, "_block_rows", lambda dim: 50)
+def test_cells_give_the_exact_hits_and_leave_blocks_out(spark):
     v = table(spark, SF, "embeddings")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     cells, centers = vector.build_ivf(v, 4)
     exact = vector.vector_search(v, q, 5, 0.0)
-    assert rows(vector.ivf_search(cells, centers, q, 5, nprobe=4)) == rows(exact)
+    assert rows(vector.ivf_search(cells, centers, q, 5, nprobe=4, block_values=3200)) == rows(exact)
+    assert rows(vector.cell_search(cells, centers, q, 5, block_values=3200)) == rows(exact)
     near = {(r.query_id, r.doc_id) for r in vector.ivf_search(cells, centers, q, 5, nprobe=2).collect()}
     want = {(r.query_id, r.doc_id) for r in exact.collect()}
     assert len(near & want) / len(want) > 0.5
+    # Clear clusters: the bound proves that most cells hold no hit.
+    points = [(10 * c + i, [float(c == d) + 0.01 * (i + 1) * (d == (c + 1) % 6) for d in range(6)]) for c in range(6) for i in range(8)]
+    v = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    cells, centers = vector.build_ivf(v, 6)
+    near = vector._near_cells(centers, q).collect()
+    fifth = {r.query_id: r.score for r in vector.vector_search(v, q, 5).where("rank = 5").collect()}
+    assert sum(r.best >= fifth[r.query_id] for r in near) <= len(near) / 2
+    assert rows(vector.cell_search(cells, centers, q, 5)) == rows(vector.vector_search(v, q, 5))
+
+
+def test_dimensions_do_not_depend_on_row_order(spark):
+    items = [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.0, 1.0, 0.0]), ("e", []), ("n", None)]
+    asked = [("q", [1.0, 0.0, 0.0]), ("r", [1.0, 0.0])]
+    for order in (1, -1):
+        v = spark.createDataFrame(items[::order], "vec_id string, embedding array<double>").coalesce(1)
+        q = spark.createDataFrame(asked[::order], "query_id string, embedding array<double>").coalesce(1)
+        got = sorted((r.query_id, r.doc_id, r.score) for r in vector.vector_search(v, q, 3).collect())
+        assert got == [("q", "b", 1.0), ("q", "c", 0.0), ("r", "a", 1.0)]
 
 
 def test_text_ids_and_ragged_vectors(spark):
@@ -75,7 +95,7 @@ def test_as_of_matches_brute_force(spark):
     )
     best = {}
     for k, t, i in left:
-        before = [(at, str(p), p) for rk, at, p in right if rk == k and at <= t]
+        before = [(at, p, p) for rk, at, p in right if rk == k and at <= t]
         best[i] = max(before)[2] if before else None
     assert {r.i: r.p for r in got.collect()} == best
 
@@ -100,3 +120,79 @@ def test_results_do_not_depend_on_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert np.isfinite([r[2] for r in one]).all()
+
+
+def test_an_index_that_grew_equals_one_built_at_once(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    q = table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    whole = lexical.build_index(docs, folder=str(tmp_path / "whole"))
+    lexical.add_to_index(docs.where("doc_id % 2 = 0"), str(tmp_path / "grown"))
+    lexical.add_to_index(docs.where("doc_id % 2 = 1"), str(tmp_path / "grown"))
+    grown = lexical.load_index(spark, str(tmp_path / "grown"))
+    assert rows(lexical.bm25_search(grown, q, 5)) == rows(lexical.bm25_search(whole, q, 5))
+    assert rows(grown.totals) == rows(whole.totals) and rows(grown.terms) == rows(whole.terms)
+    assert rows(lexical.bm25_search(lexical.build_index(docs, saved=False), q, 5)) == rows(lexical.bm25_search(whole, q, 5))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_reads_only_the_buckets_of_its_terms(spark, tmp_path):
+    index = lexical.build_index(table(spark, SF, "documents"), folder=str(tmp_path / "index"))
+    q = table(spark, SF, "benchmark").limit(1).select(F.col("item_id").alias("query_id"), F.lit("the").alias("text"))
+    plan = plan_of(lexical.bm25_search(index, q, 5))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (= \d+|IN)", plan), plan
+
+
+def test_hits_meet_their_texts_in_place(spark):
+    """The few ids are sent to the texts: nothing above the scan of the texts is exchanged."""
+    texts = table(spark, SF, "documents").select("doc_id", F.col("text").alias("content"))
+    ids = spark.createDataFrame([(1,), (2,), (10**9,)], "doc_id long")
+    plan = plan_of(texts.join(small_side(ids), "doc_id"))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    hits = spark.createDataFrame([(1, 5, 0.5), (1, 10**9, 0.4)], "query_id long, doc_id long, final_score double")
+    corpus = retrieval.Corpus(None, None, texts.withColumnRenamed("doc_id", "chunk_id"), spark.createDataFrame([], "node_id long, description string"), None)
+    got = {r.doc_id: r.content for r in retrieval._with_content(hits, corpus).collect()}
+    assert got[10**9] == "" and len(got[5]) > 0
+
+
+def test_scratch_folders_go_with_their_block(spark):
+    base = shared_dir(spark).removeprefix("file:")
+    q = table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    before = set(os.listdir(base))
+    with scratch(spark) as folder:
+        found = rows(lexical.bm25_search(lexical.build_index(table(spark, SF, "documents")), q, 5))
+        assert os.listdir(folder.removeprefix("file:"))
+    assert found and set(os.listdir(base)) == before
+
+
+def test_expansion_takes_what_is_asked(spark):
+    star = spark.createDataFrame([("relates_to", 0, i, 0.9, 0.8, 0) for i in range(1, 201)], "edge_type string, src long, dst long, weight double, confidence double, negative_signals int")
+    seeds = spark.createDataFrame([(1, 0)], "query_id long, node_id long")
+    assert graph.expand(seeds, star, 3, 150).count() == 150
+    assert graph.expand(seeds, star, 1, None).count() == 201
+    nodes, links = graph.subgraph(seeds, star)
+    assert nodes.count() == 201 and links.count() == 200
+    chain = spark.createDataFrame([("relates_to", i, i + 1, 1.0, 0.8, 0) for i in range(6)], star.schema)
+    assert graph.expand(seeds, chain, 6, None, 0.1).agg(F.max("depth")).first()[0] == 6
+
+
+def test_listed_sources_count_all(spark):
+    stored = spark.createDataFrame([(f"s{i}", "t", "text", 1, None) for i in range(5)], "source_id string, title string, content_type string, total_chunks int, created_at timestamp")
+    runs = spark.createDataFrame([("r", "s4", "completed", "m", 1, None, None)], "run_id string, source_id string, status string, message string, chunks_created int, started_at timestamp, completed_at timestamp")
+    got = tables.list_sources(stored, runs, 3).collect()
+    assert len(got) == 3 and {r.total for r in got} == {5}
+
+
+def test_steps_of_one_minute_fold_in_blocks(spark):
+    rng = random.Random(3)
+    data = [("concept", 1, 2, *(("reinforce", 0.04) if rng.random() < 0.5 else ("weaken", -0.05)), "2024-01-01 00:00:00", i) for i in range(700)]
+    updates = spark.createDataFrame(data, "link string, a long, b long, action string, delta double, ts string, feedback_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    edge = spark.createDataFrame([("relates_to", 1, 2, 0.5, 0.8, 0)], "edge_type string, src long, dst long, weight double, confidence double, negative_signals int")
+    want = 0.5
+    for _, _, _, action, delta, _, _ in data:
+        want = min(1.0, want + delta) if action == "reinforce" else max(0.1, want + delta)
+    for block in (7, 1000):
+        got = graph.apply_folded(edge, graph.fold_updates(updates, block=block)).first()
+        assert got.weight == pytest.approx(want) and got.negative_signals == sum(d[3] == "weaken" for d in data)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrymind.catalog import common as cm
 from quarrymind.catalog.learning import scored_of
-from quarrymind.operators import graph, learners, sessions
+from quarrymind.operators import feedback, graph, learners, sessions
 from quarrymind.session import scratch_path, shared_dir
 from quarrymind.sources import corpus, ingest
 from quarrymind.streaming import jobs
@@ -75,49 +75,102 @@ def test_sessions_survive_export_and_import(spark):
     assert totals.count() == t.select("session_id").distinct().count()
 
 
-@pytest.fixture()
-def landed_events(spark, tmp_path):
-    """Events in three files of rising time, read one file per trigger."""
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    cuts = [r.event_id for r in events.orderBy("ts").select("event_id").collect()]
-    first, second = set(cuts[: len(cuts) // 3]), set(cuts[len(cuts) // 3: 2 * len(cuts) // 3])
-    part = lambda ids: events.where(F.col("event_id").isin(*ids))
-    folder = str(tmp_path / "events")
-    for piece in (part(first), part(second), events.where(~F.col("event_id").isin(*(first | second)))):
-        piece.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return events, stream
+def test_reingesting_replaces_a_source(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "# One\n" + "word " * 30), (2, "# Two\n" + "word " * 40), (3, "")], "source_id long, content string")
+    base = str(tmp_path / "store")
+    ingest.write_ingested(ingest.ingest(docs, as_of="2024-01-01"), base)
+    once = {name: df.count() for name, df in ingest.read_ingested(spark, base)._asdict().items()}
+    ingest.write_ingested(ingest.ingest(docs, as_of="2024-01-02"), base)
+    again = ingest.read_ingested(spark, base)
+    assert {name: df.count() for name, df in again._asdict().items()} == once
+    longer = spark.createDataFrame([(2, "# Two\n" + "word " * 50)], docs.schema)
+    ingest.write_ingested(ingest.ingest(longer, as_of="2024-01-03"), base)
+    assert {r.source_id: r.word_count for r in ingest.read_ingested(spark, base).sources.collect()} == {1: 32, 2: 52}
+
+
+class Landing:
+    """Events that land in a folder in three files of rising time."""
 
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+        self.events = spark.read.parquet(f"{SF}/events.parquet")
+        ids = [r.event_id for r in self.events.orderBy("ts", "event_id").select("event_id").collect()]
+        n = len(ids) // 3
+        self.pieces = [ids[:n], ids[n : 2 * n], ids[2 * n :]]
 
-def rounded(df, col):
-    return rows(df.withColumn(col, F.round(col, 9)))
+    def land(self, *pieces):
+        for k in pieces:
+            wanted = self.spark.createDataFrame([(i,) for i in self.pieces[k]], "event_id long")
+            self.events.join(wanted, "event_id", "left_semi").coalesce(1).write.mode("append").parquet(self.folder)
 
+    def stream(self):
+        return self.spark.readStream.schema(self.events.schema).option("maxFilesPerTrigger", 1).parquet(self.folder)
 
-def test_mastery_stream_equals_batch(spark, landed_events):
-    events, stream = landed_events
-    streamed = jobs.latest_per_key(jobs.mastery_stream(cm.interactions_of(stream)), ["student_id", "concept_id"])
-    batch = learners.mastery(cm.interactions_of(events))
-    cols = ["student_id", "concept_id", "mastery_score", "interactions", "is_weakness"]
-    assert rounded(streamed.select(*cols), "mastery_score") == rounded(batch.select(*cols), "mastery_score")
+
+@pytest.fixture()
+def landing(spark, tmp_path):
+    return Landing(spark, str(tmp_path / "events"))
 
 
-def test_edge_stream_equals_batch_and_survives_a_repeat(spark, landed_events):
-    events, stream = landed_events
+def scored(spark, df):
     n_parts, n_docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "documents"))
-    edges = cm.edges(spark, SF)
-    table = jobs.Snapshots(spark, scratch_path(spark, "edges"), edges.schema).create(edges)
-    last = jobs.edge_update_stream(scored_of(stream, n_parts, n_docs), table)()
-    assert last == 2
-    cols = ["edge_type", "src", "dst", "weight", "negative_signals"]
-    batch = graph.apply_feedback(scored_of(events, n_parts, n_docs), edges)["edges"]
-    assert rounded(table.latest(last).select(*cols), "weight") == rounded(batch.select(*cols), "weight")
-    before = rows(table.latest(last))
-    again = graph.apply_updates(table.before(last), graph.edge_updates(scored_of(events.limit(0), n_parts, n_docs)))
-    table.write(table.latest(last).select(*edges.columns), last + 1)
-    assert rows(table.latest(last)) == before and again.count() == len(before)
-
-
-def test_period_stream_counts_every_event_once_per_period(spark, landed_events):
-    events, stream = landed_events
-    periods = jobs.latest_per_key(jobs.period_metrics_stream(scored_of(stream, 10, 10), "1 day", "1 day"), ["period_start", "period_end"])
-    assert periods.agg(F.sum("total_feedback")).first()[0] == events.count()
+    return scored_of(df, n_parts, n_docs)
+
+
+def rounded_rows(df, columns):
+    return rows(df.select(*[F.round(c, 9).alias(c) if df.schema[c].dataType.simpleString() == "double" else c for c in columns]))
+
+
+JOBS = {
+    "chunks": (lambda s, df, f: jobs.chunk_metrics_stream(scored(s, df), f), lambda s, df: feedback.chunk_metrics(scored(s, df), tie="feedback_id"), ["chunk_id", "total_feedback", "positive_feedback", "average_score", "quality"]),
+    "concepts": (lambda s, df, f: jobs.concept_metrics_stream(cm.signals_of(df), f), lambda s, df: feedback.concept_metrics(feedback.parse_signals(cm.signals_of(df))), ["concept_id", "total_queries", "unique_students", "average_satisfaction", "confusion_score"]),
+    "mastery": (lambda s, df, f: jobs.mastery_stream(cm.interactions_of(df), f), lambda s, df: learners.mastery(cm.interactions_of(df)), ["student_id", "concept_id", "mastery_score", "interactions", "is_weakness"]),
+    "profiles": (lambda s, df, f: jobs.profile_stream(cm.interactions_of(df), f), lambda s, df: learners.update_profiles(cm.interactions_of(df)), ["student_id", "total_questions", "correct_answers", "average_response_quality"]),
+    "edges": (lambda s, df, f: jobs.edge_update_stream(scored(s, df), cm.edges(s, SF), f), lambda s, df: graph.apply_feedback(scored(s, df), cm.edges(s, SF))["edges"], ["edge_type", "src", "dst", "weight", "negative_signals"]),
+    "signals": (lambda s, df, f: jobs.append_all(jobs.signals_stream(cm.signals_of(df)), f), lambda s, df: feedback.parse_signals(cm.signals_of(df)), ["signal_id", "value", "polarity"]),
+}
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_a_job_that_is_started_again_equals_the_batch(spark, landing, tmp_path, name):
+    """Two files, a first run, one more file, a second run with the same folder, and a third without news."""
+    run, batch, columns = JOBS[name]
+    folder = str(tmp_path / "job")
+    landing.land(0, 1)
+    run(spark, landing.stream(), folder)
+    landing.land(2)
+    run(spark, landing.stream(), folder)
+    last = run(spark, landing.stream(), folder)
+    assert rounded_rows(last, columns) == rounded_rows(batch(spark, landing.events), columns)
+
+
+def test_a_job_without_rows_gives_an_empty_table(spark, landing, tmp_path):
+    empty = spark.readStream.schema(landing.events.schema).parquet(str(tmp_path))
+    assert jobs.mastery_stream(cm.interactions_of(empty), str(tmp_path / "job")).count() == 0
+
+
+def test_sessions_go_on_where_they_stopped(spark, tmp_path):
+    turns = spark.createDataFrame([(1, t, 100, [t, t + 1]) for t in range(9)], "session_id long, turn_no long, token_count long, concepts array<long>")
+    folder, job = str(tmp_path / "turns"), str(tmp_path / "job")
+    run = lambda: jobs.latest_per_key(jobs.session_stream(spark.readStream.schema(turns.schema).parquet(folder), max_turns=4, max_tokens=300, active=3), ["session_id"], job)
+    turns.where("turn_no < 5").coalesce(1).write.mode("append").parquet(folder)
+    assert rows(run()) == [(1, [2, 3, 4], 300, [3, 4, 5])]
+    turns.where("turn_no >= 5").coalesce(1).write.mode("append").parquet(folder)
+    assert rows(run()) == [(1, [6, 7, 8], 300, [7, 8, 9])]
+
+
+def test_ingesting_goes_on_and_replaces(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "# One\n" + "word " * 30), (2, "# Two\n" + "word " * 40)], "source_id long, content string")
+    folder, base = str(tmp_path / "docs"), str(tmp_path / "store")
+    run = lambda: jobs.ingest_stream(spark.readStream.schema(docs.schema).parquet(folder), base, as_of="2024-01-01")
+    docs.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    spark.createDataFrame([(2, "# Two\n" + "word " * 50)], docs.schema).write.mode("append").parquet(folder)
+    run()
+    assert {r.source_id: r.word_count for r in ingest.read_ingested(spark, base).sources.collect()} == {1: 32, 2: 52}
+
+
+def test_period_stream_counts_every_event_once_per_period(spark, landing, tmp_path):
+    landing.land(0, 1, 2)
+    periods = jobs.latest_per_key(jobs.period_metrics_stream(scored_of(landing.stream(), 10, 10), "1 day", "1 day"), ["period_start", "period_end"], str(tmp_path / "job"))
+    assert periods.agg(F.sum("total_feedback")).first()[0] == landing.events.count()
