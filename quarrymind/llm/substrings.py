@@ -279,4 +279,12 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_repeated_passages": op5_repeated_passages}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_repeated_passages": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+passage as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+later as (select doc_id, i from passage qualify row_number() over (partition by k order by doc_id, i) > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 20)) as p from later),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as line from words anti join covered using (doc_id, p) group by 1)
+select d.doc_id, len(w)::bigint as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(line, '')) as kept_sha256
+from d left join kept using (doc_id)"""}
