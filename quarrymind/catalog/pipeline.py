@@ -318,7 +318,52 @@ def concept_search(spark, sf_dir):
     return _shown(rp.concept_search(requests(spark, sf_dir), corpus(spark, sf_dir)))
 
 
-@query("retrieve_with_strategy")
+# Settings by mode, text hits within them, the preferred chunk type unless it leaves nothing, a walk from the concepts of
+# the first hits, fusion with the query's weights; exercise lists come from vector hits alone.
+STRATEGY_SQL = "with recursive " + ",\n".join([*corpus_ctes(40)[:-1], META_SQL]) + f""",
+cfg as (select item_id as query_id, (['concept', 'practice', 'exercise_list'])[item_id % 3 + 1] as mode from benchmark where item_id in (select vec_id from embeddings)),
+st as (select *, mode = 'exercise_list' as listing, case mode when 'practice' then 'worked_example' when 'exercise_list' then 'exercise' end as wanted,
+  case mode when 'exercise_list' then 20 else 10 end as k, case mode when 'exercise_list' then 0.1 else 0.3 * 0.8 end as needed,
+  case mode when 'concept' then 0.35 else 0.45 end as vw, case mode when 'concept' then 0.25 else 0.15 end as bw, 0.4 as gw from cfg),
+th as (
+  select query_id, 'vector' as source, rank, 'chunk:' || doc_id as doc_id, score from v_top join st using (query_id) where rank <= 2 * k and score >= needed
+  union all select query_id, 'bm25', rank, 'chunk:' || doc_id, score from bt join st using (query_id) where rank <= 2 * k and not listing),
+tt as (select th.*, t.chunk_type, t.c, t.titled, t.content, t.doc_id as i, st.wanted, st.listing from th join st using (query_id) left join typed t on t.chunk_id = th.doc_id),
+fl as (select query_id, source, bool_or(coalesce(chunk_type = wanted, false)) as matched from tt group by 1, 2),
+kept as (select tt.* from tt join fl using (query_id, source) where wanted is null or coalesce(chunk_type = wanted, false) or (not listing and not matched)),
+pos as (select *, row_number() over (partition by query_id order by source desc, rank) as position from kept),
+seeds as (select query_id, c as node_id, min(position) as o from pos where position <= 5 and not listing and c is not null group by 1, 2
+  qualify row_number() over (partition by query_id order by min(position)) <= 5),
+adj as (select node_id, neighbor_id, max(weight) as weight from both_ways
+  where weight >= 0.3 and edge_type in ('relates_to', 'prerequisite', 'similar_to') group by 1, 2),
+l0 as (select query_id, node_id, 1.0::double as score, 0 as depth, ['concept:' || node_id] as path from seeds),
+l1 as (select query_id, neighbor_id as node_id, round(score * weight * 0.8, 9) as score, 1 as depth, list_append(path, 'concept:' || neighbor_id) as path
+       from l0 join adj using (node_id) where not list_contains(path, 'concept:' || neighbor_id)),
+l1b as (select * from l1 qualify row_number() over (partition by query_id, node_id order by score desc, path) = 1),
+l2 as (select query_id, neighbor_id as node_id, round(score * weight * 0.8, 9) as score, 2 as depth, list_append(path, 'concept:' || neighbor_id) as path
+       from l1b join adj using (node_id) where not list_contains(path, 'concept:' || neighbor_id)),
+best as (select * from (select * from l0 union all select * from l1 union all select * from l2)
+         qualify row_number() over (partition by query_id, node_id order by score desc, depth, path) = 1),
+reached as (select *, row_number() over (partition by query_id order by score desc, depth, 'concept:' || node_id) as rank from best qualify rank <= 10),
+gh as (select query_id, 'chunk' as kind, 'chunk:' || dst as doc_id, weight as score from reached join edges on src = node_id where edge_type = 'evidenced_by'
+  union all select query_id, 'concept', 'concept:' || node_id, score from reached join nodes using (node_id) where length(description) > 0),
+hits as (select query_id, source, rank, doc_id, score from kept where not listing
+  union all select query_id, 'graph', row_number() over (partition by query_id order by kind, score desc, doc_id), doc_id, score from gh),
+texts as (select 'chunk:' || doc_id as doc_id, text as content from documents union all select 'concept:' || node_id, description from nodes),
+{_NORM},
+r as materialized (select query_id, doc_id, final_score, row_number() over (partition by query_id order by final_score desc, doc_id) as rank
+  from (select query_id, doc_id, round(sum(norm * case source when 'vector' then vw when 'bm25' then bw else gw end), 9) as final_score
+    from nrm join st using (query_id) group by 1, 2) qualify rank <= 30),
+{_DEDUP},
+listed as (select query_id, doc_id, score as final_score, case when titled then 'Ejercicio ' || i else (string_split(trim(content, E' \\t\\n'), chr(10)))[1][:80] end as exercise_title,
+  case when i % 5 = 0 then 'hard' else 'medium' end as difficulty, row_number() over (partition by query_id order by score desc, doc_id) as place
+  from kept where listing and chunk_type = 'exercise' qualify place <= 20)
+select fin.query_id, fin.doc_id, round(final_score, 6) as final_score, null::varchar as exercise_title, null::varchar as difficulty, place as rank
+from fin join r on r.query_id = fin.query_id and r.doc_id = fin.doc_id where place <= 10
+union all select query_id, doc_id, round(final_score, 6), exercise_title, difficulty, place from listed"""
+
+
+@query("retrieve_with_strategy", STRATEGY_SQL)
 def retrieve_with_strategy(spark, sf_dir):
     mode = F.element_at(F.array(*[F.lit(m) for m in rt.MODES]), (F.col("query_id") % 3 + 1).cast("int"))
     asked = rt.strategy_for(requests(spark, sf_dir).withColumn("mode", mode))
