@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrymind.operators.ranking import number_rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +37,6 @@ def r6(c, name: str | None = None):
 # ---- ranked hits: every event is one hit of a user's query in one source ----
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n_docs = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("query_id"),
@@ -44,8 +45,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("score"),
         "event_id",
     )
-    order = Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), F.col("event_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).drop("event_id")
+    return number_rows(rows, ["query_id", "source"], -F.floor("score"), [F.col("score").desc(), F.col("event_id")]).drop("event_id")
 
 
 HITS_SQL = f"""hits as (

@@ -15,11 +15,12 @@ from pyspark.sql import Column, functions as F, types as T
 TokenEstimator = Callable[[Column], Column]
 
 # Spanish and English words ignored by keyword extraction.
-STOP_WORDS = (
-    "el la los las un una unos unas de del al a en con por para que es son fue ser está están "
-    "y o pero si no como más menos the a an is are was were be to of and or in on at for "
-    "with this that it as by from"
-).split()
+STOP_WORDS = [
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "al", "a", "en", "con", "por", "para", "que",
+    "es", "son", "fue", "ser", "está", "están", "y", "o", "pero", "si", "no", "como", "más", "menos", "the", "a",
+    "an", "is", "are", "was", "were", "be", "to", "of", "and", "or", "in", "on", "at", "for", "with", "this", "that",
+    "it", "as", "by", "from",
+]
 
 # HTML entities, replaced in this order.
 HTML_ENTITIES = [

@@ -72,13 +72,32 @@ EVALUATION_WEIGHTS = {
 }
 
 
+# Patterns of steps, lists and structure, and the texts of decisions.
+STEP_MARKS = r"(paso|step|\d+[\.\)])"
+LIST_MARKS = r"(?U)(\d+[\.\)]\s|\-\s|•)"
+NUMBERED_STEPS = r"(?dU)(\d+[\.\)]\s.+\n?){2,}"
+NUMBERED, BULLETS = r"\d+[\.\)]", r"[\-\*•]"
+REASONS = {
+    "forbidden": "Violación de prohibiciones en EXERCISE_LIST",
+    "forbidden_spent": "Max retries alcanzado con violaciones",
+    "mismatch": "Modo esperado: ",
+    "mismatch_spent": "Max retries con mode mismatch",
+    "thin": "Necesita más contexto",
+    "good": "Score aceptable: ",
+    "low": "Score bajo: ",
+    "spent": "Máximo de reintentos alcanzado",
+}
+PROHIBITIONS = ["NO explicar procedimientos", "NO dar soluciones", "SOLO listar ejercicios"]
+LOW_FOCUS = "Mejorar alineación con el modo y calidad"
+
+
 def _alignment(answer: Column, n_words: Column) -> Column:
     low = F.lower(answer)
     points = lambda ok, value: F.when(ok, value).otherwise(0.0)
     concept = points(contains_any(low, DEFINITION_MARKS), 0.5) + points(n_words > 50, 0.5)
-    practice = points(low.rlike(r"(paso|step|\d+[\.\)])"), 0.6) + points(contains_any(low, RESULT_MARKS), 0.4)
+    practice = points(low.rlike(STEP_MARKS), 0.6) + points(contains_any(low, RESULT_MARKS), 0.4)
     listing = (
-        points(answer.rlike(r"(?U)(\d+[\.\)]\s|\-\s|•)"), 0.4) + points(contains_any(low, EXERCISE_MARKS), 0.3)
+        points(answer.rlike(LIST_MARKS), 0.4) + points(contains_any(low, EXERCISE_MARKS), 0.3)
         + F.when(n_words < 300, 0.3).otherwise(-0.3)
     )
     mode = F.col("mode")
@@ -127,8 +146,8 @@ def score_answers(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     n = F.col("answer_words")
     answer, mode = F.col("answer"), F.col("mode")
     terms, own = F.array_distinct(words(F.lower("query"))), F.array_distinct(words(F.lower("answer")))
-    steps = answer.rlike(r"(?dU)(\d+[\.\)]\s.+\n?){2,}")
-    structured = answer.rlike(r"\d+[\.\)]") | answer.rlike(r"[\-\*•]") | F.contains(answer, F.lit("\n\n"))
+    steps = answer.rlike(NUMBERED_STEPS)
+    structured = answer.rlike(NUMBERED) | answer.rlike(BULLETS) | F.contains(answer, F.lit("\n\n"))
     scored = (
         answers.join(context_coverage(answers, contexts), "query_id", "left")
         .withColumn("answer_words", F.size(words("answer")))
@@ -166,7 +185,7 @@ def decide(scores: DataFrame, max_retries: int = 3, retries: str = "retries") ->
     thin = F.col("context_coverage") < 0.2
     good = F.col("overall_score") >= 0.6
     score_text = two_decimals("overall_score")
-    low = F.concat(F.lit("Score bajo: "), score_text)
+    said = {stage: F.lit(text) for stage, text in REASONS.items()}
     stage = (
         F.when(forbidden, "forbidden").when(mismatch, "mismatch").when(thin & can, "thin")
         .when(good, "good").when(can, "low").otherwise("spent")
@@ -182,10 +201,10 @@ def decide(scores: DataFrame, max_retries: int = 3, retries: str = "retries") ->
         )
         .withColumn(
             "decision_reason",
-            F.when(at == "forbidden", F.when(can, "Violación de prohibiciones en EXERCISE_LIST").otherwise("Max retries alcanzado con violaciones"))
-            .when(at == "mismatch", F.when(can, F.concat(F.lit("Modo esperado: "), mode)).otherwise("Max retries con mode mismatch"))
-            .when(at == "thin", "Necesita más contexto").when(at == "good", F.concat(F.lit("Score aceptable: "), score_text))
-            .when(at == "low", low).otherwise("Máximo de reintentos alcanzado"),
+            F.when(at == "forbidden", F.when(can, said["forbidden"]).otherwise(said["forbidden_spent"]))
+            .when(at == "mismatch", F.when(can, F.concat(said["mismatch"], mode)).otherwise(said["mismatch_spent"]))
+            .when(at == "thin", said["thin"]).when(at == "good", F.concat(said["good"], score_text))
+            .when(at == "low", F.concat(said["low"], score_text)).otherwise(said["spent"]),
         )
         .withColumn("expand_context", ~at.isin("forbidden", "mismatch") & thin)
         .withColumn("increase_top_k", F.col("expand_context"))
@@ -193,10 +212,10 @@ def decide(scores: DataFrame, max_retries: int = 3, retries: str = "retries") ->
         .withColumn("suggested_mode", F.when((at == "mismatch") & mode.isin("practice", "exercise_list"), mode))
         .withColumn(
             "add_prohibitions",
-            F.when(at == "forbidden", F.array(F.lit("NO explicar procedimientos"), F.lit("NO dar soluciones"), F.lit("SOLO listar ejercicios")))
+            F.when(at == "forbidden", F.array(*[F.lit(p) for p in PROHIBITIONS]))
             .otherwise(F.array().cast("array<string>")),
         )
-        .withColumn("retry_focus", F.when(at == "low", "Mejorar alineación con el modo y calidad").otherwise(""))
+        .withColumn("retry_focus", F.when(at == "low", LOW_FOCUS).otherwise(""))
         .withColumn("should_retry", can & F.col("decision").isin("retry", "mode_mismatch", "request_more_context"))
         .drop("_stage")
     )

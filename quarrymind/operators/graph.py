@@ -189,7 +189,9 @@ def rank_paths(paths: DataFrame, method: str = "weighted", nodes: DataFrame | No
     else:
         raise ValueError(f"unknown path ranking: {method}")
     order = [F.col("total_score").desc(), F.col("length"), F.col("nodes")]
-    return number_rows(cut_lineage(scored, "paths"), ["source", "target"], -F.floor(F.col("total_score") * 1000), order)
+    # Many paths share a score; their second node, which comes next in the order, spreads them.
+    bucket = F.struct((-F.floor(F.col("total_score") * 1000)).alias("s"), "length", F.get("nodes", F.lit(1)).alias("second"))
+    return number_rows(cut_lineage(scored, "paths"), ["source", "target"], bucket, order)
 
 
 def limit_depth(reached: DataFrame, max_depth: int) -> DataFrame:

@@ -116,6 +116,17 @@ STRATEGY_FIELDS = [
 ]
 
 
+# Points of a pattern and of a keyword, thresholds and bonuses of the modes, and the hints used when none is reached.
+PATTERN_POINTS, KEYWORD_POINTS, PREVIOUS_BONUS = 0.4, 0.3, 0.1
+THRESHOLDS = {"exercise_list": 0.5, "practice": 0.5, "concept": 0.3}
+EXERCISE_HINTS = ["ejercicio", "problema", "práctica", "exercise", "problem"]
+SOLVING_HINTS = ["cómo", "como", "resolver", "resuelve", "solve", "how"]
+HOW_HINTS = ["cómo", "como", "how"]
+SHORT_QUERY_WORDS, SHORT_QUERY_HINTS, SHORT_QUERY_BONUS = 5, ["ejercicio", "problema", "práctica"], 0.2
+NUMBERS, NUMBERS_BONUS = r"\d+|\+|\-|\*|\/|=", 0.15
+DEFINES, DEFINES_BONUS = r"(?U)(qué|que)\s+(es|son|significa)|define|definición", 0.3
+
+
 def contains_any(text: Column, marks: list[str]) -> Column:
     out = F.lit(False)
     for mark in marks:
@@ -132,19 +143,19 @@ def _matches(text: Column, mode: str) -> Column:
 
 def _base_score(matches: Column) -> Column:
     by_pattern = F.size(F.filter(matches, lambda m: F.startswith(m, F.lit("pattern:"))))
-    return F.least(F.lit(1.0), by_pattern * 0.4 + (F.size(matches) - by_pattern) * 0.3)
+    return F.least(F.lit(1.0), by_pattern * PATTERN_POINTS + (F.size(matches) - by_pattern) * KEYWORD_POINTS)
 
 
 def _choose(scores: dict[str, Column], text: Column) -> Column:
     """Winning mode by threshold in order of priority, else by plain hints."""
-    exercise = contains_any(text, ["ejercicio", "problema", "práctica", "exercise", "problem"])
-    solving = contains_any(text, ["cómo", "como", "resolver", "resuelve", "solve", "how"])
+    exercise, solving = contains_any(text, EXERCISE_HINTS), contains_any(text, SOLVING_HINTS)
+    reached = {mode: scores[mode] >= least for mode, least in THRESHOLDS.items()}
     return (
-        F.when(scores["exercise_list"] >= 0.5, "exercise_list")
-        .when(scores["practice"] >= 0.5, "practice")
-        .when(scores["concept"] >= 0.3, "concept")
+        F.when(reached["exercise_list"], "exercise_list")
+        .when(reached["practice"], "practice")
+        .when(reached["concept"], "concept")
         .when(exercise, F.when(solving, "practice").otherwise("exercise_list"))
-        .when(contains_any(text, ["cómo", "como", "how"]), "practice")
+        .when(contains_any(text, HOW_HINTS), "practice")
         .otherwise("concept")
     )
 
@@ -154,11 +165,11 @@ def _scored(queries: DataFrame, col: str) -> DataFrame:
     named = queries.withColumn("_q", F.lower(F.trim(col)))
     text = F.col("_q")
     named = named.withColumns({f"_m_{m}": _matches(text, m) for m in MODES})
-    short = (F.size(words(text)) <= 5) & contains_any(text, ["ejercicio", "problema", "práctica"])
+    short = (F.size(words(text)) <= SHORT_QUERY_WORDS) & contains_any(text, SHORT_QUERY_HINTS)
     bonus = {
-        "exercise_list": F.when(short, 0.2).otherwise(0.0),
-        "practice": F.when(text.rlike(r"\d+|\+|\-|\*|\/|="), 0.15).otherwise(0.0),
-        "concept": F.when(text.rlike(r"(?U)(qué|que)\s+(es|son|significa)|define|definición"), 0.3).otherwise(0.0),
+        "exercise_list": F.when(short, SHORT_QUERY_BONUS).otherwise(0.0),
+        "practice": F.when(text.rlike(NUMBERS), NUMBERS_BONUS).otherwise(0.0),
+        "concept": F.when(text.rlike(DEFINES), DEFINES_BONUS).otherwise(0.0),
     }
     return named.withColumns({f"_s_{m}": _base_score(F.col(f"_m_{m}")) + bonus[m] for m in MODES})
 
@@ -166,7 +177,7 @@ def _scored(queries: DataFrame, col: str) -> DataFrame:
 def _final(previous: Column) -> dict[str, Column]:
     """Scores with 0.1 more for the previous mode, capped and rid of rounding noise."""
     return {
-        m: F.round(F.least(F.lit(1.0), F.col(f"_s_{m}") + F.when(previous == m, 0.1).otherwise(0.0)), 9) for m in MODES
+        m: F.round(F.least(F.lit(1.0), F.col(f"_s_{m}") + F.when(previous == m, PREVIOUS_BONUS).otherwise(0.0)), 9) for m in MODES
     }
 
 
