@@ -205,7 +205,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     text = blank(text_col)
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
-        F.regexp_count(text, F.lit(f"[^{SEPARATORS}]+")).cast("long").alias("n_words"),
+        F.size(F.array_remove(F.split(text, f"[{SEPARATORS}]+", -1), "")).cast("long").alias("n_words"),
         F.when(text.rlike(gate(rules)), normalised(text)).alias("_s"),
     )
     for i, phrase in enumerate(BASE):
