@@ -46,12 +46,16 @@ RAW_TAGS = frozenset("script style title textarea noscript template iframe objec
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 MAIN_TAGS = frozenset("article main".split())
 BAD_NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion
+    """ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox banner outbrain taboola sponsor sponsored promo promotion
     nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer foot
     sidebar aside widget widgets rail notice notices cookie cookies consent gdpr alert popup modal overlay dialog
-    comment comments commentlist disqus respond replies reply discussion form login signin signup register search newsletter
+    comment comments commentlist disqus respond responses replies reply discussion guestbook paywall form login signin signup register search newsletter
     subscribe subscription share sharing social related recommended trending copyright colophon skip""".split()
 )
+# A class such as has-sidebar or no-comments says what a page is laid out with, not what an element holds.
+LAYOUT_WORDS = frozenset("no not has have with without hide hidden show is".split())
+MAIN_NAMES = (frozenset("article post story entry main page".split()), frozenset("content body text copy".split()))
+MAIN_IDS = frozenset("content main article story maincontent".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 
 TOKEN = re.compile(
@@ -94,10 +98,12 @@ def is_bad(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id"):
-            names = NAME.findall(CAMEL.sub(" ", value).lower())
-            if tag not in ("body", "html") and not BAD_NAMES.isdisjoint(names) and not (inside and tag == "header"):
-                return True
+        if key in ("class", "id") and tag not in ("body", "html", "main") and not (inside and tag == "header"):
+            for one in value.split():
+                names = set(NAME.findall(CAMEL.sub(" ", one).lower()))
+                bad = names & BAD_NAMES - ({"header"} if inside else set())
+                if bad and not names & LAYOUT_WORDS:
+                    return True
         elif key == "role" and value.lower() in BAD_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and HIDDEN.search(value):
@@ -105,6 +111,17 @@ def is_bad(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def is_main(tag: str, attrs: str) -> bool:
+    """Does a container's name say that it holds the article? Asked only on pages without article or main elements."""
+    if tag not in ("div", "section", "td") or "=" not in attrs:
+        return False
+    for key, value in ATTR.findall(attrs):
+        names = NAME.findall(CAMEL.sub(" ", value).lower())
+        if key.lower() == "id" and "".join(names) in MAIN_IDS or key.lower() in ("class", "id") and all(not m.isdisjoint(names) for m in MAIN_NAMES):
+            return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with link characters, container and whether the container is bad."""
     found: list[Block] = []
@@ -115,6 +132,7 @@ def blocks(html: str) -> list[Block]:
     lower = html.lower()
     open_tags = Counter(m for m in re.findall(r"<(nav|header|footer|aside|form|menu|dialog|div|section)\b", lower))
     closed = {tag: lower.count("</" + tag) for tag in open_tags}
+    named = not re.search(r"<(?:article|main)\b", lower)
 
     def state() -> tuple[bool, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
@@ -176,7 +194,7 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID_TAGS or attrs.endswith("/>"):
             continue
         bad, inside = state()
-        if tag in MAIN_TAGS:
+        if tag in MAIN_TAGS or named and not inside and not bad and is_main(tag, attrs):
             # A container that is never closed does not swallow the article.
             while bad and stack and open_tags[stack[-1][0]] > closed.get(stack[-1][0], 0):
                 stack.pop()

@@ -78,6 +78,11 @@ PAGES = {
     "<!-- <p>no</p> --><article><p>yes<!-- no --> it is</p><ul><li><a href=/a>one link</a></li><li>an item</li></ul></article>": "yes it is\nan item",
     "<article><p hidden>no</p><p style='display: none'>no</p><p>yes</p><p class='cookie-notice'>no</p></article>": "yes",
     "<p>abc < d": "abc < d",
+    "<body class='has-sidebar'><div class='page with-sidebar no-comments'><header><h1>Site</h1></header><article class='post'><header class='post-header'><h1>Title</h1></header>"
+    "<div class='entry-header'>Lead.</div><p>Body text.</p><blockquote>A quote.</blockquote><table><tr><td>a</td><td>b</td></tr></table><div class='share-links'><a>share</a></div></article>"
+    "<div id='comments'><p>I think that it is so and that the rest of it is not</p></div><aside>More</aside></div></body>": "Title\nLead.\nBody text.\nA quote.\na\nb",
+    "<div class='topbar'>menu</div><div class='article-body'><h1>T</h1><p>Short.</p><p>Shorter.</p></div><div class='footer'>(c) us</div>": "T\nShort.\nShorter.",
+    "<div class='cookieNotice'><p>We use cookies to make this site work for all of you and for the best of it</p></div><main class='menu-page'><p>Hello.</p></main>": "Hello.",
 }
 
 
