@@ -232,8 +232,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     repeated = cut_lineage(seen.where("most <> least").select("h"), "short-repeats")
     quarter = short_windows(rows, length, False).join(repeated, "h", "left_semi").select("place", "at")
     ats = quarter.groupBy("place").agg(F.collect_list("at").alias("ats")).join(copies, "place", "left_anti")
-    store = packed(rows)
+    ats = cut_lineage(ats, "short-places")
     # From here on one plan, so that the packed texts are dealt out once for all levels.
+    store = packed(rows)
     halves = half_windows(store.join(ats, "place"), length)
     twice = halves.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     starts = halves.join(twice, "h", "left_semi").groupBy("place").agg(F.collect_list("at").alias("ats"))
