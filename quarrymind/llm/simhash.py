@@ -361,10 +361,11 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, id, root) of every row; rows of one root are copies or near copies. Written once, in the shared folder."""
     rows = cut_lineage(described(docs, id_col, text_col, shingle, tables), "described")
-    nodes = cut_lineage(rows.select("node", "fps").dropDuplicates(["node"]), "nodes")
-    pairs = cut_lineage(links(nodes, radius, tables), "candidates")
+    # Copies are one node from here on; they are combined before the shuffle.
+    nodes = cut_lineage(rows.select("node", "fps", "sketch").dropDuplicates(["node"]), "nodes")
+    pairs = cut_lineage(links(nodes.select("node", "fps"), radius, tables), "candidates")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sketches = cut_lineage(rows.select("node", "sketch").join(used, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    sketches = cut_lineage(nodes.select("node", "sketch").join(used, "node", "left_semi"), "sketches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
