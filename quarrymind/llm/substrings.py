@@ -236,11 +236,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # From here on one plan, so that the packed texts are dealt out once for all levels.
     store = packed(rows)
     halves = half_windows(store.join(ats, "place"), length)
-    twice = halves.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    starts = halves.join(twice, "h", "left_semi").groupBy("place").agg(F.collect_list("at").alias("ats"))
+    # Joined by another key than the counts were grouped by, so that both sides are dealt for the join alone: then adaptive
+    # execution can split the rows of a frequent window.
+    key = F.bitwise_not("h").alias("key")
+    twice = halves.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(key)
+    starts = halves.select(key, "place", "at").join(twice, "key", "left_semi").groupBy("place").agg(F.collect_list("at").alias("ats"))
     whole = passages(store.join(starts, "place"), length)
-    first = whole.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("last > first").select("h", "first")
-    marks = whole.join(first, "h", "left").withColumn("elsewhere", F.coalesce(F.col("place") > F.col("first"), F.lit(False)))
+    first = whole.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("last > first").select(key, "first")
+    marks = whole.select(key, "place", "again").join(first, "key", "left").select(
+        F.bitwise_not("key").alias("h"), "place", "again", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("elsewhere")
+    )
     found = marks.where("elsewhere or again").groupBy("place").agg(
         F.collect_list(F.when(F.col("elsewhere"), F.col("h"))).alias("elsewhere"), F.collect_list(F.when(F.col("again"), F.col("h"))).alias("again"),
     )
