@@ -36,6 +36,7 @@ BITS = 64
 SEED = 42
 RADIUS = 3
 BUCKET = 4096
+FEW = 12
 SKETCH = 256
 TABLES = 8
 KEY_BITS = 48
@@ -242,8 +243,8 @@ def forest(node: np.ndarray, prints: np.ndarray, probe: np.ndarray, radius: int)
     return ones, others
 
 
-def linked(keys: np.ndarray, node: np.ndarray, prints: np.ndarray, probe: np.ndarray, radius: int, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by key: short runs by shifted comparison, long ones by a forest."""
+def linked(keys: np.ndarray, node: np.ndarray, prints: np.ndarray, probe: np.ndarray, radius: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by key: all of a short run, by shifted comparison; a forest of those of a long one."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     size = np.diff(np.append(starts, len(keys)))
     of = np.repeat(size, size)
@@ -264,7 +265,7 @@ def linked(keys: np.ndarray, node: np.ndarray, prints: np.ndarray, probe: np.nda
 
 def links(nodes: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
     """Links (a, b) that connect every two of the ``nodes`` (node, fps) of which some fingerprints differ in at most ``radius`` bits:
-    not each such pair, but paths of such pairs between them."""
+    not each such pair, but paths of such pairs between them. Rows of a key are taken in a fixed order, so a rerun gives the same links."""
     count, both = bit_counts(nodes, tables)
     if not count:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
@@ -276,7 +277,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tables: int = 1) -> DataFrame:
     meetings = F.transform(F.sequence(F.lit(0), number - 1), lambda j: F.least(block, j) * number + F.greatest(block, j))
     dealt = rows.join(large, "bucket", "left").select(
         "bucket", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1))).otherwise(meetings)).alias("meeting"), "node", "fp", "probe"
-    ).repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting", "probe", "fp")
+    ).repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting", "probe", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
