@@ -154,14 +154,20 @@ PRIORITIES = 6
 
 
 def literal_rules(rules: list[Rule]) -> Column:
-    """The rules as one constant array of structs."""
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword} ").alias("keyword"),
+    """The rules as one constant array of (keyword, rules)."""
+    groups: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(r.keyword, []).append(F.struct(
+            F.lit(i).alias("rule"), F.lit(r.priority).alias("priority"),
             F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"),
-        )
-        for i, r in enumerate(rules)
-    ])
+        ))
+    return F.array(*[F.struct(F.lit(f" {word} ").alias("keyword"), F.array(*held).alias("rules")) for word, held in groups.items()])
+
+
+def rules_for(text: Column, rules: list[Rule]) -> Column:
+    """The rules whose keyword a normalised text holds; nothing is tried on texts that did not pass the gate."""
+    groups = F.filter(literal_rules(rules), lambda g: text.contains(g["keyword"]))
+    return F.when(text.isNotNull(), F.flatten(F.transform(groups, lambda g: g["rules"])))
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -220,7 +226,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     ]
     tried = rows.select(
         "_row", "_id", "n_words", *base, "_s",
-        F.explode_outer(F.filter(literal_rules(rules), lambda r: F.col("_s").contains(r["keyword"]))).alias("r"),
+        F.explode_outer(rules_for(F.col("_s"), rules)).alias("r"),
     )
     kept = ["_row", "_id", "n_words", "n_base", "first_word", "last_word", "_base"]
     # An expression that does not match leaves one row with nulls, so that no document is lost on the way.
