@@ -129,11 +129,14 @@ def _finish(hits: DataFrame, k: int, min_score: float) -> DataFrame:
 
 
 def similar_items(
-    vectors: DataFrame, items: DataFrame, k: int = 5, min_score: float = 0.5, key: str = "vec_id", col: str = "embedding"
+    vectors: DataFrame, items: DataFrame, k: int = 5, min_score: float = 0.5, key: str = "vec_id", col: str = "embedding",
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Nearest other items of each given item."""
+    """Nearest other items of each given item; with an ``index`` of :func:`build_ivf` only cells that can hold them are read."""
     asked = items.select(F.col(key).alias("query_id")).distinct()
     queries = vectors.select(F.col(key).alias("query_id"), F.col(col).alias("embedding")).join(asked, "query_id", "left_semi")
+    if index is not None:
+        return cell_search(*index, queries, k, min_score, key=key, col=col, skip_self=True)
     return vector_search(vectors, queries, k, min_score, key=key, col=col, skip_self=True)
 
 
@@ -155,7 +158,7 @@ def build_ivf(vectors: DataFrame, n_cells: int = 16, key: str = "vec_id", col: s
     return cells.drop("_unit"), centers.join(radii, "cell")
 
 
-def _probe(v: DataFrame, q: DataFrame, probes: DataFrame, k: int, block_values: int) -> DataFrame:
+def _probe(v: DataFrame, q: DataFrame, probes: DataFrame, k: int, block_values: int, skip_self: bool = False) -> DataFrame:
     """Best ``k`` hits of each ``probes(query_id, cell)``; large cells are cut into blocks by their own size."""
     size = F.ceil(F.sum(F.size("embedding")) / block_values).cast("long")
     # One row per cell, so never more rows than cells were asked for.
@@ -165,7 +168,7 @@ def _probe(v: DataFrame, q: DataFrame, probes: DataFrame, k: int, block_values:
     v_blocks = v_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     q_blocks = probes.join(q, "query_id").join(F.broadcast(sizes), "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
     q_blocks = q_blocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    return _scan_blocks(v_blocks, q_blocks, ["cell", "vb", "qb"], k, False)
+    return _scan_blocks(v_blocks, q_blocks, ["cell", "vb", "qb"], k, skip_self)
 
 
 def ivf_search(
@@ -195,7 +198,7 @@ def _near_cells(centers: DataFrame, q: DataFrame) -> DataFrame:
 def cell_search(
     cells: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.0, first: int = 1,
     key: str = "vec_id", col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
-    block_values: int = BLOCK_VALUES,
+    block_values: int = BLOCK_VALUES, skip_self: bool = False,
 ) -> DataFrame:
     """The rows of :func:`vector_search`, from the cells that can hold them.
 
@@ -204,14 +207,14 @@ def cell_search(
     """
     v, q = _named(cells, queries, key, col, query_id, query_col)
     near = cut_lineage(_near_cells(centers, q), "near-cells")
-    start = cut_lineage(_probe(v, q, near.where(F.col("rank") <= first).select("query_id", "cell"), k, block_values), "first-cells")
+    start = cut_lineage(_probe(v, q, near.where(F.col("rank") <= first).select("query_id", "cell"), k, block_values, skip_self), "first-cells")
     floors = top_k(start, ["query_id"], [F.col("score").desc()], k, "_r").groupBy("query_id").agg(
         F.max(F.when(F.col("_r") == k, F.col("score"))).alias("floor")
     )
     more = near.where(F.col("rank") > first).join(floors, "query_id", "left").where(
         F.col("best") >= F.greatest(F.coalesce("floor", F.lit(-1.0)), F.lit(float(min_score)))
     )
-    rest = _probe(v, q, more.select("query_id", "cell"), k, block_values)
+    rest = _probe(v, q, more.select("query_id", "cell"), k, block_values, skip_self)
     return _finish(start.unionByName(rest), k, min_score)
 
 
