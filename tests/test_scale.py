@@ -33,6 +33,8 @@ def test_cells_give_the_exact_hits_and_leave_blocks_out(spark):
     exact = vector.vector_search(v, q, 5, 0.0)
     assert rows(vector.ivf_search(cells, centers, q, 5, nprobe=4, block_values=3200)) == rows(exact)
     assert rows(vector.cell_search(cells, centers, q, 5, block_values=3200)) == rows(exact)
+    others = v.select("vec_id")
+    assert rows(vector.similar_items(v, others, 3, 0.1, index=(cells, centers))) == rows(vector.similar_items(v, others, 3, 0.1))
     near = {(r.query_id, r.doc_id) for r in vector.ivf_search(cells, centers, q, 5, nprobe=2).collect()}
     want = {(r.query_id, r.doc_id) for r in exact.collect()}
     assert len(near & want) / len(want) > 0.5
