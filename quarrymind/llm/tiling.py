@@ -7,16 +7,16 @@ no free match of ``tile`` words is left. An item is leaked if the marked tiles c
 words; their order does not matter, so rearranged passages count as well.
 
 The benchmark is read in blocks of bounded size, each sent to the tasks as an index; documents are scanned where they lie, once per block,
-and nothing is shuffled. Items shorter than ``tile`` words have to occur as a whole. Null or empty items are never found;
-items that repeat count once; null and empty documents hold nothing. Documents that repeat are tested one by one.
+and nothing is shuffled. Items shorter than ``tile`` words (null and empty ones among them) are never found: so few words meet by
+chance in any text. Items that repeat count once; null and empty documents hold nothing. Documents that repeat are tested one by one.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -41,9 +41,8 @@ class Leak(NamedTuple):
 
 
 class Seeds(NamedTuple):
-    """Rolling hashes of one length, sorted, and the (item, place) pairs of each."""
+    """Rolling hashes of the items' runs, sorted, and the (item, place) pairs of each."""
 
-    length: int
     hashes: np.ndarray
     first: np.ndarray
     items: np.ndarray
@@ -71,55 +70,44 @@ class Index:
         self.numbers: dict[str, int] = {}
         for w in {w for ws in words for w in ws}:
             self.numbers[w] = len(self.numbers) + 1
-        coded = [np.array([self.numbers[w] for w in ws], np.int64) for ws in words]
-        self.sizes = np.array([len(c) for c in coded], np.int64)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, c in enumerate(coded):
-            if len(c):
-                by_length[min(tile, len(c))].append(i)
-        self.seeds = []
-        for length, chosen in sorted(by_length.items()):
-            hashes = [rolling(coded[i], length) for i in chosen]
-            owner = np.repeat(np.array(chosen), [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes])
-            flat = np.concatenate(hashes)
-            order = np.lexsort((place, owner, flat))
-            unique, first = np.unique(flat[order], return_index=True)
-            self.seeds.append(Seeds(length, unique, np.append(first, len(flat)), owner[order], place[order]))
-        self.coded = coded
+        self.coded = [np.array([self.numbers[w] for w in ws], np.int64) for ws in words]
+        self.sizes = np.array([len(c) for c in self.coded], np.int64)
+        hashes = [rolling(c, tile) for c in self.coded]
+        owner = np.repeat(np.arange(len(hashes)), np.array([len(h) for h in hashes], np.int64))
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
+        flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.lexsort((place, owner, flat))
+        unique, first = np.unique(flat[order], return_index=True)
+        self.seeds = Seeds(unique, np.append(first, len(flat)), owner[order], place[order])
 
     def leaks(self, text: str, coverage: float) -> list[Leak]:
         """Items of which tiles of the text cover the given share, by number."""
         look = self.numbers.get
         numbers = np.fromiter((look(w, 0) for w in WORD.findall(text.lower())), np.int64)
-        out = []
-        for seeds in self.seeds:
-            if len(numbers) < seeds.length:
-                continue
-            # A run with a word that no item has is no seed.
-            gaps = np.concatenate([[0], np.cumsum(numbers == 0)])
-            at = np.flatnonzero(gaps[seeds.length :] == gaps[: -seeds.length])
-            if not len(at):
-                continue
-            hashes = rolling(numbers, seeds.length)[at]
-            slot = np.minimum(np.searchsorted(seeds.hashes, hashes), len(seeds.hashes) - 1)
-            hit = seeds.hashes[slot] == hashes
-            at, slot = at[hit], slot[hit]
-            if not len(at):
-                continue
-            count = seeds.first[slot + 1] - seeds.first[slot]
-            pick = np.arange(count.sum()) + np.repeat(seeds.first[slot] - np.cumsum(count) + count, count)
-            item, there, here = seeds.items[pick], seeds.places[pick], np.repeat(at, count)
-            order = np.argsort(item, kind="stable")
-            item, there, here = item[order], there[order], here[order]
-            cuts = np.flatnonzero(np.diff(item)) + 1
-            for i, p, q in zip(item[np.concatenate([[0], cuts])], np.split(here, cuts), np.split(there, cuts)):
-                if leak := self.tiled(numbers, int(i), p, q, seeds.length, coverage):
-                    out.append(leak)
-        return sorted(out)
-
-    def tiled(self, numbers: np.ndarray, item: int, here: np.ndarray, there: np.ndarray, length: int, coverage: float) -> Leak | None:
-        size = int(self.sizes[item])
+        seeds, tile = self.seeds, self.tile
+        if len(numbers) < tile or not len(seeds.hashes):
+            return []
+        # A run with a word that no item has is no seed.
+        gaps = np.concatenate([[0], np.cumsum(numbers == 0)])
+        at = np.flatnonzero(gaps[tile:] == gaps[:-tile])
+        hashes = rolling(numbers, tile)[at]
+        slot = np.minimum(np.searchsorted(seeds.hashes, hashes), len(seeds.hashes) - 1)
+        hit = seeds.hashes[slot] == hashes
+        at, slot = at[hit], slot[hit]
+        if not len(at):
+            return []
+        count = seeds.first[slot + 1] - seeds.first[slot]
+        pick = np.arange(count.sum()) + np.repeat(seeds.first[slot] - np.cumsum(count) + count, count)
+        item, there, here = seeds.items[pick], seeds.places[pick], np.repeat(at, count)
+        order = np.argsort(item, kind="stable")
+        item, there, here = item[order], there[order], here[order]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        parts = zip(item[np.concatenate([[0], cuts])].tolist(), np.split(here, cuts), np.split(there, cuts))
+        found = (self.tiled(numbers, i, p, q, coverage) for i, p, q in parts)
+        return [leak for leak in found if leak]
+
+    def tiled(self, numbers: np.ndarray, item: int, here: np.ndarray, there: np.ndarray, coverage: float) -> Leak | None:
+        size, length = int(self.sizes[item]), self.tile
         reach = np.zeros(size + 1, np.int64)
         np.add.at(reach, there, 1)
         np.add.at(reach, there + length, -1)
@@ -167,7 +155,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     number = -(-total // block_chars)
     for b in range(number):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(number)) == b)
-        yield sorted(((r.i, r.t) for r in part.collect()), key=repr)
+        if found := [(r.i, r.t) for r in part.collect()]:
+            yield sorted(found, key=repr)
 
 
 def sent(spark: SparkSession, block: list[tuple[Any, str]], tile: int) -> Callable[[], Index]:
@@ -185,7 +174,7 @@ def leaks(
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, coverage double, covered_words int, tiles int, longest_tile int"
     spark = docs.sparkSession
     rows = docs.select(id_col, blank(text_col).alias("_text"))
-    out = spark.createDataFrame([], schema)
+    parts = []
     for block in blocks(benchmark, item_col, "text", block_chars):
         index, ids = sent(spark, block, tile), pa.array([i for i, _ in block])
 
@@ -199,9 +188,8 @@ def leaks(
                         *(pa.array([k[f] for _, k in found], pa.int32()) for f in (2, 3, 4)),
                     ], names=[id_col, item_col, "coverage", "covered_words", "tiles", "longest_tile"])
 
-        found = rows.mapInArrow(run, schema)
-        out = found if out.isLocal() else out.unionByName(found)
-    return out
+        parts.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def drop_leaked(
