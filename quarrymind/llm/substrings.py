@@ -7,7 +7,7 @@ about one in eight has to be moved. A passage stays a candidate if the longer wi
 each document gives its distinct candidate passages; those seen in an earlier document, or earlier in the same one, are removed.
 Lengths beyond ``length`` add nothing, since longer repeats are made of passages, so no further level is needed.
 
-Exact copies take part once, by their first document; every later copy consists of removed passages alone. Counts of windows are combined before
+Copies of a whole text take part once, by their first document; every later copy consists of removed passages alone. Counts of windows are combined before
 they are shuffled, and joins on windows are inner or semi joins that adaptive execution can split, so a frequent
 window does not gather in one task. Texts are shuffled once, packed, and the exchange is used again at each level.
 
@@ -134,7 +134,7 @@ def short_windows(rows: DataFrame, length: int, counted: bool) -> DataFrame:
                 hashes.append(short[at])
                 sizes.append(len(at))
                 if counted:
-                    content = np.uint64(xxh3_128_intdigest(b" ".join(words)) % (2**64))
+                    content = np.uint64(xxh3_128_intdigest(text) % (2**64))
                     x = (content ^ at.astype(np.uint64)) * FACTOR
                     more.append(x ^ (x >> np.uint64(29)))
                 else:
@@ -210,16 +210,12 @@ def passages(rows: DataFrame, length: int) -> DataFrame:
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
-    """(place, copy): whether an earlier document has exactly the same words. Only hashes are moved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            whole = [xxh3_128_intdigest(b" ".join(t.split())).to_bytes(16, "little") for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(whole, pa.binary())], names=["place", "whole"])
-
-    each = cut_lineage(rows.select("place", "text").mapInArrow(run, "place long, whole binary"), "contents")
-    first = each.groupBy("whole").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("last > first")
-    return each.join(first, "whole").where("place > first").select("place").distinct().withColumn("copy", F.lit(True))
+    """(place, copy): whether an earlier document has exactly the same text. Only hashes are moved."""
+    each = cut_lineage(rows.select("place", F.md5("text").alias("whole")), "contents")
+    key = F.reverse("whole").alias("key")  # another key than the groups', as for windows below
+    first = each.groupBy("whole").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("last > first").select(key, "first")
+    later = each.select(key, "place").join(first, "key").where("place > first")
+    return later.select("place").distinct().withColumn("copy", F.lit(True))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
