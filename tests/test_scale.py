@@ -198,3 +198,23 @@ def test_steps_of_one_minute_fold_in_blocks(spark):
     for block in (7, 1000):
         got = graph.apply_folded(edge, graph.fold_updates(updates, block=block)).first()
         assert got.weight == pytest.approx(want) and got.negative_signals == sum(d[3] == "weaken" for d in data)
+
+
+def test_one_key_with_nearly_all_rows_at_one_time_and_score(spark):
+    """Nine of ten rows share key, time and score: ties decide, and nothing is lost or doubled."""
+    rng = random.Random(5)
+    data = [("hot" if i % 10 else f"k{i}", "2024-01-01 00:00:00", i, 0.5 if i % 10 else rng.random()) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, ts string, id int, x double").withColumn("ts", F.col("ts").cast("timestamp"))
+    numbered = ranking.number_rows(df, ["k"], -F.floor(F.col("x") * 1000), [F.col("x").desc(), F.col("id")])
+    hot = [r["rank"] for r in numbered.where("k = 'hot'").orderBy("id").collect()]
+    assert hot == list(range(1, len(hot) + 1)) and len(hot) == 540
+    means = {r.k: (r.n, r.s) for r in ranking.ewma(df, ["k"], "ts", "id", {"s": (F.col("x"), 0.3, 0.2)}).collect()}
+    assert means["hot"][0] == 540 and means["hot"][1] == pytest.approx(0.5 + (0.2 - 0.5) * 0.7**540)
+    halves = [df.where(f"id % 2 = {b}").withColumn("batch", F.lit(b)) for b in (0, 1)]
+    values = {"s": (F.col("x"), 0.3, 0.2)}
+    parts = [ranking.ewma_parts(h, ["k"], "ts", "id", values).withColumn("batch", F.lit(b)) for b, h in enumerate(halves)]
+    merged = ranking.ewma_totals(ranking.ewma_fold(parts[0].unionByName(parts[1]), ["k"], values, "batch"), ["k"], values)
+    assert {r.k: r.n for r in merged.collect()} == {k: n for k, (n, _) in means.items()}
+    asked = df.select("k", F.col("ts"), "id")
+    newest = ranking.as_of(asked, df.select("k", F.col("ts").alias("at"), F.col("id").alias("p")), ["k"], "ts", "at", ["p"], "p")
+    assert {r.p for r in newest.where("k = 'hot'").collect()} == {max(i for k, _, i, _ in data if k == "hot")}
