@@ -31,6 +31,7 @@ from quarrymind.llm.common import LATER, Remembered, blank, in_worker, read_tabl
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+REMEMBERED = 600_000
 
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -261,8 +262,8 @@ class Encoder:
     """Ids of whole texts; parts are segmented once per worker. ``first`` holds parts as they are, ``later`` parts after one marker."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.first = Remembered(vocabulary.segment)
-        self.later = Remembered(lambda parts: vocabulary.segment([MARK + p for p in parts]), LATER)
+        self.first = Remembered(vocabulary.segment, limit=REMEMBERED)
+        self.later = Remembered(lambda parts: vocabulary.segment([MARK + p for p in parts]), LATER, REMEMBERED)
 
     def __call__(self, batch: Sequence[str]) -> list[np.ndarray]:
         self.first.forget()
