@@ -94,7 +94,7 @@ def runs(first: Remembered, later: Remembered, numbers: list[int], counts: list[
     ``LATER`` on belong to the store ``later``, which has that base."""
     first.settle()
     later.settle()
-    which = np.array(numbers, np.int64)
+    which = np.fromiter(numbers, np.int64, len(numbers))
     size, start, ids = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), np.concatenate([first.flat, later.flat])
     second = which >= LATER
     for store, mine, shift in ((first, ~second, 0), (later, second, len(first.flat))):
