@@ -10,8 +10,9 @@ Each distinct fingerprint is stored under its value of each part and looked up u
 a key are compared in place and give a spanning forest of their links, never all pairs; a key with more than ``BUCKET`` rows
 is dealt out in pairs of blocks that together compare all of its rows. Components of the links are found by star rounds.
 
-:func:`near_duplicates` uses several fingerprints of a text's distinct words as candidate links and keeps those whose sets of word
-5-shingles are similar by 0.8 or more (exact up to ``SKETCH`` shingles, beyond that by the smallest hashes of the union).
+:func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Texts that share one of ``BANDS`` bands of
+``BAND_ROWS`` minima of their shingle hashes are compared: first with the text that shares most bands with others, then every two
+that this left unconnected. The chance to miss a pair depends on its similarity alone, not on the kind of edit or on other texts.
 
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. Repeated rows are copies.
 A null id is never the smallest of a component that has another. Further columns are ignored, or kept by :func:`drop_near_duplicates`.
@@ -38,7 +39,7 @@ RADIUS = 3
 BUCKET = 4096
 FEW = 12
 SKETCH = 256
-TABLES = 8
+BANDS, BAND_ROWS = 32, 5
 KEY_BITS = 48
 
 
@@ -333,38 +334,57 @@ def similarity(a: bytes, b: bytes) -> float:
     return len(both) / len(union) if len(union) else 1.0
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """(key, id, node, fps, sketch): ``node`` is the hash of the words, ``key`` tells rows of different id or text apart."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set of shingle hashes under each of ``BANDS * BAND_ROWS`` permutations of 32-bit numbers."""
+    times = (mixed(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    short, out = (hashes >> np.uint64(32)).astype(np.uint32), np.full(len(times), 2**32 - 1, np.uint32)
+    for at in range(0, len(short), 512):
+        np.minimum(out, (times[:, None] * short[None, at : at + 512]).min(axis=1), out=out)
+    return out
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """One key for each band of the minima of each text; bands of different numbers have different keys."""
+    parts = least.astype(np.uint64).reshape(-1, BANDS, BAND_ROWS)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
+    for row in range(BAND_ROWS):
+        out = mixed(out ^ parts[:, :, row], row + 1)
+    return out
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(key, id, node, bands, size, sketch): ``node`` is the hash of the words, ``size`` the number of distinct shingles, ``key`` tells
+    rows of different id or text apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, prints, sketches = [], [], []
+            nodes, least, sizes, sketches = [], [], [], []
             for text in utf8(batch, "_text"):
                 words = words_of(text)
                 nodes.append(xxh64_intdigest(b" ".join(words), SEED))
-                base = np.fromiter((xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-                prints += [majority(mixed(base, t)) for t in range(tables)]
-                sketches.append(sketch(shingle_hashes(words, shingle)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * tables), signed(prints))
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_id"), signed(nodes), lists, pa.array(sketches, pa.binary())], names=["key", "id", "node", "fps", "sketch"])
+                hashes = np.unique(shingle_hashes(words, shingle))
+                least.append(minima(hashes))
+                sizes.append(len(hashes))
+                sketches.append(sketch(hashes))
+            if not nodes:
+                continue
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(bands_of(np.array(least)).reshape(-1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key"), batch.column("_id"), signed(nodes), lists, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
+                names=["key", "id", "node", "bands", "size", "sketch"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), blank(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"key long, id {kind}, node long, fps array<long>, sketch binary")
+    return rows.mapInArrow(run, f"key long, id {kind}, node long, bands array<long>, size int, sketch binary")
 
 
 def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = RADIUS, tables: int = TABLES,
-) -> DataFrame:
-    """(key, id, root) of every row; rows of one root are copies or near copies. Written once, in the shared folder."""
-    rows = cut_lineage(described(docs, id_col, text_col, shingle, tables), "described")
-    # Copies are one node from here on; they are combined before the shuffle.
-    nodes = cut_lineage(rows.select("node", "fps", "sketch").dropDuplicates(["node"]), "nodes")
-    pairs = cut_lineage(links(nodes.select("node", "fps"), radius, tables), "candidates")
+def similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sketches are similar by ``least`` or more."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sketches = cut_lineage(nodes.select("node", "sketch").join(used, "node", "left_semi"), "sketches")
 
@@ -375,8 +395,36 @@ def near_duplicates(
 
     compared = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
     compared = compared.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    roots = components(compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    return rows.join(roots, "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
+    return cut_lineage(compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, id, root) of every row; rows of one root are copies or near copies. Written once, in the shared folder."""
+    rows = cut_lineage(described(docs, id_col, text_col, shingle), "described")
+    # Copies are one node from here on; they are combined before the shuffle.
+    nodes = cut_lineage(rows.select("node", "key", "bands", "size", "sketch").dropDuplicates(["node"]), "nodes")
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    met = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    banded = cut_lineage(banded.join(met, "band"), "banded")
+    fits = F.least("size", "other_size") >= least * F.greatest("size", "other_size")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
+
+    # Of each band the text that meets most others is compared with all: of variants of one text that is the text itself.
+    central = banded.groupBy("node").agg(F.sum("n").alias("meets"))
+    best = banded.join(central, "node").groupBy("band").agg(F.max(F.struct("meets", F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("best"))
+    stars = cut_lineage(ordered(banded.join(best.select("band", "best.other", "best.other_size"), "band")), "stars")
+    edges = similar(stars, nodes, least)
+    # Then every two that share a band and that no path of similar pairs connects yet, so a failed pair loses nothing.
+    roots = components(edges)
+    rooted = cut_lineage(banded.join(roots, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("root")), "rooted")
+    apart = cut_lineage(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
+    rooted = cut_lineage(rooted.join(apart, "band", "left_semi"), "mixed")
+    others = rooted.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+    rest = ordered(rooted.join(others, "band").where("root < other_root")).join(stars, ["a", "b"], "left_anti")
+    edges = edges.union(similar(cut_lineage(rest, "rest"), nodes, least))
+    return rows.join(components(edges), "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
