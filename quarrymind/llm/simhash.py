@@ -13,6 +13,7 @@ is dealt out in pairs of blocks that together compare all of its rows. Component
 :func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Texts that share one of ``BANDS`` bands of
 ``BAND_ROWS`` minima of their shingle hashes are compared: first with the text that shares most bands with others, then every two
 that this left unconnected. The chance to miss a pair depends on its similarity alone, not on the kind of edit or on other texts.
+Sketches of the smallest hashes only rule out pairs that are far from similar (by ``SLACK``); whole shingle sets decide.
 
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. Repeated rows are copies.
 A null id is never the smallest of a component that has another. Further columns are ignored, or kept by :func:`drop_near_duplicates`.
@@ -20,7 +21,7 @@ A null id is never the smallest of a component that has another. Further columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 from math import comb
 from typing import NamedTuple
@@ -39,6 +40,7 @@ RADIUS = 3
 BUCKET = 4096
 FEW = 12
 SKETCH = 256
+SLACK = 0.2
 BANDS, BAND_ROWS = 32, 5
 KEY_BITS = 48
 
@@ -383,19 +385,36 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose sketches are similar by ``least`` or more."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sketches = cut_lineage(nodes.select("node", "sketch").join(used, "node", "left_semi"), "sketches")
+def jaccard(a: bytes, b: bytes) -> float:
+    """Exact similarity of two whole sets of 64-bit shingle hashes."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def kept_pairs(pairs: DataFrame, sets: DataFrame, measure: Callable[[bytes, bytes], float], least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose ``sets`` (node, set) have a ``measure`` of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            close = [similarity(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        for batch in slices(batches, 64):
+            close = [measure(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    compared = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    compared = compared.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return cut_lineage(compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return cut_lineage(compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "pairs")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set) of the texts of ``keys`` (key, node), read again from the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(words_of(t), shingle)).astype("<u8").tobytes() for t in utf8(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    found = docs.select(row_key(id_col, text_col).alias("key"), blank(text_col).alias("_text")).join(keys, "key")
+    return found.select("node", "_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -408,6 +427,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = cut_lineage(banded.join(met, "band"), "banded")
     fits = F.least("size", "other_size") >= least * F.greatest("size", "other_size")
 
+    def used(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sketches = nodes.select("node", F.col("sketch").alias("set")).join(used(pairs), "node", "left_semi")
+        near = kept_pairs(pairs, cut_lineage(sketches, "sketches"), similarity, least - SLACK)
+        keys = cut_lineage(nodes.select("key", "node").join(used(near), "node", "left_semi"), "keys")
+        return kept_pairs(near, cut_lineage(shingle_sets(docs, keys, id_col, text_col, shingle), "sets"), jaccard, least)
+
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
 
@@ -415,7 +443,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = banded.groupBy("node").agg(F.sum("n").alias("meets"))
     best = banded.join(central, "node").groupBy("band").agg(F.max(F.struct("meets", F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("best"))
     stars = cut_lineage(ordered(banded.join(best.select("band", "best.other", "best.other_size"), "band")), "stars")
-    edges = similar(stars, nodes, least)
+    edges = similar(stars)
     # Then every two that share a band and that no path of similar pairs connects yet, so a failed pair loses nothing.
     roots = components(edges)
     rooted = cut_lineage(banded.join(roots, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("root")), "rooted")
@@ -423,7 +451,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = cut_lineage(rooted.join(apart, "band", "left_semi"), "mixed")
     others = rooted.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
     rest = ordered(rooted.join(others, "band").where("root < other_root")).join(stars, ["a", "b"], "left_anti")
-    edges = edges.union(similar(cut_lineage(rest, "rest"), nodes, least))
+    edges = edges.union(similar(cut_lineage(rest, "rest")))
     return rows.join(components(edges), "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
 
 

@@ -53,3 +53,14 @@ def test_many_variants_of_one_text(spark):
     want = plain_groups(rows)
     assert len(want) > 20 and max(map(len, want)) > 100
     assert found_groups(spark, rows) == want
+
+
+def test_long_texts_are_decided_exactly(spark):
+    """Pairs of 2,000 shingles close to the threshold, on both sides of it."""
+    rows = []
+    for k in range(40):
+        words = [f"k{k}w{i}" for i in range(2004)]
+        rows += [words, words[: 2004 - 2000 * (18 + k % 5) // 100]]
+    want = plain_groups(rows)
+    assert 20 < len(want) < len(rows)
+    assert found_groups(spark, rows) == want
