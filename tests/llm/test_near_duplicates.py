@@ -64,3 +64,17 @@ def test_long_texts_are_decided_exactly(spark):
     want = plain_groups(rows)
     assert 20 < len(want) < len(rows)
     assert found_groups(spark, rows) == want
+
+
+def test_added_cut_and_replaced_passages_meet():
+    """Two texts of similarity 0.8 or more share a band, whatever the edit."""
+    draw = random.Random(3)
+    for _ in range(200):
+        n = draw.choice([60, 300, 1500])
+        words, other = ([f"{k}{draw.randrange(4000)}" for _ in range(n)] for k in "wo")
+        few, at = draw.randint(1, n // 5), draw.randrange(n * 4 // 5)
+        for edited in (words[:at] + other[:few] + words[at:], words[:at] + words[at + few :], words[:at] + other[: few // 2] + words[at + few // 2 :]):
+            a, b = shingles(words), shingles(edited)
+            if len(a & b) >= 0.8 * len(a | b):
+                bands = [simhash.bands_of(simhash.minima(simhash.shingle_hashes([w.encode() for w in ws], 5))[None]) for ws in (words, edited)]
+                assert (bands[0] == bands[1]).any()
