@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared word by word (runs of word characters, lower case). Runs of ``tile`` words that a document shares with a benchmark
+Texts are compared word by word (runs of word characters, lower case; single characters in scripts without spaces). Runs of ``tile`` words that a document shares with a benchmark
 item are found by rolling (Karp-Rabin) hashes and joined on them; seeds on one diagonal grow to maximal matches. Then, again and
 again, the longest match that is still free is marked in both texts, and what a mark cuts goes back as shorter matches, until
 no free match of ``tile`` words is left. An item is leaked if the marked tiles cover ``coverage`` of its
@@ -29,7 +29,9 @@ TILE = 5
 COVERAGE = 0.6
 BLOCK_CHARS = 4_000_000
 FACTOR = 0x9E3779B97F4A7C15
-WORD = re.compile(r"\w+")
+#: Thai, Lao, Myanmar, Khmer, kana and Han are written without spaces.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|(?!\W)[{UNSPACED}]")
 
 
 class Leak(NamedTuple):
