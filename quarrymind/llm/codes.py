@@ -114,6 +114,7 @@ LINE_END = "\n"
 class Encoder:
     """Byte-level BPE ids of whole texts, by the tokenizers library; pieces between spaces are encoded once per worker.
 
+    Special tokens' strings in a text are their ids, as the library has it; what stands between them is encoded as a text of its own.
     New pieces go to the library in lines: a line end is a token of its own beside a piece without white space.
     """
 
@@ -122,7 +123,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("special tokens that take in what surrounds them")
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else "(?!)")
         (self.line_end,) = self.ids([LINE_END])[0]
         self.first, self.later = Remembered(self.encode), Remembered(lambda pieces: self.encode(pieces, " "), LATER)
 
@@ -152,18 +157,22 @@ class Encoder:
         first, later, numbers, counts = self.first.__getitem__, self.later.__getitem__, [], []
         for text in batch:
             at = len(numbers)
-            if SPACES.search(text):
-                head, *rest = AFTER_TEXT.split(text)
-                numbers.append(first(head))
-                numbers += map(later, rest)
-            else:
-                # White space stands alone everywhere, so a line end is a token of its own, too.
-                for i, line in enumerate(text.split(LINE_END)):
-                    head, *rest = line.split(" ")
-                    if i:
-                        numbers.append(first(LINE_END))
+            # Every other part is a special token.
+            for k, part in enumerate(self.special.split(text)):
+                if k % 2:
+                    numbers.append(first(part))
+                elif SPACES.search(part):
+                    head, *rest = AFTER_TEXT.split(part)
                     numbers.append(first(head))
                     numbers += map(later, rest)
+                else:
+                    # White space stands alone everywhere, so a line end is a token of its own, too.
+                    for i, line in enumerate(part.split(LINE_END)):
+                        head, *rest = line.split(" ")
+                        if i:
+                            numbers.append(first(LINE_END))
+                        numbers.append(first(head))
+                        numbers += map(later, rest)
             counts.append(len(numbers) - at)
         return runs(self.first, self.later, numbers, counts)
 
