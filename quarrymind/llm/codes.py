@@ -107,7 +107,6 @@ class Codes:
 # A space after a character that is no white space begins a new token under the tokenizer's pattern, whatever surrounds it.
 AFTER_TEXT = re.compile(r"(?<=\S) ")
 SPACES = re.compile(r"\s\s")
-SPACE = re.compile(r"\s")
 LINE_END = "\n"
 
 
@@ -136,7 +135,9 @@ class Encoder:
 
     def encode(self, pieces: list[str], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and how many each has."""
-        spaced = [n for n, p in enumerate(pieces) if SPACE.search(p)] if SPACE.search("".join(pieces)) else []
+        # These go to the library one by one: a line end beside them is no token of its own.
+        alone = re.compile(rf"^$|\s|{self.special.pattern}")
+        spaced = [n for n, p in enumerate(pieces) if alone.search(p)] if "" in pieces or alone.search("".join(pieces) or "x") else []
         if spaced:
             taken = set(spaced)
             own = self.ids([lead + pieces[n] for n in spaced])
