@@ -9,7 +9,8 @@ a pattern's span is dropped, so pattern spans stay as they are.
 Kinds of the patterns: email, ip, card (12 to 19 digits that pass Luhn), phone (9 to 15 digits). The field adds ``secret``
 and further spans of these four kinds.
 
-Whole texts are read; a long line is decoded in windows that overlap by ``OVERLAP`` words, so memory is bounded. Null texts count
+Whole texts and whole lines are read. Scores are made ``STEP`` words at a time and the best path's scores carried on, so a long line is
+decoded as a short one is, in memory of a few bytes a word. Null texts count
 as empty. Repeated rows are handled one by one, further columns are ignored by :func:`find` and kept by :func:`redact`.
 """
 
@@ -77,8 +78,9 @@ def pattern_spans(text: str) -> list[Span]:
 
 TAGS = ("O", *(f"{at}-{kind}" for kind in (*KINDS, "secret") for at in "BI"))
 WORD = re.compile(r"[^ \t-\r]+")
-OVERLAP = 24
-WINDOW = 512
+STEP = 512
+#: Words, padding included, of the lines that are decoded at once; a longer line is decoded alone.
+CELLS = 1 << 19
 KEY_WORDS = frozenset(["password", "passwd", "pwd", "token", "secret", "key", "apikey", "api_key", "access_key", "auth"])
 
 SHAPES = (
@@ -176,15 +178,23 @@ def emissions(field: Field, bits: np.ndarray) -> np.ndarray:
 
 
 def viterbi(field: Field, bits: np.ndarray) -> np.ndarray:
-    """Best tags of every padded line, (lines, words); the padding is shape 0, whose scores are all zero."""
-    scores = emissions(field, bits)
-    lines, words, tags = scores.shape
-    best = field.start + scores[:, 0]
-    back = np.empty((words, lines, tags), np.int8)
-    for i in range(1, words):
-        through = best[:, :, None] + field.transition
-        back[i] = through.argmax(axis=1)
-        best = np.take_along_axis(through, back[i][:, None, :].astype(np.int64), axis=1)[:, 0] + scores[:, i]
+    """Best tags of every padded line, (lines, words). The padding is shape 0; a line's path ends before it."""
+    lines, words = bits.shape
+    tags = len(TAGS)
+    best, back, stay = np.zeros((lines, tags)), np.empty((words, lines, tags), np.int8), np.arange(tags, dtype=np.int8)
+    for first in range(0, words, STEP):
+        lead = min(first, 1)  # a word's scores look one word to either side
+        scores = emissions(field, bits[:, first - lead : first + STEP + 1])[:, lead : lead + STEP]
+        for i in range(scores.shape[1]):
+            if first + i == 0:
+                best = field.start + scores[:, 0]
+                continue
+            through = best[:, :, None] + field.transition
+            place = through.argmax(axis=1)
+            after = np.take_along_axis(through, place[:, None, :], axis=1)[:, 0] + scores[:, i]
+            ended = (bits[:, first + i] == 0)[:, None]
+            back[first + i] = np.where(ended, stay, place)
+            best = np.where(ended, best, after)
     out = np.empty((lines, words), np.int8)
     out[:, -1] = best.argmax(axis=1)
     for i in range(words - 1, 0, -1):
@@ -319,21 +329,28 @@ Line = tuple[int, list[tuple[int, int]]]
 EDGE = " \t\n\r\v\f.,;:!?\"'"
 
 
-def windows(text: str, shapes: Shapes) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], int, int]]:
-    """Shape sets and word places of each line that may hold a span; a long line comes in windows, each deciding on its middle."""
+def lines_of(text: str, shapes: Shapes) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Shape sets and word places of each line that may hold a span."""
     at = 0
     for line in text.split("\n"):
         if SIGN.search(line):
             places = [(at + m.start(), at + m.end()) for m in WORD.finditer(line)]
-            bits = [shapes[text[a:b]] for a, b in places]
-            step = WINDOW - 2 * OVERLAP
-            for i in range(0, len(bits), step):
-                first = max(0, i - OVERLAP)
-                last = min(len(bits), i + step + OVERLAP)
-                yield np.array(bits[first:last]), places[first:last], i - first, min(i + step, len(bits)) - first
+            if places:
+                yield np.array([shapes[text[a:b]] for a, b in places]), places
         at += len(line) + 1
 
 
+def blocks(sizes: Sequence[int], lines_at_once: int) -> Iterator[slice]:
+    """Runs of lines, given in ascending length, that are decoded together."""
+    first = 0
+    for k, size in enumerate(sizes):
+        if k > first and (k - first == lines_at_once or (k - first + 1) * size > CELLS):
+            yield slice(first, k)
+            first = k
+    if len(sizes):
+        yield slice(first, len(sizes))
+
+
 # Every kind has a digit, an @ or a value after an equals sign; other lines hold no span.
 SIGN = re.compile("[0-9@=]")
 
@@ -341,27 +358,23 @@ SIGN = re.compile("[0-9@=]")
 def field_spans(batch: Sequence[str], field: Field, shapes: Shapes, lines_at_once: int = 512) -> list[list[Span]]:
     """Spans that the field finds in each text, decoded in blocks of lines of like length."""
     found: list[list[Span]] = [[] for _ in batch]
-    todo = []
-    for n, text in enumerate(batch):
-        for bits, places, first, last in windows(text, shapes):
-            todo.append((n, text, bits, places, first, last))
+    todo = [(n, text, bits, places) for n, text in enumerate(batch) for bits, places in lines_of(text, shapes)]
     todo.sort(key=lambda t: len(t[2]))
-    for i in range(0, len(todo), lines_at_once):
-        part = todo[i : i + lines_at_once]
-        padded = np.zeros((len(part), max(len(t[2]) for t in part)), np.int64)
+    for run in blocks([len(t[2]) for t in todo], lines_at_once):
+        part = todo[run]
+        padded = np.zeros((len(part), len(part[-1][2])), np.int64)
         for row, t in zip(padded, part):
             row[: len(t[2])] = t[2]
-        for tags, (n, text, bits, places, first, last) in zip(viterbi(field, padded), part):
-            marked = np.flatnonzero(tags[:last])
+        for tags, (n, text, bits, places) in zip(viterbi(field, padded), part):
             open_kind, start, end = "", 0, 0
-            for k in marked.tolist():
+            for k in np.flatnonzero(tags[: len(bits)]).tolist():
                 kind = TAGS[tags[k]][2:]
                 if TAGS[tags[k]][0] == "I" and kind == open_kind and places[k - 1][1] == end:
                     end = places[k][1]
                     continue
                 if open_kind:
                     found[n].append(trimmed(text, start, end, open_kind))
-                open_kind = kind if k >= first else ""
+                open_kind = kind
                 start, end = places[k]
             if open_kind:
                 found[n].append(trimmed(text, start, end, open_kind))

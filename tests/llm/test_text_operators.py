@@ -182,10 +182,37 @@ def test_private_rows(spark, docs, edge, field):
     assert tuple(private.redact(one, field).first()) == (1, "mail [EMAIL] and [CARD] here", 28)
 
 
-def test_long_lines_are_decoded_in_windows(field):
+def test_long_lines_are_decoded_whole(field):
     text = "the " * 3000 + "password=e1c093f22d3955eaac " + "of " * 3000 + "7 8 9"
     (_, both), = private.all_spans([text], field, private.Shapes())
     assert [s.kind for s in both] == ["secret"] and text[both[0].start : both[0].end] == "password=e1c093f22d3955eaac"
+    # Wherever a span stands in a line, at the edge of what is scored at once too, it is found whole.
+    said = ["the " * n + "call (212) 555-0143 " + "of " * 40 for n in [*range(440, 530), *range(1015, 1030)]]
+    for text, (_, both) in zip(said, private.all_spans(said, field, private.Shapes())):
+        assert [text[s.start : s.end] for s in both] == ["(212) 555-0143"]
+
+
+def test_paths_do_not_depend_on_other_lines(field):
+    """Lines decoded together, alone, in small blocks and in small steps, against the plain recurrence."""
+    draw = random.Random(6)
+    words = [w for line, _ in private.labelled_lines() for w in line] + ["the", "of"] * 100
+    lines = [np.array([private.shape(draw.choice(words)) for _ in range(draw.choice([1, 2, 9, 60, 700]))]) for _ in range(30)]
+
+    def plain(bits):
+        scores = private.emissions(field, bits[None, :])[0]
+        best, back = field.start + scores[0], []
+        for row in scores[1:]:
+            through = best[:, None] + field.transition
+            back.append(through.argmax(axis=0))
+            best = through.max(axis=0) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        return path[::-1]
+
+    padded = np.array([np.pad(x, (0, 700 - len(x))) for x in lines])
+    for x, tags in zip(lines, private.viterbi(field, padded)):
+        assert tags[: len(x)].tolist() == plain(x) == private.viterbi(field, x[None, :])[0].tolist()
 
 
 # ---- licenses ----
