@@ -7,8 +7,9 @@ no free match of ``tile`` words is left. An item is leaked if the marked tiles c
 words; their order does not matter, so rearranged passages count as well.
 
 The benchmark is read in blocks of bounded size, each sent to the tasks as an index; documents are scanned where they lie, once per block,
-and nothing is shuffled. Items shorter than ``tile`` words (null and empty ones among them) are never found: so few words meet by
-chance in any text. Items that repeat count once; null and empty documents hold nothing. Documents that repeat are tested one by one.
+and nothing is shuffled. Of an item of fewer than ``tile`` words the seed is all of its words, so it is found where they stand in a row.
+Items without a word (null and empty ones among them) are never found. Items that repeat count once; null and empty documents hold nothing.
+Documents that repeat are tested one by one.
 """
 
 from __future__ import annotations
@@ -74,20 +75,27 @@ class Index:
             self.numbers[w] = len(self.numbers) + 1
         self.coded = [np.array([self.numbers[w] for w in ws], np.int64) for ws in words]
         self.sizes = np.array([len(c) for c in self.coded], np.int64)
-        hashes = [rolling(c, tile) for c in self.coded]
+        #: Seeds by their length: ``tile`` words, and the whole of items that have fewer.
+        self.seeds = {n: self.seeds_of(n) for n in sorted({min(s, tile) for s in self.sizes.tolist()} - {0}, reverse=True)}
+
+    def seeds_of(self, length: int) -> Seeds:
+        hashes = [rolling(c, length) if min(len(c), self.tile) == length else np.zeros(0, np.uint64) for c in self.coded]
         owner = np.repeat(np.arange(len(hashes)), np.array([len(h) for h in hashes], np.int64))
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
         flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.lexsort((place, owner, flat))
         unique, first = np.unique(flat[order], return_index=True)
-        self.seeds = Seeds(unique, np.append(first, len(flat)), owner[order], place[order])
+        return Seeds(unique, np.append(first, len(flat)), owner[order], place[order])
 
     def leaks(self, text: str, coverage: float) -> list[Leak]:
         """Items of which tiles of the text cover the given share, by number."""
         look = self.numbers.get
         numbers = np.fromiter((look(w, 0) for w in WORD.findall(text.lower())), np.int64)
-        seeds, tile = self.seeds, self.tile
-        if len(numbers) < tile or not len(seeds.hashes):
+        return [leak for length, seeds in self.seeds.items() for leak in self.found(numbers, length, seeds, coverage)]
+
+    def found(self, numbers: np.ndarray, tile: int, seeds: Seeds, coverage: float) -> list[Leak]:
+        """Leaks among the items whose seeds have ``tile`` words."""
+        if len(numbers) < tile:
             return []
         # A run with a word that no item has is no seed.
         gaps = np.concatenate([[0], np.cumsum(numbers == 0)])
@@ -105,11 +113,11 @@ class Index:
         item, there, here = item[order], there[order], here[order]
         cuts = np.flatnonzero(np.diff(item)) + 1
         parts = zip(item[np.concatenate([[0], cuts])].tolist(), np.split(here, cuts), np.split(there, cuts))
-        found = (self.tiled(numbers, i, p, q, coverage) for i, p, q in parts)
+        found = (self.tiled(numbers, tile, i, p, q, coverage) for i, p, q in parts)
         return [leak for leak in found if leak]
 
-    def tiled(self, numbers: np.ndarray, item: int, here: np.ndarray, there: np.ndarray, coverage: float) -> Leak | None:
-        size, length = int(self.sizes[item]), self.tile
+    def tiled(self, numbers: np.ndarray, length: int, item: int, here: np.ndarray, there: np.ndarray, coverage: float) -> Leak | None:
+        size = int(self.sizes[item])
         reach = np.zeros(size + 1, np.int64)
         np.add.at(reach, there, 1)
         np.add.at(reach, there + length, -1)
