@@ -306,10 +306,11 @@ def content_hashes(spark, sf_dir):
 # ---------------------------------------------------------------- chunks
 
 # `cost` holds prefix sums; each step closes one chunk and finds where the next begins.
-def pack_ctes(size: int, overlap: int, src: str = "documents", key: str = "doc_id") -> str:
-    return f"""sent as materialized (select {key}, {SENT_SQL} as s from {src}),
+def pack_ctes(size: int, overlap: int, src: str = "documents", key: str = "doc_id", pre: str | None = None) -> str:
+    pre = pre or f"""sent as materialized (select {key}, {SENT_SQL} as s from {src}),
 pre as materialized (select {key}, s, len(s) as n, list_transform(range(0, len(s) + 1),
-   lambda i: coalesce(list_sum(list_transform(s[:i], lambda x: length(x) // 4)), 0)::bigint) as p from sent where len(s) > 0),
+   lambda i: coalesce(list_sum(list_transform(s[:i], lambda x: length(x) // 4)), 0)::bigint) as p from sent where len(s) > 0)"""
+    return f"""{pre},
 chunk as (
   select {key}, 0::bigint as k, 0::bigint as first, 0::bigint as floor_at,
     coalesce((select min(j) from (select unnest(range(1, n)) as j) where p[j + 2] - p[1] > {size}), n) as last from pre

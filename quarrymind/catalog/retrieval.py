@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrymind.catalog.common import HITS_SQL, NOT_WORD, hits, r6, sql_list, table, with_ctes
 from quarrymind.functions import text as tx
 from quarrymind.functions import vectors as vx
-from quarrymind.operators import fusion, lexical, vector
+from quarrymind.operators import fusion, lexical, similarity, vector
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -424,6 +424,27 @@ def dedup_hits(spark, sf_dir):
     return fusion.dedup_hits(_ranked_texts(spark, sf_dir), 0.3).select("query_id", "doc_id", "rank")
 
 
+@query("near_duplicates", r"""with recursive wd as materialized (
+  select doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) as w from documents),
+sim as materialized (
+  select a, b, i / (m + n - i) as s from (
+    select x.doc_id as a, y.doc_id as b, len(x.w) as m, len(y.w) as n, len(list_intersect(x.w, y.w)) as i
+    from wd x join wd y on x.doc_id < y.doc_id and least(len(x.w), len(y.w)) >= 0.89 * greatest(len(x.w), len(y.w)) and len(x.w) > 0)
+  where i / (m + n - i) >= 0.9),
+seq as materialized (select doc_id, row_number() over (order by doc_id) as rn from documents),
+walk as (
+  select 0::bigint as rn, []::bigint[] as kept
+  union all
+  select seq.rn, case when exists (select 1 from sim where b = seq.doc_id and list_contains(kept, a)) then kept else list_append(kept, seq.doc_id) end
+  from walk join seq on seq.rn = walk.rn + 1),
+fin as materialized (select unnest(arg_max(kept, rn)) as k from walk)
+select doc_id, coalesce(r.a, doc_id) as representative, round(coalesce(r.s, 1), 6) as similarity, r.a is null as kept
+from documents left join (
+  select b, min(a) as a, arg_min(s, a) as s from sim where a in (select k from fin) and b not in (select k from fin) group by 1) r on b = doc_id""")
+def near_duplicates(spark, sf_dir):
+    return similarity.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "representative", r6("similarity"), "kept")
+
+
 @query("mmr_select", "with recursive " + ",\n".join(FUSE_WEIGHTED_CTES) + "," + _WORDS_CTE + """,
 walk as (
   select query_id, 1::bigint as step, [doc_id] as picked from r where rank = 1

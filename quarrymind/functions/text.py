@@ -289,9 +289,18 @@ def jaccard_sets(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), common / total).otherwise(F.lit(0.0))
 
 
-def truncate(c: Column | str, max_tokens: int, strategy: str = "end", ellipsis: str = "...") -> Column:
+def costs(parts: Column, tokens: TokenEstimator) -> Column:
+    """Tokens of each text of an array, by the estimator's own form for arrays if it has one."""
+    return tokens.each(parts) if hasattr(tokens, "each") else F.transform(parts, tokens)
+
+
+def truncate(
+    c: Column | str, max_tokens: int, strategy: str = "end", ellipsis: str = "...", tokens: TokenEstimator = estimate_tokens
+) -> Column:
     """Cut a text to a token budget at its end, start or middle; the mark's cost is deducted."""
     text = _col(c)
+    if hasattr(tokens, "cut"):
+        return tokens.cut(text, max_tokens, strategy, ellipsis)
     keep = max_tokens - -(-len(ellipsis) // 4)
     if strategy not in ("end", "start", "middle"):
         raise ValueError(f"unknown truncation strategy: {strategy}")
@@ -322,8 +331,7 @@ def truncate_sentences(
     parts = F.split(text, r"(?U)(?<=[.!?])\s+")
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(0).alias("seen"), F.lit(True).alias("open"))
 
-    def step(acc: Column, part: Column) -> Column:
-        cost = tokens(part)
+    def step(acc: Column, cost: Column) -> Column:
         fits = acc["open"] & ((acc["used"] + cost <= max_tokens) | (acc["seen"] < min_sentences))
         return F.struct(
             (acc["used"] + F.when(fits, cost).otherwise(0)).alias("used"),
@@ -332,7 +340,7 @@ def truncate_sentences(
             fits.alias("open"),
         )
 
-    kept = F.aggregate(parts, start, step, lambda acc: acc["kept"])
+    kept = F.aggregate(costs(parts, tokens), start, step, lambda acc: acc["kept"])
     return (
         F.when(text.isNull(), F.lit(""))
         .when(tokens(text) <= max_tokens, text)

@@ -76,23 +76,32 @@ def chunk_texts(c: Column | str, size: int, overlap: int, tokens: tx.TokenEstima
     text = F.col(c) if isinstance(c, str) else c
     # Bound, so that the text is split once and not once per use.
     return tx.bind(
-        tx.sentences(F.coalesce(text, F.lit(""))),
-        lambda parts: F.transform(
-            _pack(F.transform(parts, tokens), size, overlap),
-            lambda r: F.array_join(F.slice(parts, r["first"] + 1, r["last"] - r["first"]), " "),
-        ),
+        tx.sentences(F.coalesce(text, F.lit(""))), lambda parts: _joined(parts, F.transform(parts, tokens), size, overlap)
     )
 
 
+def _joined(parts: Column, costs: Column, size: int, overlap: int) -> Column:
+    return F.transform(
+        _pack(costs, size, overlap), lambda r: F.array_join(F.slice(parts, r["first"] + 1, r["last"] - r["first"]), " ")
+    )
+
+
+def _with_chunk_texts(df: DataFrame, keep: list[str], col: str, size: int, overlap: int, tokens: tx.TokenEstimator) -> DataFrame:
+    """``keep`` and ``texts``, the chunk texts of ``col``. Estimators that run in Python count a column of sentences, not inside of an expression."""
+    if not hasattr(tokens, "each"):
+        return df.select(*keep, chunk_texts(col, size, overlap, tokens).alias("texts"))
+    split = df.select(*keep, tx.sentences(F.coalesce(F.col(col), F.lit(""))).alias("_parts"))
+    counted = split.withColumn("_costs", tokens.each("_parts"))
+    return counted.select(*keep, _joined(F.col("_parts"), F.col("_costs"), size, overlap).alias("texts"))
+
+
 def chunk_overlapping(
     df: DataFrame, key: str = "doc_id", col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     tokens: tx.TokenEstimator = tx.estimate_tokens,
 ) -> DataFrame:
     """Chunks ``(key, chunk_index, content, token_count)``; a narrow job without shuffles."""
-    return (
-        unfold(df, [key], chunk_texts(col, size, overlap, tokens), "content", "chunk_index")
-        .withColumn("token_count", tokens(F.col("content")))
-    )
+    texts = _with_chunk_texts(df, [key], col, size, overlap, tokens)
+    return unfold(texts, [key], "texts", "content", "chunk_index").withColumn("token_count", tokens(F.col("content")))
 
 
 def _offsets(overlap: int) -> Callable[[Column], Column]:
@@ -109,20 +118,21 @@ def _offsets(overlap: int) -> Callable[[Column], Column]:
 
 
 def simple_chunk(
-    df: DataFrame, key: str = "doc_id", col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+    df: DataFrame, key: str = "doc_id", col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+    tokens: tx.TokenEstimator = tx.estimate_tokens,
 ) -> DataFrame:
     """Flat chunks with approximate offsets (they assume ``overlap`` tokens of four characters)."""
     rows = tx.bind(
-        chunk_texts(col, size, overlap),
+        F.col("texts"),
         lambda texts: F.zip_with(
             texts, _offsets(overlap)(texts), lambda t, s: F.struct(t.alias("content"), s.alias("approx_start"))
         ),
     )
     return (
-        unfold(df, [key], rows, "r", "chunk_index")
+        unfold(_with_chunk_texts(df, [key], col, size, overlap, tokens), [key], rows, "r", "chunk_index")
         .select(
             key, "chunk_index", F.lit(0).alias("level"), "r.content",
-            tx.estimate_tokens("r.content").alias("token_count"),
+            tokens(F.col("r.content")).alias("token_count"),
             "r.approx_start",
             (F.col("r.approx_start") + F.length("r.content")).alias("approx_end"),
         )

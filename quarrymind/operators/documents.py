@@ -91,12 +91,16 @@ def keywords(df: DataFrame, col: str = "text", n: int = 10) -> DataFrame:
     return df.withColumn("keywords", tx.keywords(col, n))
 
 
-def truncate(df: DataFrame, max_tokens: int, strategy: str = "end", col: str = "text") -> DataFrame:
-    return df.withColumn(col, tx.truncate(col, max_tokens, strategy))
+def truncate(
+    df: DataFrame, max_tokens: int, strategy: str = "end", col: str = "text", tokens: tx.TokenEstimator = tx.estimate_tokens
+) -> DataFrame:
+    return df.withColumn(col, tx.truncate(col, max_tokens, strategy, tokens=tokens))
 
 
-def truncate_sentences(df: DataFrame, max_tokens: int, min_sentences: int = 1, col: str = "text") -> DataFrame:
-    return df.withColumn(col, tx.truncate_sentences(col, max_tokens, min_sentences))
+def truncate_sentences(
+    df: DataFrame, max_tokens: int, min_sentences: int = 1, col: str = "text", tokens: tx.TokenEstimator = tx.estimate_tokens
+) -> DataFrame:
+    return df.withColumn(col, tx.truncate_sentences(col, max_tokens, min_sentences, tokens))
 
 
 def with_sentences(df: DataFrame, col: str = "text") -> DataFrame:
