@@ -96,19 +96,21 @@ def test_hard_texts_equal_the_libraries(spark, libraries, tmp_path):
 def test_coarse_spans_lead_to_the_exact_ends():
     """Tokens inside of a character and fallback bytes: cuts from spans equal those counted in bytes."""
     own = alignment.Aligner(A_PATH, B_PATH)
-    checked = 0
-    for text in HARD:
-        for segment in own.cuts.split(" " + text) if text else []:
-            (x,) = own.segment_alignments([segment])
-            if x is None:
-                assert "▁" in segment
-                continue
-            a_ends = np.cumsum([len(own.a_bytes[i]) for i in x.a])
-            b_ends = np.cumsum([len(own.b_bytes[i]) for i in x.b])
-            common = np.intersect1d(a_ends, b_ends)
-            assert a_ends[np.cumsum(x.a_sizes) - 1].tolist() == common.tolist() == b_ends[np.cumsum(x.b_sizes) - 1].tolist()
-            checked += len(a_ends) > len(common)
-    assert checked > 3
+    segments = [s for text in HARD if text for s in own.cuts.split(" " + text)]
+    bad, lengths, parts = own.line_alignments([[s] for s in segments])
+    assert [s for s, wrong in zip(segments, bad) if wrong] == [s for s in segments if "▁" in s]
+    ends, inside = np.cumsum(lengths, axis=0), 0
+    for n, wrong in enumerate(bad):
+        x = alignment.Alignment(*(part[e - k : e] for part, e, k in zip(parts, ends[n], lengths[n])))
+        if wrong:
+            assert not any(map(len, x))
+            continue
+        a_ends = np.cumsum([len(own.a_bytes[i]) for i in x.a])
+        b_ends = np.cumsum([len(own.b_bytes[i]) for i in x.b])
+        common = np.intersect1d(a_ends, b_ends)
+        assert a_ends[np.cumsum(x.a_sizes) - 1].tolist() == common.tolist() == b_ends[np.cumsum(x.b_sizes) - 1].tolist()
+        inside += len(a_ends) > len(common)
+    assert inside > 3
 
 
 def test_given_documents_edges_and_rare_pairs(spark, libraries, docs, edge, nothing, tmp_path, monkeypatch):
@@ -128,3 +130,12 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         got, want = own(batch), [alignment.Aligner.__call__(free, [t])[0] for t in batch]
         assert all((x == y).all() for g, w in zip(got, want) for x, y in zip(g, w))
         assert len(own.numbers) < 500
+
+
+def test_token_ids_and_groups_of_a_table(spark, libraries, edge):
+    make = alignment.aligner(A_PATH, B_PATH)
+    rows = [(1, "two words"), (2, None), (3, "日本 🙂 x\ny"), (4, "▁")]
+    for r in alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), make).collect():
+        want = plain_alignment(libraries, dict(rows)[r.id])
+        assert (r.a, r.b, r.a_sizes, r.b_sizes) == ((want[0], want[1], [len(g) for g, _ in want[2]], [len(h) for _, h in want[2]]) if want else ([], [], [], []))
+    assert alignment.align(edge, make).count() == edge.count()
