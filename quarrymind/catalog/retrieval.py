@@ -62,6 +62,12 @@ def bm25_topk(spark, sf_dir):
     return lexical.bm25_search(index, _queries(spark, sf_dir), 10).select("query_id", "doc_id", r6("score"), "rank")
 
 
+@query("bm25_pruned", BM25_SQL + "select query_id, doc_id, round(score, 6) as score, rank from b_top")
+def bm25_pruned(spark, sf_dir):
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.bm25_search(index, _queries(spark, sf_dir), 10, prune=True).select("query_id", "doc_id", r6("score"), "rank")
+
+
 @query("bm25_match_all", with_ctes(_index_ctes("b", "documents"), QTERMS) + """,
 need as (select query_id, count(*) as n from q_terms group by 1),
 scored as (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarrymind.functions import text as tx
 from quarrymind.functions.rows import unfold
@@ -17,21 +19,30 @@ B = 0.75
 
 BUCKETS = 64
 SPREAD = 4
+#: Documents of a block, about; a search skips blocks whose largest impacts cannot reach its threshold.
+BLOCK_DOCS = 256
+#: Scores of equal hits that are summed in another order differ by less.
+SLACK = 1e-6
+#: A query's threshold comes from its rarest terms, until they have so many postings for each hit asked for, and of so many documents.
+FIRST_POSTINGS = 32
+FIRST_HITS = 3
 
 
 class LexicalIndex(NamedTuple):
-    """``postings(bucket, term, doc_id, tf, dl)`` and ``stats(n_docs, words)`` with one row per build or addition.
+    """``postings(addition, bucket, block, term, doc_id, tf, dl)``, ``peaks(addition, bucket, term, block, n, impact, at)`` with the number of postings
+    and the largest impact of each term in each block, at the mean document length ``at``, and ``stats(addition, n_docs, words)`` with one row per addition.
 
-    Stored postings lie in one folder per bucket of terms, so a search reads the buckets of its terms only.
+    Stored postings lie in one folder per addition and bucket of terms, so a search reads the buckets of its terms only.
     """
 
     postings: DataFrame
+    peaks: DataFrame
     stats: DataFrame
 
     @property
     def terms(self) -> DataFrame:
         """``(term, df)`` of all terms."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.peaks.groupBy("term").agg(F.sum("n").alias("df"))
 
     @property
     def totals(self) -> DataFrame:
@@ -47,19 +58,36 @@ def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _postings(docs: DataFrame, key: str, col: str) -> DataFrame:
-    """Terms counted inside each document row."""
-    counted = docs.select(F.col(key).alias("doc_id"), terms_of(col).alias("terms")).select(
-        "doc_id", F.size("terms").alias("dl"), tx.count_runs(F.col("terms")).alias("runs")
+def _postings(docs: DataFrame, key: str, col: str, addition: str) -> DataFrame:
+    """Terms counted by document. Rows of a bucket and a share of the documents meet in one task, which is also how they are stored."""
+    blocks = -(-docs.count() // BLOCK_DOCS) or 1
+    # Documents of like length share a block, so that the largest impact in a block says something of all its documents.
+    length = F.least(F.floor(F.log2(F.col("dl").cast("double")) * 2), F.lit(63)).cast("long")
+    block = F.lit(zlib.crc32(addition.encode()) << 31) + length * (1 << 25) + F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    worded = docs.select(F.col(key).alias("doc_id"), terms_of(col).alias("terms")).select("doc_id", F.size("terms").alias("dl"), "terms")
+    rows = unfold(worded, ["doc_id", "dl"], "terms", "term").select(
+        _bucket("term").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("share"), "term", "doc_id", "dl"
     )
-    rows = unfold(counted, ["doc_id", "dl"], "runs", "r")
-    return rows.select(_bucket("r.word").alias("bucket"), F.col("r.word").alias("term"), "doc_id", F.col("r.n").alias("tf"), "dl")
+    counted = rows.repartition("bucket", "share").groupBy("bucket", "share", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    return counted.select("bucket", block.alias("block"), "term", "doc_id", "tf", "dl")
 
 
-def _stats(docs: DataFrame, col: str) -> DataFrame:
-    """Documents and words, from the document rows."""
-    size = F.size(terms_of(col)).cast("long")
-    return docs.select(size.alias("dl")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0).cast("long")).alias("words"))
+def _impact(tf: str, dl: str, avgdl: Column) -> Column:
+    """What a posting adds to a score, per unit of its term's weight; grows with the count and falls with the document's length."""
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / avgdl))
+
+
+def _peaks(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """The largest impact of each term in each block, at the mean length ``at`` of the addition."""
+    at = stats.select((F.col("words") / F.col("n_docs"))).scalar()
+    most = F.max(_impact("tf", "dl", at)).alias("impact")
+    return postings.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), most).withColumn("at", at)
+
+
+def _stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Documents, from the table, and words, from the postings."""
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0).cast("long"))).scalar()
+    return docs.agg(F.count("*").alias("n_docs")).select("n_docs", words.alias("words"))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved: bool = True, folder: str | None = None) -> LexicalIndex:
@@ -68,68 +96,172 @@ def build_index(docs: DataFrame, key: str = "doc_id", col: str = "text", saved:
     A stored index is read by later searches, can be opened again with :func:`load_index` and grows by :func:`add_to_index`.
     """
     if not saved:
-        return LexicalIndex(_postings(docs, key, col), _stats(docs, col))
+        postings = _postings(docs, key, col, "")
+        stats = _stats(docs, postings)
+        return LexicalIndex(postings, _peaks(postings, stats), stats)
     folder = folder or scratch_path(docs.sparkSession, "index")
-    add_to_index(docs, folder, key, col)
+    add_to_index(docs, folder, key, col, "built")
     return load_index(docs.sparkSession, folder)
 
 
-def add_to_index(docs: DataFrame, folder: str, key: str = "doc_id", col: str = "text") -> None:
+def addition_name(docs: DataFrame, key: str, col: str) -> str:
+    """A name that the same documents have again, in whatever order they come."""
+    row = F.xxhash64(F.col(key), F.col(col))
+    sign = docs.agg(F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(1 << 31))), F.lit(0))).first()
+    return hashlib.sha256(repr(tuple(sign)).encode()).hexdigest()[:16]
+
+
+def add_to_index(docs: DataFrame, folder: str, key: str = "doc_id", col: str = "text", addition: str | None = None) -> None:
     """Store the postings of documents that the index does not hold yet.
 
-    Postings are dealt by bucket and a few shares of the documents, so a frequent term's postings are written by several tasks.
+    An addition has a folder of its own by its name (by default one made from its documents), so an addition that is repeated, or that failed
+    half way and is done again, changes nothing. Its statistics are written last, and readers take only additions that have them. Postings
+    are dealt by bucket and a few shares of the documents, so a frequent term's postings are written by several tasks.
     """
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
-    rows = _postings(docs, key, col).repartition("bucket", share).sortWithinPartitions("bucket", "term")
-    rows.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-    _stats(docs, col).withColumn("kind", F.lit(str(docs.schema[key].dataType.simpleString()))).write.mode("append").parquet(f"{folder}/stats")
+    addition = addition or addition_name(docs, key, col)
+    part = f"addition={addition}"
+    rows = _postings(docs, key, col, addition).sortWithinPartitions("bucket", "term", "block")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/{part}")
+    kind = docs.schema[key].dataType.simpleString()
+    written = docs.sparkSession.read.schema(f"block long, term string, doc_id {kind}, tf int, dl int, bucket int").parquet(f"{folder}/postings/{part}")
+    stats = cut_lineage(_stats(docs, written).withColumn("kind", F.lit(kind)), "stats")
+    _peaks(written, stats).sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{folder}/peaks/{part}")
+    stats.write.mode("overwrite").parquet(f"{folder}/stats/{part}")
 
 
 def load_index(spark: SparkSession, folder: str) -> LexicalIndex:
-    stats = spark.read.parquet(f"{folder}/stats")
-    kind = stats.select("kind").first()["kind"]
-    schema = f"term string, doc_id {kind}, tf int, dl int, bucket int"
-    return LexicalIndex(spark.read.schema(schema).parquet(f"{folder}/postings"), stats.select("n_docs", "words"))
+    stats = spark.read.schema("n_docs long, words long, kind string, addition string").parquet(f"{folder}/stats")
+    named = stats.select("addition", "kind").collect()  # one row per addition
+    whole = F.col("addition").isin([r["addition"] for r in named])
+    postings = spark.read.schema(f"block long, term string, doc_id {named[0]['kind']}, tf int, dl int, addition string, bucket int").parquet(f"{folder}/postings")
+    peaks = spark.read.schema("bucket int, term string, block long, n long, impact double, at double, addition string").parquet(f"{folder}/peaks")
+    return LexicalIndex(postings.where(whole), peaks.where(whole), stats.select("addition", "n_docs", "words"))
+
+
+class Search(NamedTuple):
+    """Parts of a search: ``read`` the postings of the buckets asked for, ``peaks`` those of the terms, ``wanted(query_id, n_terms, term, bucket, df,
+    idf)``, which is written, and the mean document length."""
+
+    read: DataFrame
+    peaks: DataFrame
+    wanted: DataFrame
+    avgdl: Column
+
+
+def _prepare(index: LexicalIndex, queries: DataFrame, query_id: str, col: str) -> Search:
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms_of(col)).alias("terms"))
+    wanted = unfold(asked, ["query_id", F.size("terms").alias("n_terms")], "terms", "term").withColumn("bucket", _bucket("term"))
+    stats = index.totals.first()
+    n_docs, avgdl = stats["n_docs"], F.lit(stats["avgdl"])
+    terms = small_side(wanted.select("term", "bucket").distinct())
+    # Their buckets, never more than there are, are all that is read of a stored index.
+    asked_for = F.col("bucket").isin([r["bucket"] for r in terms.select("bucket").distinct().collect()])
+    peaks = index.peaks.where(asked_for).join(terms, ["bucket", "term"])
+    df = peaks.groupBy("term").agg(F.sum("n").alias("df"))
+    wanted = small_side(wanted.join(df, "term").withColumn("idf", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))))
+    return Search(index.postings.where(asked_for), peaks, wanted, avgdl)
+
+
+def _bounds(search: Search) -> DataFrame:
+    """(query_id, term, bucket, block, most): the most that a term can add in a block. At another mean length than its addition's an impact is larger by no
+    more than the factor that the mean has grown by. Written."""
+    impact = F.col("impact") * F.greatest(F.lit(1.0), search.avgdl / F.col("at"))
+    bounds = search.peaks.join(search.wanted, ["bucket", "term"]).select("query_id", "term", "bucket", "block", (F.col("idf") * impact).alias("most"))
+    return cut_lineage(bounds, "bounds")
+
+
+def _scores(found: DataFrame, avgdl: Column) -> DataFrame:
+    """Sums per (query, document) over joined postings."""
+    return found.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("idf") * _impact("tf", "dl", avgdl)).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")
+    )
+
+
+def _lifted(search: Search, hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the postings of single documents: ``terms`` of the queries in their ``hits(query_id, doc_id)``."""
+    lookups = hits.select("query_id", "doc_id").join(terms.select("query_id", "bucket", "term", "idf"), "query_id")
+    found = search.read.join(small_side(lookups), ["bucket", "term", "doc_id"])
+    return found.select("query_id", "doc_id", (F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"))
+
+
+def _thresholds(search: Search, top: int) -> DataFrame:
+    """(query_id, least): what a query's last hit scores at least, 0 if too few documents are known.
+
+    The postings of its rarest terms name documents, the best of these are scored in full, and the last hit can be no worse than theirs.
+    """
+    rarer = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rare = search.wanted.withColumn("_before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(F.col("_before") < FIRST_POSTINGS * top)
+    first = _scores(search.read.join(small_side(rare.drop("_before")), ["bucket", "term"]), search.avgdl)
+    return _last_score(search, first, search.wanted, top)
+
+
+def _last_score(search: Search, scored: DataFrame, rest: DataFrame, top: int) -> DataFrame:
+    """(query_id, least): the score of the last of ``top`` hits among the documents that ``scored`` puts first, after ``rest`` of the terms are added."""
+    best = cut_lineage(top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], FIRST_HITS * top).select("query_id", "doc_id", "score"), "best")
+    known = _lifted(search, best, rest) if rest is search.wanted else best.unionByName(_lifted(search, best, rest))
+    last = top_k(known.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), ["query_id"], [F.col("score").desc()], top).where(F.col("rank") == top)
+    return small_side(search.wanted.select("query_id").distinct().join(last, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("least")))
+
+
+def _pruned(search: Search, top: int) -> tuple[DataFrame, DataFrame]:
+    """What has to be scored: ``needed(query_id, bucket, term, block, idf, least, spare)``, the postings that a hit must have one of, in the blocks that
+    can reach the threshold, with the most that the query's other terms add in the block; and those others."""
+    bounds, least = _bounds(search), _thresholds(search, top)
+    largest = bounds.groupBy("query_id", "term").agg(F.max("most").alias("most"))
+    ranked = search.wanted.join(largest, ["query_id", "term"]).join(least, "query_id")
+    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    # The weakest terms, as long as all of them together stay below the threshold: no hit has these alone.
+    terms = cut_lineage(ranked.withColumn("other", F.sum("most").over(rising) < F.col("least") - SLACK).drop("most"), "terms")
+    placed = bounds.join(terms.select("query_id", "term", "idf", "least", "other"), ["query_id", "term"])
+    blocks = placed.groupBy("query_id", "block").agg(F.sum("most").alias("most"), F.sum(F.when(F.col("other"), F.col("most")).otherwise(0.0)).alias("spare"), F.first("least").alias("least"))
+    alive = blocks.where(F.col("most") >= F.col("least") - SLACK).select("query_id", "block", "spare")
+    needed = placed.where("not other").drop("most", "other").join(alive, ["query_id", "block"])
+    return small_side(needed), terms.where("other").drop("other", "least")
 
 
 def bm25_search(
     index: LexicalIndex, queries: DataFrame, top: int = 10, min_score: float = 0.0, match: str = "any",
-    query_id: str = "query_id", col: str = "text",
+    query_id: str = "query_id", col: str = "text", prune: bool = False,
 ) -> DataFrame:
     """Okapi BM25 over a table of queries: ``(query_id, doc_id, score, rank)``.
 
-    Documents match with any query term, or with all of them for ``match='all'``.
+    Documents match with any query term, or with all of them for ``match='all'``. With ``prune`` (and ``match='any'``) not every posting is scored: the
+    rarest terms give each query a threshold that its last hit reaches for sure; blocks whose largest impacts stay below it are left out, and
+    frequent terms that cannot reach it together are looked up only for documents that the other terms bring near it. The hits are the
+    same; it takes about ten more jobs, which pay where the postings of frequent terms are many times larger than a job's start.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms_of(col)).alias("terms"))
-    wanted = unfold(asked, ["query_id", F.size("terms").alias("n_terms")], "terms", "term")
-    stats = index.totals.select(F.struct("n_docs", "avgdl")).scalar()
-    n_docs, avgdl = stats["n_docs"], stats["avgdl"]
-    terms = small_side(wanted.select("term").distinct().withColumn("bucket", _bucket("term")))
-    # Their buckets, never more than there are, are all that is read of a stored index.
-    read = index.postings.where(F.col("bucket").isin([r["bucket"] for r in terms.select("bucket").distinct().collect()]))
-    found = read.join(terms, ["bucket", "term"])
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = (
-        wanted.join(df, "term")
-        .withColumn("idf", F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("bucket", _bucket("term"))
-        .drop("df")
-    )
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = (
-        read.join(small_side(weighted), ["bucket", "term"])
-        .groupBy("query_id", "doc_id")
-        .agg(
-            F.round(F.sum(F.col("idf") * tf), 9).alias("score"),
-            F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"),
-        )
-    )
-    if match == "all":
-        scored = scored.where(F.col("matched") == F.col("n_terms"))
-    ranked = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], top)
+    search = _prepare(index, queries, query_id, col)
+    if match == "all" or not prune:
+        found = _scores(search.read.join(search.wanted, ["bucket", "term"]), search.avgdl)
+        if match == "all":
+            found = found.where(F.col("matched") == F.col("n_terms"))
+    else:
+        needed, others = _pruned(search, top)
+        first = cut_lineage(search.read.join(needed, ["bucket", "term", "block"]).groupBy("query_id", "doc_id").agg(
+            F.sum(F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"), F.first("spare").alias("spare")
+        ), "first")
+        # What is first now gives a threshold that is close to the last hit's score.
+        near = first.join(_last_score(search, first, others, top), "query_id").where(F.col("score") + F.col("spare") >= F.col("least") - SLACK)
+        near = cut_lineage(near.select("query_id", "doc_id", "score"), "near")
+        found = near.unionByName(_lifted(search, near, others)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    ranked = top_k(found.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], top)
     return ranked.where(F.col("score") >= min_score).select("query_id", "doc_id", "score", "rank")
 
 
+def search_report(index: LexicalIndex, queries: DataFrame, top: int = 10, query_id: str = "query_id", col: str = "text") -> DataFrame:
+    """(query_id, blocks, skipped_blocks, postings, scored_postings): what pruning saves each query, without its look-ups for single documents."""
+    search = _prepare(index, queries, query_id, col)
+    needed, _ = _pruned(search, top)
+    peaks = search.peaks.join(search.wanted, ["bucket", "term"]).groupBy("query_id").agg(F.count_distinct("block").alias("blocks"))
+    kept = needed.groupBy("query_id").agg(F.count_distinct("block").alias("kept"))
+    size = search.wanted.groupBy("query_id").agg(F.sum("df").alias("postings"))
+    scored = search.read.join(needed, ["bucket", "term", "block"]).groupBy("query_id").agg(F.count("*").alias("scored"))
+    whole = size.join(peaks, "query_id").join(kept, "query_id", "left").join(scored, "query_id", "left")
+    return whole.select(
+        "query_id", "blocks", (F.col("blocks") - F.coalesce("kept", F.lit(0))).alias("skipped_blocks"), "postings", F.coalesce("scored", F.lit(0)).alias("scored_postings")
+    )
+
+
 def search_multi_field(
     indexes: dict[str, LexicalIndex], queries: DataFrame, weights: dict[str, float] | None = None, top: int = 10,
     query_id: str = "query_id", col: str = "text",

@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "bm25_topk", "keyword_fallback", "vector_topk", "fuse_weighted", "dedup_hits", "graph_expand", "graph_paths", "apply_feedback",
     "feedback_weighted", "chunk_ewma", "confusion", "mastery", "weaknesses", "retained_turns", "answer_reuse", "classify_mode",
+    "bm25_pruned", "multi_field_search", "near_duplicates", "bpe_token_counts", "bpe_chunks", "bpe_truncate_sentences",
     "score_answers", "hierarchical_chunk", "html_to_text", "keywords", "resolve_entities", "hybrid_retrieve", "signals_stream",
 ]
 
