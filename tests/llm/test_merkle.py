@@ -101,3 +101,14 @@ def test_one_hot_group_is_ranged_over_all_tasks(spark):
     found = rows.groupBy("tree", "n").agg(F.min("place").alias("least"), F.max("place").alias("most"), F.count_distinct("place").alias("places"), F.count("*").alias("rows"))
     assert {tuple(r) for r in found.collect()} == {("=a", 19_600, 0, 19_599, 19_600, 19_600), ("=b", 400, 0, 399, 400, 400)}
     assert rows.where("place != id - id div 50 - 1 and tree = '=a' or place != id div 50 and tree = '=b'").count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    rows = merkle.op11_merkle_manifest(spark, "/root/testdata/sf0.001")
+    cursor = con.execute(merkle.ORACLES["op11_merkle_manifest"])
+    assert rows.columns == [d[0] for d in cursor.description]
+    assert sorted(map(tuple, rows.collect())) == sorted(cursor.fetchall())
