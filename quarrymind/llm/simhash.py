@@ -11,9 +11,11 @@ a key are compared in place and give a spanning forest of their links, never all
 is dealt out in pairs of blocks that together compare all of its rows. Components of the links are found by star rounds.
 
 :func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Texts that share one of ``BANDS`` bands of
-``BAND_ROWS`` minima of their shingle hashes are compared: first with the text that shares most bands with others, then every two
-that this left unconnected. The chance to miss a pair depends on its similarity alone, not on the kind of edit or on other texts.
-Sketches of the smallest hashes only rule out pairs that are far from similar (by ``SLACK``); whole shingle sets decide.
+``BAND_ROWS`` minima of their shingle hashes are compared where the band's rows lie: a byte of each minimum tells which pairs can be similar (it
+rules out those that are far from it, by ``SLACK``), and whole shingle sets decide. First each text meets the likeliest other one of
+each band; then every two of a band that similar pairs leave unconnected are compared in place, and only the pairs that connect
+them are handed on. So no step has more rows than texts have bands. The chance to miss a pair depends on its similarity alone, not on the
+kind of edit or on other texts.
 
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. Repeated rows are copies.
 A null id is never the smallest of a component that has another. Further columns are ignored, or kept by :func:`drop_near_duplicates`.
@@ -33,13 +35,15 @@ from xxhash import xxh64_intdigest
 
 from quarrymind.llm.common import blank, cut_lineage, read_table, slices, utf8
 from quarrymind.llm.components import components
+from quarrymind.session import scratch, scratch_path
 
 BITS = 64
 SEED = 42
 RADIUS = 3
 BUCKET = 4096
+#: Rows with whole shingle sets that are compared in one task.
+SETS = 512
 FEW = 12
-SKETCH = 256
 SLACK = 0.2
 BANDS, BAND_ROWS = 32, 5
 KEY_BITS = 48
@@ -318,24 +322,6 @@ def near_print_components(prints: DataFrame, radius: int = RADIUS, id_col: str =
 
 # ---- near-duplicates of texts ----
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The smallest distinct 32-bit shingle hashes, ascending."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH].astype("<u4").tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets by the smallest hashes of their union; exact if no sketch is full."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.intersect1d(x, y, assume_unique=True)
-    full = [s[-1] for s in (x, y) if len(s) == SKETCH]
-    union = np.union1d(x, y)
-    if full:
-        # Beyond a full sketch's last hash nothing is known of its set.
-        union = union[union <= min(full)][:SKETCH]
-        both = both[both <= union[-1]]
-    return len(both) / len(union) if len(union) else 1.0
-
-
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of a set of shingle hashes under each of ``BANDS * BAND_ROWS`` permutations of 32-bit numbers."""
     times = (mixed(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -354,115 +340,227 @@ def bands_of(least: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(least: np.ndarray) -> np.ndarray:
+    """A byte of each minimum, (texts, minima)."""
+    return (mixed(least.astype(np.uint64), 0) >> np.uint64(56)).astype(np.uint8)
+
+
+def likeness(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each of some signatures to each of the others: the share of equal minima, less what equal bytes come by chance."""
+    equal = np.zeros((len(some), len(others)), np.float32)
+    for at in range(0, len(others), 256):
+        equal[:, at : at + 256] = (some[:, None, :] == others[None, at : at + 256, :]).mean(axis=2)
+    return (equal * 256 - 1) / 255
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Exact similarity of two whole sets of 64-bit shingle hashes, ascending."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(key, id, node, bands, size, sketch): ``node`` is the hash of the words, ``size`` the number of distinct shingles, ``key`` tells
+    """(key, id, node, bands, size, bytes): ``node`` is the hash of the words, ``size`` the number of distinct shingles, ``key`` tells
     rows of different id or text apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, least, sizes, sketches = [], [], [], []
+            nodes, least, sizes = [], [], []
             for text in utf8(batch, "_text"):
                 words = words_of(text)
                 nodes.append(xxh64_intdigest(b" ".join(words), SEED))
                 hashes = np.unique(shingle_hashes(words, shingle))
                 least.append(minima(hashes))
                 sizes.append(len(hashes))
-                sketches.append(sketch(hashes))
             if not nodes:
                 continue
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(bands_of(np.array(least)).reshape(-1)))
+            least = np.array(least)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(bands_of(least).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_id"), signed(nodes), lists, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
-                names=["key", "id", "node", "bands", "size", "sketch"],
+                [batch.column("_key"), batch.column("_id"), signed(nodes), lists, pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in signatures(least)], pa.binary())],
+                names=["key", "id", "node", "bands", "size", "bytes"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), blank(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"key long, id {kind}, node long, bands array<long>, size int, sketch binary")
+    return rows.mapInArrow(run, f"key long, id {kind}, node long, bands array<long>, size int, bytes binary")
 
 
-def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set) of the texts of ``keys`` (key, node), read again from the documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(words_of(t), shingle)).astype("<u8").tobytes() for t in utf8(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Exact similarity of two whole sets of 64-bit shingle hashes."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    found = docs.select(row_key(id_col, text_col).alias("key"), blank(text_col).alias("_text")).join(keys, "key")
+    return found.select("node", "_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def kept_pairs(pairs: DataFrame, sets: DataFrame, measure: Callable[[bytes, bytes], float], least: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose ``sets`` (node, set) have a ``measure`` of ``least`` or more."""
+def in_bands(rows: DataFrame, each: Callable[[dict[str, np.ndarray | list]], tuple[Sequence, ...]], schema: str, most: int) -> DataFrame:
+    """``each`` over the rows of every band, which lie together; a band of more than ``most`` rows is dealt out in pairs of blocks that together
+    hold every two of its rows. ``rows`` (band, node, size, ...) should be written."""
+    large = cut_lineage(rows.groupBy("band").count().where(F.col("count") > most), "large-bands")
+    number = F.ceil(F.col("count") / most).cast("int")
+    block = F.pmod(F.xxhash64("node"), number).cast("int")
+    meetings = F.transform(F.sequence(F.lit(0), number - 1), lambda j: F.least(block, j) * number + F.greatest(block, j))
+    dealt = rows.join(large, "band", "left").select(
+        *rows.columns, F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1))).otherwise(meetings)).alias("meeting")
+    ).repartition("band", "meeting").sortWithinPartitions("band", "meeting", "size", "node")
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            close = [measure(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            band, meeting = (table.column(c).to_numpy() for c in ("band", "meeting"))
+            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(meeting) != 0)) + 1
+            starts = [0, *cuts.tolist()]
+            ends = [*cuts.tolist(), len(band)] if last else cuts.tolist()
+            found: list[list] = [[] for _ in names]
+            for a, b in zip(starts, ends):
+                if b - a < 2:
+                    continue
+                part = table.slice(a, b - a)
+                for out, more in zip(found, each({c: part.column(c).to_pylist() if part.schema.field(c).type == pa.binary() else part.column(c).to_numpy() for c in columns})):
+                    out.extend(more)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
+            rest = table.slice(ends[-1] if ends else 0)
+            held[:] = [] if last else rest.combine_chunks().to_batches()
 
-    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return cut_lineage(compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "pairs")
+        for batch in batches:
+            for piece in slices(iter([batch]), 4096):
+                held.append(piece)
+                yield from groups(pa.Table.from_batches(held), False)
+        if held:
+            yield from groups(pa.Table.from_batches(held), True)
 
+    return dealt.mapInArrow(run, schema)
 
-def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, set) of the texts of ``keys`` (key, node), read again from the documents."""
+
+def possible(size: np.ndarray, marks: np.ndarray, a: int, b: int, least: float) -> np.ndarray:
+    """Likeness of rows ``a`` to ``b`` to all rows where sizes and marks let them be similar, else -1. Rows are in ascending size."""
+    sure = least - SLACK
+    near = likeness(marks[a:b], marks)
+    fits = np.minimum(size[a:b, None], size[None]) >= least * np.maximum(size[a:b, None], size[None])
+    return np.where(fits & (near >= sure), near, -1)
+
+
+def likeliest(least: float) -> Callable:
+    """Each row with the one that its marks are most like, if any can be similar."""
+
+    def each(rows: dict) -> tuple[list, list]:
+        node, marks = rows["node"], np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows["node"]), -1)
+        ones, others = [], []
+        for a in range(0, len(node), 64):
+            near = possible(rows["size"], marks, a, a + 64, least)
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = -1
+            best = near.argmax(axis=1)
+            has = np.flatnonzero(near[np.arange(len(near)), best] >= 0)
+            ones += node[a + has].tolist()
+            others += node[best[has]].tolist()
+        return ones, others
+
+    return each
+
+
+def foreign(least: float) -> Callable:
+    """(band, node) of rows that can be similar to a row of another root."""
+
+    def each(rows: dict) -> tuple[list, list]:
+        node, root, marks = rows["node"], rows["root"], np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows["node"]), -1)
+        if (root == root[0]).all():
+            return [], []
+        out = []
+        for a in range(0, len(node), 64):
+            near = possible(rows["size"], marks, a, a + 64, least)
+            out += node[a + np.flatnonzero(((near >= 0) & (root[a : a + 64, None] != root[None])).any(axis=1))].tolist()
+        return rows["band"][: len(out)].tolist(), out
+
+    return each
+
+
+def connecting(least: float) -> Callable:
+    """Pairs of similar rows that connect the rows of a band, as far as they are similar; rows of one root are connected already."""
+
+    def each(rows: dict) -> tuple[list, list]:
+        node, size = rows["node"], rows["size"]
+        marks = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(s, "<u8") for s in rows["set"]]
+        _, group = np.unique(rows["root"], return_inverse=True)
+        ones, others = [], []
+        for a in range(len(node)):
+            near = possible(size, marks, a, a + 1, least)[0]
+            for b in np.argsort(-near, kind="stable")[: int((near >= 0).sum())].tolist():
+                if group[a] != group[b] and jaccard(sets[a], sets[b]) >= least:
+                    ones.append(int(node[a]))
+                    others.append(int(node[b]))
+                    group[group == group[b]] = group[a]
+        return ones, others
+
+    return each
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose whole ``sets`` (node, set) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(words_of(t), shingle)).astype("<u8").tobytes() for t in utf8(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+        for batch in slices(batches, 64):
+            x, y = ([np.frombuffer(s, "<u8") for s in batch.column(c).to_pylist()] for c in ("x", "y"))
+            close = [jaccard(p, q) >= least for p, q in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    found = docs.select(row_key(id_col, text_col).alias("key"), blank(text_col).alias("_text")).join(keys, "key")
-    return found.select("node", "_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    compared = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    compared = compared.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return compared.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, id, root) of every row; rows of one root are copies or near copies. Written once, in the shared folder."""
+    """(key, id, root) of every row; rows of one root are copies or near copies."""
     rows = cut_lineage(described(docs, id_col, text_col, shingle), "described")
     # Copies are one node from here on; they are combined before the shuffle.
-    nodes = cut_lineage(rows.select("node", "key", "bands", "size", "sketch").dropDuplicates(["node"]), "nodes")
-    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
-    met = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
-    banded = cut_lineage(banded.join(met, "band"), "banded")
-    fits = F.least("size", "other_size") >= least * F.greatest("size", "other_size")
-
-    def used(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        sketches = nodes.select("node", F.col("sketch").alias("set")).join(used(pairs), "node", "left_semi")
-        near = kept_pairs(pairs, cut_lineage(sketches, "sketches"), similarity, least - SLACK)
-        keys = cut_lineage(nodes.select("key", "node").join(used(near), "node", "left_semi"), "keys")
-        return kept_pairs(near, cut_lineage(shingle_sets(docs, keys, id_col, text_col, shingle), "sets"), jaccard, least)
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
-
-    # Of each band the text that meets most others is compared with all: of variants of one text that is the text itself.
-    central = banded.groupBy("node").agg(F.sum("n").alias("meets"))
-    best = banded.join(central, "node").groupBy("band").agg(F.max(F.struct("meets", F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("best"))
-    stars = cut_lineage(ordered(banded.join(best.select("band", "best.other", "best.other_size"), "band")), "stars")
-    edges = similar(stars)
+    nodes = cut_lineage(rows.select("node", "key", "bands", "size", "bytes").dropDuplicates(["node"]), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    met = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
+    met = banded.join(met, "band")
+    shared = cut_lineage(met.join(nodes.select("node", "size", "bytes"), "node").select("band", "node", "size", "bytes"), "banded")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = cut_lineage(nodes.select("key", "node").join(wanted.distinct(), "node", "left_semi"), "keys")
+        return cut_lineage(shingle_sets(docs, keys, id_col, text_col, shingle), "sets")
+
+    pairs = in_bands(shared, likeliest(least), "a long, b long", BUCKET)
+    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    edges = cut_lineage(similar_pairs(pairs, sets, least), "edges")
     # Then every two that share a band and that no path of similar pairs connects yet, so a failed pair loses nothing.
     roots = components(edges)
-    rooted = cut_lineage(banded.join(roots, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("root")), "rooted")
-    apart = cut_lineage(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
-    rooted = cut_lineage(rooted.join(apart, "band", "left_semi"), "mixed")
-    others = rooted.select("band", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-    rest = ordered(rooted.join(others, "band").where("root < other_root")).join(stars, ["a", "b"], "left_anti")
-    edges = edges.union(similar(cut_lineage(rest, "rest")))
+    rooted = cut_lineage(shared.join(roots, "node", "left").select("band", "node", "size", "bytes", F.coalesce("component", "node").alias("root")), "rooted")
+    apart = cut_lineage(in_bands(rooted, foreign(least), "band long, node long", BUCKET).distinct(), "apart")
+    sets = sets_of(apart.select("node"))
+    left = rooted.join(apart, ["band", "node"], "left_semi").join(sets, "node").select("band", "node", "size", "bytes", "root", "set")
+    edges = edges.union(in_bands(cut_lineage(left, "unconnected"), connecting(least), "a long, b long", SETS))
     return rows.join(components(edges), "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group, that of the smallest id, with all its columns."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    # Nulls come last, so a row with an id stands for its group if there is one.
-    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    """One row of each group, that of the smallest id, with all its columns. What is written on the way is deleted before the rows are read."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "chosen")
     name = "_key" + "_" * max(map(len, docs.columns))  # a name that no column has
-    keys = cut_lineage(chosen.select(F.col("best.key").alias(name)), "chosen")
-    kept = docs.withColumn(name, row_key(id_col, text_col)).join(keys, name, "left_semi")
+    with scratch(spark):
+        groups = near_duplicates(docs, id_col, text_col, **options)
+        # Nulls come last, so a row with an id stands for its group if there is one.
+        chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+        chosen.select(F.col("best.key").alias(name)).write.parquet(path)
+    kept = docs.withColumn(name, row_key(id_col, text_col)).join(spark.read.schema(f"{name} long").parquet(path), name, "left_semi")
     return kept.dropDuplicates([name]).drop(name)
 
 
