@@ -402,10 +402,10 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, s
     return found.select("node", "_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def in_bands(rows: DataFrame, each: Callable[[dict[str, np.ndarray | list]], tuple[Sequence, ...]], schema: str, most: int) -> DataFrame:
+def in_bands(rows: DataFrame, listed: DataFrame, each: Callable[[dict[str, np.ndarray | list]], tuple[Sequence, ...]], schema: str, most: int) -> DataFrame:
     """``each`` over the rows of every band, which lie together; a band of more than ``most`` rows is dealt out in pairs of blocks that together
-    hold every two of its rows. ``rows`` (band, node, size, ...) should be written."""
-    large = cut_lineage(rows.groupBy("band").count().where(F.col("count") > most), "large-bands")
+    hold every two of its rows. ``rows`` (band, node, size, ...) are read once; ``listed`` has the same bands and is written."""
+    large = cut_lineage(listed.groupBy("band").count().where(F.col("count") > most), "large-bands")
     number = F.ceil(F.col("count") / most).cast("int")
     block = F.pmod(F.xxhash64("node"), number).cast("int")
     meetings = F.transform(F.sequence(F.lit(0), number - 1), lambda j: F.least(block, j) * number + F.greatest(block, j))
@@ -536,17 +536,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys = cut_lineage(nodes.select("key", "node").join(wanted.distinct(), "node", "left_semi"), "keys")
         return cut_lineage(shingle_sets(docs, keys, id_col, text_col, shingle), "sets")
 
-    pairs = in_bands(shared, likeliest(least), "a long, b long", BUCKET)
+    pairs = in_bands(shared, shared, likeliest(least), "a long, b long", BUCKET)
     pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
     sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     edges = cut_lineage(similar_pairs(pairs, sets, least), "edges")
     # Then every two that share a band and that no path of similar pairs connects yet, so a failed pair loses nothing.
     roots = components(edges)
-    rooted = cut_lineage(shared.join(roots, "node", "left").select("band", "node", "size", "bytes", F.coalesce("component", "node").alias("root")), "rooted")
-    apart = cut_lineage(in_bands(rooted, foreign(least), "band long, node long", BUCKET).distinct(), "apart")
+    root = F.coalesce("component", "node").alias("root")
+    placed = cut_lineage(shared.select("band", "node").join(roots, "node", "left").select("band", "node", root), "rooted")
+    mixed = cut_lineage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
+    placed = cut_lineage(placed.join(mixed, "band", "left_semi"), "mixed")
+    rooted = placed.join(nodes.select("node", "size", "bytes"), "node")
+    apart = cut_lineage(in_bands(rooted, placed, foreign(least), "band long, node long", BUCKET).distinct(), "apart")
     sets = sets_of(apart.select("node"))
-    left = rooted.join(apart, ["band", "node"], "left_semi").join(sets, "node").select("band", "node", "size", "bytes", "root", "set")
-    edges = edges.union(in_bands(cut_lineage(left, "unconnected"), connecting(least), "a long, b long", SETS))
+    left = placed.join(apart, ["band", "node"], "left_semi").join(nodes.select("node", "size", "bytes").join(sets, "node"), "node")
+    left = left.select("band", "node", "size", "bytes", "root", "set")
+    edges = cut_lineage(edges.union(in_bands(left, apart, connecting(least), "a long, b long", SETS)), "all-edges")
     return rows.join(components(edges), "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
 
 
