@@ -26,6 +26,8 @@ SLACK = 1e-6
 #: A query's threshold comes from its rarest terms, until they have so many postings for each hit asked for, and of so many documents.
 FIRST_POSTINGS = 32
 FIRST_HITS = 3
+#: From so many postings of all queries' terms on a search is pruned; below, scoring them all takes less time than the jobs that pruning starts.
+PRUNE_FROM = 100_000_000
 
 
 class LexicalIndex(NamedTuple):
@@ -219,31 +221,51 @@ def _pruned(search: Search, top: int) -> tuple[DataFrame, DataFrame]:
     return small_side(needed), terms.where("other").drop("other", "least")
 
 
+def _near(search: Search, top: int) -> DataFrame:
+    """(query_id, doc_id, score) of the documents that can be among the ``top`` hits."""
+    needed, others = _pruned(search, top)
+    first = cut_lineage(search.read.join(needed, ["bucket", "term", "block"]).groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"), F.first("spare").alias("spare")
+    ), "first")
+    # What is first now gives a threshold that is close to the last hit's score.
+    near = first.join(_last_score(search, first, others, top), "query_id").where(F.col("score") + F.col("spare") >= F.col("least") - SLACK)
+    near = cut_lineage(near.select("query_id", "doc_id", "score"), "near")
+    return near.unionByName(_lifted(search, near, others)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
+def _all_terms(search: Search) -> DataFrame:
+    """(query_id, doc_id, score) of the documents that hold every term of a query. Terms that no document has are not in ``wanted``, so such a query has none."""
+    whole = search.wanted.join(search.wanted.groupBy("query_id").agg(F.count("*").alias("known")), "query_id").where("known = n_terms").drop("known")
+    ranked = cut_lineage(whole.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))), "by-rarity")
+    first = search.read.join(small_side(ranked.where("place = 1")), ["bucket", "term"])
+    first = cut_lineage(first.select("query_id", "doc_id", "n_terms", (F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score")), "rarest")
+    rest = _lifted(search, first.where("n_terms > 1"), ranked.where("place > 1"))
+    found = first.unionByName(rest, allowMissingColumns=True).groupBy("query_id", "doc_id").agg(
+        F.sum("score").alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms")
+    )
+    return found.where("matched = n_terms").select("query_id", "doc_id", "score")
+
+
 def bm25_search(
     index: LexicalIndex, queries: DataFrame, top: int = 10, min_score: float = 0.0, match: str = "any",
-    query_id: str = "query_id", col: str = "text", prune: bool = False,
+    query_id: str = "query_id", col: str = "text", prune: bool | None = None,
 ) -> DataFrame:
     """Okapi BM25 over a table of queries: ``(query_id, doc_id, score, rank)``.
 
     Documents match with any query term, or with all of them for ``match='all'``. With ``prune`` (and ``match='any'``) not every posting is scored: the
     rarest terms give each query a threshold that its last hit reaches for sure; blocks whose largest impacts stay below it are left out, and
     frequent terms that cannot reach it together are looked up only for documents that the other terms bring near it. The hits are the
-    same; it takes about ten more jobs, which pay where the postings of frequent terms are many times larger than a job's start.
+    same; it takes about ten more jobs, which pay where the postings of frequent terms are many times larger than a job's start. Without a choice
+    (None) searches of ``PRUNE_FROM`` postings and more are pruned. With ``match='all'`` a query's rarest term names the documents, and the
+    others are looked up for these only.
     """
     search = _prepare(index, queries, query_id, col)
-    if match == "all" or not prune:
-        found = _scores(search.read.join(search.wanted, ["bucket", "term"]), search.avgdl)
-        if match == "all":
-            found = found.where(F.col("matched") == F.col("n_terms"))
+    if match == "all":
+        found = _all_terms(search)
     else:
-        needed, others = _pruned(search, top)
-        first = cut_lineage(search.read.join(needed, ["bucket", "term", "block"]).groupBy("query_id", "doc_id").agg(
-            F.sum(F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"), F.first("spare").alias("spare")
-        ), "first")
-        # What is first now gives a threshold that is close to the last hit's score.
-        near = first.join(_last_score(search, first, others, top), "query_id").where(F.col("score") + F.col("spare") >= F.col("least") - SLACK)
-        near = cut_lineage(near.select("query_id", "doc_id", "score"), "near")
-        found = near.unionByName(_lifted(search, near, others)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        if prune is None:
+            prune = search.wanted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] >= PRUNE_FROM
+        found = _near(search, top) if prune else _scores(search.read.join(search.wanted, ["bucket", "term"]), search.avgdl)
     ranked = top_k(found.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], top)
     return ranked.where(F.col("score") >= min_score).select("query_id", "doc_id", "score", "rank")
 

@@ -81,3 +81,28 @@ def test_repeated_and_broken_additions(spark, corpus, tmp_path):
     grown = lexical.load_index(spark, folder)
     assert grown.totals.first().n_docs == len(corpus[0]) + 1
     assert rows(lexical.bm25_search(grown, queries, 5, prune=True)) == plain_search([*corpus[0], (5000, "w0 w1 w2")], corpus[1], 5)
+
+
+def test_all_terms_from_the_rarest_one(spark, corpus):
+    """Every term of the query is asked for; the frequent ones are looked up for the documents of the rarest one only."""
+    docs, queries = tables(spark, corpus)
+    index = lexical.build_index(docs)
+    want, words = [], {i: set(re.findall(r"\w+", (t or "").lower())) for i, t in corpus[0]}
+    for q, text in corpus[1]:
+        asked = set(re.findall(r"\w+", text.lower()))
+        whole = [h for h in plain_search(corpus[0], [(q, text)], len(words)) if asked <= words[h[1]]]
+        want += [(q, i, score, n) for n, (_, i, score, _) in enumerate(sorted(whole, key=lambda h: h[3])[:5], 1)]
+    assert rows(lexical.bm25_search(index, queries, 5, match="all")) == sorted(want) and len(want) > 20
+    search = lexical._prepare(index, queries, "query_id", "text")
+    rarest = search.wanted.groupBy("query_id").agg(F.min("df").alias("df")).agg(F.sum("df")).first()[0]
+    assert lexical._all_terms(search).count() <= rarest
+
+
+def test_large_searches_are_pruned_unasked(spark, corpus, monkeypatch):
+    docs, queries = tables(spark, corpus)
+    index, pruned = lexical.build_index(docs), []
+    inner = lexical._near
+    monkeypatch.setattr(lexical, "_near", lambda search, top: pruned.append(top) or inner(search, top))
+    assert rows(lexical.bm25_search(index, queries, 5)) == plain_search(*corpus, 5) and not pruned
+    monkeypatch.setattr(lexical, "PRUNE_FROM", 100)
+    assert rows(lexical.bm25_search(index, queries, 5)) == plain_search(*corpus, 5) and pruned == [5]
