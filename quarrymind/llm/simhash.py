@@ -10,7 +10,8 @@ Each distinct fingerprint is stored under its value of each part and looked up u
 a key are compared in place and give a spanning forest of their links, never all pairs; a key with more than ``BUCKET`` rows
 is dealt out in pairs of blocks that together compare all of its rows. Components of the links are found by star rounds.
 
-:func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Texts that share one of ``BANDS`` bands of
+:func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Links of their fingerprints, found as above,
+propose pairs first, and whole shingle sets decide. What fingerprints miss comes from bands: texts that share one of ``BANDS`` bands of
 ``BAND_ROWS`` minima of their shingle hashes are compared where the band's rows lie: a byte of each minimum tells which pairs can be similar (it
 rules out those that are far from it, by ``SLACK``), and whole shingle sets decide. First each text meets the likeliest other one of
 each band; then every two of a band that similar pairs leave unconnected are compared in place, and only the pairs that connect
@@ -364,16 +365,18 @@ def row_key(id_col: str, text_col: str):
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(key, id, node, bands, size, bytes): ``node`` is the hash of the words, ``size`` the number of distinct shingles, ``key`` tells
-    rows of different id or text apart."""
+    """(key, id, node, fp, bands, size, bytes): ``node`` is the hash of the words, ``fp`` the fingerprint of their shingles, ``size`` the number of
+    distinct ones, ``key`` tells rows of different id or text apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, least, sizes = [], [], []
+            nodes, prints, least, sizes = [], [], [], []
             for text in utf8(batch, "_text"):
                 words = words_of(text)
                 nodes.append(xxh64_intdigest(b" ".join(words), SEED))
-                hashes = np.unique(shingle_hashes(words, shingle))
+                hashes = shingle_hashes(words, shingle)
+                prints.append(majority(hashes))
+                hashes = np.unique(hashes)
                 least.append(minima(hashes))
                 sizes.append(len(hashes))
             if not nodes:
@@ -381,13 +384,13 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
             least = np.array(least)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), signed(bands_of(least).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_id"), signed(nodes), lists, pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in signatures(least)], pa.binary())],
-                names=["key", "id", "node", "bands", "size", "bytes"],
+                [batch.column("_key"), batch.column("_id"), signed(nodes), signed(prints), lists, pa.array(sizes, pa.int32()), pa.array([r.tobytes() for r in signatures(least)], pa.binary())],
+                names=["key", "id", "node", "fp", "bands", "size", "bytes"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), blank(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"key long, id {kind}, node long, bands array<long>, size int, bytes binary")
+    return rows.mapInArrow(run, f"key long, id {kind}, node long, fp long, bands array<long>, size int, bytes binary")
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -508,6 +511,17 @@ def connecting(least: float) -> Callable:
     return each
 
 
+def linked_prints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that the links of their fingerprints propose: the first text of each fingerprint with
+    the others of it, and the first ones of linked fingerprints."""
+    first = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    found = links(first.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), radius)
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    across = found.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(same)
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose whole ``sets`` (node, set) are similar."""
 
@@ -526,26 +540,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(key, id, root) of every row; rows of one root are copies or near copies."""
     rows = cut_lineage(described(docs, id_col, text_col, shingle), "described")
     # Copies are one node from here on; they are combined before the shuffle.
-    nodes = cut_lineage(rows.select("node", "key", "bands", "size", "bytes").dropDuplicates(["node"]), "nodes")
+    nodes = cut_lineage(rows.select("node", "fp", "key", "bands", "size", "bytes").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     met = cut_lineage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
-    met = banded.join(met, "band")
-    shared = cut_lineage(met.join(nodes.select("node", "size", "bytes"), "node").select("band", "node", "size", "bytes"), "banded")
+    shared = cut_lineage(banded.join(met, "band").select("band", "node"), "banded")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         keys = cut_lineage(nodes.select("key", "node").join(wanted.distinct(), "node", "left_semi"), "keys")
         return cut_lineage(shingle_sets(docs, keys, id_col, text_col, shingle), "sets")
 
-    pairs = in_bands(shared, shared, likeliest(least), "a long, b long", BUCKET)
-    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
-    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    edges = cut_lineage(similar_pairs(pairs, sets, least), "edges")
-    # Then every two that share a band and that no path of similar pairs connects yet, so a failed pair loses nothing.
-    roots = components(edges)
-    root = F.coalesce("component", "node").alias("root")
-    placed = cut_lineage(shared.select("band", "node").join(roots, "node", "left").select("band", "node", root), "rooted")
-    mixed = cut_lineage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
-    placed = cut_lineage(placed.join(mixed, "band", "left_semi"), "mixed")
+    def similar(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        return cut_lineage(similar_pairs(pairs, sets, least), f"similar-{label}")
+
+    def unconnected(placed: DataFrame, edges: DataFrame) -> DataFrame:
+        """(band, node, root) of the bands whose texts no path of similar pairs connects yet."""
+        placed = placed.select("band", "node").join(components(edges), "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
+        placed = cut_lineage(placed, "rooted")
+        several = cut_lineage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
+        return cut_lineage(placed.join(several, "band", "left_semi"), "mixed")
+
+    # Fingerprints propose first, then each band's likeliest pairs, then every two that share a band. A failed pair loses nothing.
+    edges = similar(linked_prints(nodes.select("node", "fp")), "linked")
+    placed = unconnected(shared, edges)
+    likely = in_bands(placed.select("band", "node").join(nodes.select("node", "size", "bytes"), "node").select("band", "node", "size", "bytes"), placed, likeliest(least), "a long, b long", BUCKET)
+    edges = edges.union(similar(likely, "likeliest"))
+    placed = unconnected(placed, edges)
     rooted = placed.join(nodes.select("node", "size", "bytes"), "node")
     apart = cut_lineage(in_bands(rooted, placed, foreign(least), "band long, node long", BUCKET).distinct(), "apart")
     sets = sets_of(apart.select("node"))

@@ -78,3 +78,21 @@ def test_added_cut_and_replaced_passages_meet():
             if len(a & b) >= 0.8 * len(a | b):
                 bands = [simhash.bands_of(simhash.minima(simhash.shingle_hashes([w.encode() for w in ws], 5))[None]) for ws in (words, edited)]
                 assert (bands[0] == bands[1]).any()
+
+
+def test_fingerprint_links_propose_pairs(spark, monkeypatch):
+    """Near copies are proposed by the links of their fingerprints before any band."""
+    draw = random.Random(5)
+    rows = []
+    for k in range(30):
+        words = [f"k{k}w{draw.randrange(3000)}" for _ in range(600)]
+        rows += [words, [*words, f"more{k}"]]
+    want = plain_groups(rows)
+    asked, inner = [], simhash.linked_prints
+    monkeypatch.setattr(simhash, "linked_prints", lambda nodes: asked.append(1) or inner(nodes))
+    assert found_groups(spark, rows) == want and asked == [1]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    prints = simhash.described(table, "doc_id", "text", 5).select("node", "fp")
+    pairs = {frozenset((r.a, r.b)) for r in simhash.linked_prints(prints).collect()}
+    nodes = {r.id: r.node for r in simhash.described(table, "doc_id", "text", 5).collect()}
+    assert sum(frozenset((nodes[2 * k], nodes[2 * k + 1])) in pairs for k in range(30)) > 20
