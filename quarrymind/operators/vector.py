@@ -48,6 +48,20 @@ def _matrices(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray,
     return out
 
 
+def _first(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of the ``k`` largest of each row, largest first and ties by place. Only what reaches a row's ``k``-th largest is sorted."""
+    n = scores.shape[1]
+    if k >= n:
+        top = np.argsort(-scores, axis=1, kind="stable")
+        return np.repeat(np.arange(len(scores)), n), top.ravel()
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    rows, flat = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((flat, -scores[rows, flat], rows))
+    rows, flat = rows[order], flat[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], flat[keep]
+
+
 def _best(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, skip_self: bool, schema: pa.Schema) -> pa.RecordBatch:
     """The ``k`` best rows of one block for every query; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
@@ -55,9 +69,7 @@ def _best(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, mat: np.ndarray,
     scores = np.round(qmat @ mat.T, 9)
     if skip_self:
         scores[qids[:, None] == ids[None, :]] = -np.inf
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(qids)), top.shape[1])
-    flat = top.ravel()
+    rows, flat = _first(scores, k)
     found = scores[rows, flat]
     keep = found > -np.inf
     columns = (qids[rows][keep], ids[flat][keep], found[keep])

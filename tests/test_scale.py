@@ -218,3 +218,22 @@ def test_one_key_with_nearly_all_rows_at_one_time_and_score(spark):
     asked = df.select("k", F.col("ts"), "id")
     newest = ranking.as_of(asked, df.select("k", F.col("ts").alias("at"), F.col("id").alias("p")), ["k"], "ts", "at", ["p"], "p")
     assert {r.p for r in newest.where("k = 'hot'").collect()} == {max(i for k, _, i, _ in data if k == "hot")}
+
+
+def test_best_scores_are_found_without_sorting_all(monkeypatch):
+    """Ties go to the smaller place, as a whole stable sort has it; only rows' best scores are sorted."""
+    import numpy as np
+
+    from quarrymind.operators import vector
+
+    draw = np.random.default_rng(5)
+    for n, k in ((30, 5), (5, 5), (3, 9), (200, 1), (50, 20)):
+        scores = np.round(draw.random((40, n)), 1)
+        scores[:3], scores[5, ::2] = -np.inf, -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows, places = vector._first(scores, k)
+        assert (rows == np.repeat(np.arange(40), top.shape[1])).all() and (places == top.ravel()).all()
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    vector._first(draw.random((100, 5000)), 5)
+    assert sizes == [500]
