@@ -55,6 +55,9 @@ def expand(
         "query_id", "node_id", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array("node_id").alias("path")
     ).distinct()
     reached = level
+    if depth > 1:
+        followed = edges.where((F.col("weight") >= min_weight) & F.col("edge_type").isin(*types))
+        edges = cut_lineage(followed.select("edge_type", "src", "dst", "weight"), "edges")
     for d in range(1, depth + 1):
         adjacent = _around(level, edges, types, min_weight)
         step = (
@@ -119,6 +122,8 @@ def paths_between(pairs: DataFrame, edges: DataFrame, max_len: int = 4, min_weig
     the weights up to the node.
     """
     pairs = cut_lineage(pairs.select("source", "target").distinct(), "pairs")
+    # Read by every level, so edges that are themselves the result of a job are made once.
+    edges = cut_lineage(edges.where(F.col("weight") >= min_weight).select("edge_type", "src", "dst", "weight"), "edges")
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
 
     def walks(start: str, avoid: str, steps: int) -> list[DataFrame]:

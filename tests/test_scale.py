@@ -237,3 +237,12 @@ def test_best_scores_are_found_without_sorting_all(monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
     vector._first(draw.random((100, 5000)), 5)
     assert sizes == [500]
+
+
+def test_texts_are_not_ranked(spark, monkeypatch):
+    from quarrymind.catalog import pipeline
+
+    ranked, number = [], pipeline.number_rows
+    monkeypatch.setattr(pipeline, "number_rows", lambda df, *rest: ranked.append(df.columns) or number(df, *rest))
+    pipeline.prompt_context(spark, "/root/testdata/sf0.001")
+    assert len(ranked) == 1 and "content" not in ranked[0]
