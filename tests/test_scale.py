@@ -246,3 +246,13 @@ def test_texts_are_not_ranked(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "number_rows", lambda df, *rest: ranked.append(df.columns) or number(df, *rest))
     pipeline.prompt_context(spark, "/root/testdata/sf0.001")
     assert len(ranked) == 1 and "content" not in ranked[0]
+
+
+def test_paths_make_their_edges_once(spark, monkeypatch):
+    from quarrymind.operators import graph
+
+    made, write = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label: made.append(label) or write(df, label))
+    edges = spark.createDataFrame([("relates_to", n, n + 1, 0.5) for n in range(6)], "edge_type string, src long, dst long, weight double")
+    found = graph.paths_between(spark.createDataFrame([(0, 3)], "source long, target long"), edges, 3, 0.3)
+    assert [r.nodes for r in found.collect()] == [[0, 1, 2, 3]] and made.count("edges") == 1
