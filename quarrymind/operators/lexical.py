@@ -18,7 +18,11 @@ B = 0.75
 
 
 BUCKETS = 64
+#: Shares that the documents of a bucket are dealt into, at least; more documents have more shares, so that one stays as large.
 SPREAD = 4
+SHARE_DOCS = 1 << 14
+#: Classes of like length that documents are put into.
+LENGTHS = 64
 #: Documents of a block, about; a search skips blocks whose largest impacts cannot reach its threshold.
 BLOCK_DOCS = 256
 #: Scores of equal hits that are summed in another order differ by less.
@@ -28,6 +32,8 @@ FIRST_POSTINGS = 32
 FIRST_HITS = 3
 #: From so many postings of all queries' terms on a search is pruned; below, scoring them all takes less time than the jobs that pruning starts.
 PRUNE_FROM = 100_000_000
+#: Pairs of a query and a posting that a task scores, about.
+TASK_PAIRS = 1 << 20
 
 
 class LexicalIndex(NamedTuple):
@@ -62,15 +68,19 @@ def _bucket(term: Column | str) -> Column:
 
 def _postings(docs: DataFrame, key: str, col: str, addition: str) -> DataFrame:
     """Terms counted by document. Rows of a bucket and a share of the documents meet in one task, which is also how they are stored."""
-    blocks = -(-docs.count() // BLOCK_DOCS) or 1
     # Documents of like length share a block, so that the largest impact in a block says something of all its documents.
-    length = F.least(F.floor(F.log2(F.col("dl").cast("double")) * 2), F.lit(63)).cast("long")
-    block = F.lit(zlib.crc32(addition.encode()) << 31) + length * (1 << 25) + F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    worded = docs.select(F.col(key).alias("doc_id"), terms_of(col).alias("terms")).select("doc_id", F.size("terms").alias("dl"), "terms")
-    rows = unfold(worded, ["doc_id", "dl"], "terms", "term").select(
-        _bucket("term").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("share"), "term", "doc_id", "dl"
+    length = F.coalesce(F.least(F.floor(F.log2(F.length(col).cast("double")) * 2), F.lit(LENGTHS - 1)), F.lit(0)).cast("int")
+    sizes = {r["length"]: r["count"] for r in docs.groupBy(length.alias("length")).count().collect()}  # one row per class
+    blocks = F.get(F.array(*[F.lit(-(-sizes.get(k, 0) // BLOCK_DOCS) or 1) for k in range(LENGTHS)]), F.col("length"))
+    block = F.lit(zlib.crc32(addition.encode()) << 31) + F.col("length").cast("long") * (1 << 25) + F.pmod(F.xxhash64("doc_id"), blocks)
+    shares = max(SPREAD, -(-sum(sizes.values()) // SHARE_DOCS))
+    worded = docs.select(F.col(key).alias("doc_id"), length.alias("length"), terms_of(col).alias("terms")).select(
+        "doc_id", "length", F.size("terms").alias("dl"), "terms"
     )
-    counted = rows.repartition("bucket", "share").groupBy("bucket", "share", "term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    rows = unfold(worded, ["doc_id", "length", "dl"], "terms", "term").select(
+        _bucket("term").alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(shares)).alias("share"), "term", "doc_id", "length", "dl"
+    )
+    counted = rows.repartition("bucket", "share").groupBy("bucket", "share", "term", "doc_id", "length", "dl").agg(F.count("*").cast("int").alias("tf"))
     return counted.select("bucket", block.alias("block"), "term", "doc_id", "tf", "dl")
 
 
@@ -165,18 +175,25 @@ def _prepare(index: LexicalIndex, queries: DataFrame, query_id: str, col: str) -
 
 
 def _bounds(search: Search) -> DataFrame:
-    """(query_id, term, bucket, block, most): the most that a term can add in a block. At another mean length than its addition's an impact is larger by no
+    """(query_id, term, bucket, block, n, most): a term's postings in a block and the most that they can add. At another mean length than its addition's an impact is larger by no
     more than the factor that the mean has grown by. Written."""
     impact = F.col("impact") * F.greatest(F.lit(1.0), search.avgdl / F.col("at"))
-    bounds = search.peaks.join(search.wanted, ["bucket", "term"]).select("query_id", "term", "bucket", "block", (F.col("idf") * impact).alias("most"))
+    bounds = search.peaks.join(search.wanted, ["bucket", "term"]).select(
+        "query_id", "term", "bucket", "block", "n", (F.col("idf") * impact).alias("most")
+    )
     return cut_lineage(bounds, "bounds")
 
 
-def _scores(found: DataFrame, avgdl: Column) -> DataFrame:
-    """Sums per (query, document) over joined postings."""
-    return found.groupBy("query_id", "doc_id").agg(
-        F.sum(F.col("idf") * _impact("tf", "dl", avgdl)).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")
-    )
+def _dealt(search: Search, terms: DataFrame, pairs: int | None, *keys: str) -> DataFrame:
+    """Postings of the ``terms``, dealt by ``keys`` into tasks of like work. As they are stored, a file of a frequent term is small but meets
+    every query that has the term, so tasks that are as many as the files' bytes ask for would be few and uneven."""
+    return search.read.join(terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").repartition(-(-(pairs or 0) // TASK_PAIRS) or 1, *keys)
+
+
+def _scores(search: Search, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): sums over all postings of the stored ``terms`` of the queries. What is dealt by document is summed in place."""
+    found = _dealt(search, terms, terms.agg(F.sum("df")).first()[0], "doc_id").join(terms, ["bucket", "term"])
+    return found.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"))
 
 
 def _lifted(search: Search, hits: DataFrame, terms: DataFrame) -> DataFrame:
@@ -193,8 +210,7 @@ def _thresholds(search: Search, top: int) -> DataFrame:
     """
     rarer = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     rare = search.wanted.withColumn("_before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(F.col("_before") < FIRST_POSTINGS * top)
-    first = _scores(search.read.join(small_side(rare.drop("_before")), ["bucket", "term"]), search.avgdl)
-    return _last_score(search, first, search.wanted, top)
+    return _last_score(search, _scores(search, small_side(rare.drop("_before"))), search.wanted, top)
 
 
 def _last_score(search: Search, scored: DataFrame, rest: DataFrame, top: int) -> DataFrame:
@@ -206,7 +222,7 @@ def _last_score(search: Search, scored: DataFrame, rest: DataFrame, top: int) ->
 
 
 def _pruned(search: Search, top: int) -> tuple[DataFrame, DataFrame]:
-    """What has to be scored: ``needed(query_id, bucket, term, block, idf, least, spare)``, the postings that a hit must have one of, in the blocks that
+    """What has to be scored: ``needed(query_id, bucket, term, block, n, idf, least, spare)``, the ``n`` postings that a hit must have one of, in the blocks that
     can reach the threshold, with the most that the query's other terms add in the block; and those others."""
     bounds, least = _bounds(search), _thresholds(search, top)
     largest = bounds.groupBy("query_id", "term").agg(F.max("most").alias("most"))
@@ -224,7 +240,9 @@ def _pruned(search: Search, top: int) -> tuple[DataFrame, DataFrame]:
 def _near(search: Search, top: int) -> DataFrame:
     """(query_id, doc_id, score) of the documents that can be among the ``top`` hits."""
     needed, others = _pruned(search, top)
-    first = cut_lineage(search.read.join(needed, ["bucket", "term", "block"]).groupBy("query_id", "doc_id").agg(
+    placed = ["bucket", "term", "block"]
+    found = _dealt(search, needed, needed.agg(F.sum("n")).first()[0], *placed).join(needed, placed)
+    first = cut_lineage(found.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("idf") * _impact("tf", "dl", search.avgdl)).alias("score"), F.first("spare").alias("spare")
     ), "first")
     # What is first now gives a threshold that is close to the last hit's score.
@@ -265,7 +283,7 @@ def bm25_search(
     else:
         if prune is None:
             prune = search.wanted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] >= PRUNE_FROM
-        found = _near(search, top) if prune else _scores(search.read.join(search.wanted, ["bucket", "term"]), search.avgdl)
+        found = _near(search, top) if prune else _scores(search, search.wanted)
     ranked = top_k(found.withColumn("score", F.round("score", 9)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], top)
     return ranked.where(F.col("score") >= min_score).select("query_id", "doc_id", "score", "rank")
 
