@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -54,6 +55,11 @@ MARKDOWN_STEPS = [
 
 NO_TITLE = "Sin título"
 
+# The characters of Unicode's class of white space.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# A pattern of what compatibility normalisation may change; Latin letters with marks and the like are left as they are, next to each other too.
+CHANGEABLE = r"[\xA0\xA8\xAA\xAF\xB2\xB3\xB4\xB5\xB8\xB9\xBA\xBC\xBD\xBE[^\x00-\u0131]]"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -61,7 +67,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|(?<!\s)\s+$", "")
+    return F.trim(_col(c), F.lit(WHITE_SPACE))
 
 
 def words(c: Column | str) -> Column:
@@ -80,9 +86,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column | str) -> Column:
-    """Compatibility-normalise; only rows with non-ASCII characters travel to Python."""
+    """Compatibility-normalise; only rows with characters that this may change travel to Python."""
     text = _col(c)
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(_nfkc(F.when(text.rlike(CHANGEABLE), text)), text)
 
 
 def clean_whitespace(c: Column | str) -> Column:
@@ -138,12 +144,10 @@ def html_to_text(c: Column | str) -> Column:
 def title(c: Column | str) -> Column:
     """First level-1 heading, else the <title>, else the first line over five characters."""
     text = _col(c)
-    heading = F.regexp_extract(text, r"(?mdU)^#\s+(.+)$", 1)
-    html_title = F.regexp_extract(text, r"(?i)<title>([^<]+)</title>", 1)
-    line = F.get(
-        F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda l: F.length(l) > 5),
-        F.lit(0),
-    )
+    # A plain search for what a pattern cannot do without costs far less than the pattern.
+    heading = F.when(F.contains(text, F.lit("#")), F.regexp_extract(text, r"(?mdU)^#\s+(.+)$", 1))
+    html_title = F.when(F.contains(text, F.lit("<")), F.regexp_extract(text, r"(?i)<title>([^<]+)</title>", 1))
+    line = F.nullif(F.regexp_extract(text, r"(?dU)(?:^|\n)[^\S\n]*(\S[^\n]{4,}\S)", 1), F.lit(""))
     cut = F.when(F.length(line) > 100, F.concat(F.substring(line, 1, 100), F.lit("..."))).otherwise(line)
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("")).otherwise(
         F.coalesce(
@@ -171,10 +175,14 @@ def content_type(content: Column, path: Column | None = None, url: Column | None
     url = F.lit(None).cast("string") if url is None else url
     url_path = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
     name = F.lower(path)
-    lead = F.lower(strip(content))
-    # Marks that suggest markdown; two different ones are needed.
-    marks = [r"(?mdU)^#{1,6}\s", r"\*\*[^*]+\*\*", r"(?d)\[.+\]\(.+\)", r"(?mdU)^[-*+]\s", "```"]
-    n_marks = sum((content.rlike(p).cast("int") for p in marks), F.lit(0))
+    has = lambda *parts: reduce(Column.__or__, [F.contains(content, F.lit(p)) for p in parts])
+    bulleted = has("\n-", "\n*", "\n+") | F.substring(content, 1, 1).isin("-", "*", "+")
+    # Marks that suggest markdown; two different ones are needed. Patterns are tried on texts that hold what they cannot do without.
+    marks = [
+        has("#") & content.rlike(r"(?mdU)^#{1,6}\s"), has("**") & content.rlike(r"\*\*[^*]+\*\*"), has("](") & content.rlike(r"(?d)\[.+\]\(.+\)"),
+        bulleted & content.rlike(r"(?mdU)^[-*+]\s"), has("```"),
+    ]
+    n_marks = sum((m.cast("int") for m in marks), F.lit(0))
     is_web = url.rlike(r"^(?i)https?://")
     return (
         F.when(
@@ -192,7 +200,7 @@ def content_type(content: Column, path: Column | None = None, url: Column | None
         .when(_ends(name, "mp3|wav|m4a|ogg|flac"), "audio")
         .when(_ends(name, "mp4|avi|mov|webm|mkv"), "video")
         .when(F.coalesce(F.length(content), F.lit(0)) == 0, "unknown")
-        .when(lead.rlike(r"^(<!doctype|<html|<head|<body)"), "html")
+        .when(has("<") & content.rlike(r"(?iU)\A\s*(<!doctype|<html|<head|<body)"), "html")
         .when(n_marks >= 2, "markdown")
         .otherwise("text")
     )
@@ -357,7 +365,7 @@ def split_by(c: Column | str, separators: list[str]) -> Column:
     parts = F.array(_col(c))
     for sep in separators:
         parts = F.flatten(F.transform(parts, split_after(sep)))
-    return F.filter(parts, lambda p: strip(p) != "")
+    return F.filter(parts, lambda p: p.rlike(r"(?U)\S"))
 
 
 def clean_query(c: Column | str) -> Column:

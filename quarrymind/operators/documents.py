@@ -71,8 +71,12 @@ def with_title(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def validate_docs(df: DataFrame, body: str = "normalized", min_words: int = 10) -> DataFrame:
-    """Add ``valid`` and the first ``error`` found: empty, too short, or without a title."""
-    n_words = F.size(tx.words(F.coalesce(F.col(body), F.lit(""))))
+    """Add ``valid`` and the first ``error`` found: empty, too short, or without a title.
+
+    The ``word_count`` that :func:`process_documents` gives for its ``normalized`` text is taken as it is.
+    """
+    counted = body == "normalized" and "word_count" in df.columns
+    n_words = F.col("word_count") if counted else F.size(tx.words(F.coalesce(F.col(body), F.lit(""))))
     error = (
         F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit("Contenido normalizado vacío"))
         .when(n_words < min_words, F.concat(F.lit("Contenido muy corto: "), n_words.cast("string"), F.lit(" palabras")))
