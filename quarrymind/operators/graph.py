@@ -5,6 +5,10 @@ Edges are rows ``(edge_type, src, dst, weight, confidence, negative_signals)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrymind.functions.rows import unfold
@@ -15,6 +19,8 @@ from quarrymind.session import cut_lineage, small_side
 DECAY = 0.8
 EXPAND_TYPES = ("relates_to", "prerequisite", "similar_to")
 EVIDENCE = "evidenced_by"
+# Bloom filters of nodes: places of a node, and the largest filter in words of 64 bits (beyond it more nodes pass in vain).
+MARK_PLACES, MARK_BITS, MARK_WORDS = 3, 8, 512
 
 
 def neighbors(edges: DataFrame, types: tuple[str, ...] | None = None, min_weight: float = 0.0) -> DataFrame:
@@ -114,29 +120,70 @@ def graph_hits(reached: DataFrame, edges: DataFrame, nodes: DataFrame, chunks: D
     return supported.unionByName(described)
 
 
+def _marked(walks: DataFrame) -> DataFrame:
+    """(source, target, marks): a Bloom filter of the nodes where the walks of each pair end, of at least ``MARK_BITS`` bits a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("ends")
+            size = ends.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = np.minimum(1 << np.ceil(np.log2(np.maximum(size * MARK_BITS / 64, 1))).astype(np.int64), MARK_WORDS)
+            start = np.concatenate([[0], np.cumsum(words)])
+            flat = ends.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            first, mask = np.repeat(start[:-1], size), np.repeat(64 * words - 1, size)
+            marks = np.zeros(start[-1], np.uint64)
+            for i in range(MARK_PLACES):
+                place = (flat >> np.uint64(20 * i)).astype(np.int64) & mask
+                np.bitwise_or.at(marks, first + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source"), batch.column("target"), pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(marks.view(np.int64)))],
+                names=["source", "target", "marks"],
+            )
+
+    listed = walks.groupBy("source", "target").agg(F.collect_set(F.xxhash64(F.element_at("nodes", -1))).alias("ends"))
+    kinds = [f"{c} {walks.schema[c].dataType.simpleString()}" for c in ("source", "target")]
+    return listed.mapInArrow(run, ", ".join([*kinds, "marks array<long>"]))
+
+
+def _may_hold(marks: str, hashed: str) -> Column:
+    """Whether the filter may hold the node of this hash; never false for a node that it holds."""
+    held = F.lit(True)
+    for i in range(MARK_PLACES):
+        place = F.shiftright(hashed, 20 * i).bitwiseAND((F.size(marks) * 64 - 1).cast("long"))
+        word = F.element_at(marks, F.shiftright(place, 6).cast("int") + 1)
+        held = held & (F.getbit(word, place.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+    return held
+
+
 def paths_between(pairs: DataFrame, edges: DataFrame, max_len: int = 4, min_weight: float = 0.1) -> DataFrame:
     """All simple paths of at most ``max_len`` edges between ``pairs(source, target)``.
 
     Walks half way from each end and meets in the middle, so only half-length walks are
-    ever enumerated. Each level is written once, and only edges of its end nodes are read. Node scores are the products of
-    the weights up to the node.
+    ever enumerated. Each level is written once, and only edges of its end nodes are read. With an odd ``max_len`` the last
+    step forward serves paths of that length alone: it keeps only walks that end, by a Bloom filter of each pair, where a
+    walk from the other end may, and the meeting decides. Node scores are the products of the weights up to the node.
     """
     pairs = cut_lineage(pairs.select("source", "target").distinct(), "pairs")
     # Read by every level, so edges that are themselves the result of a job are made once.
     edges = cut_lineage(edges.where(F.col("weight") >= min_weight).select("edge_type", "src", "dst", "weight"), "edges")
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
 
-    def walks(start: str, avoid: str, steps: int) -> list[DataFrame]:
+    def walks(start: str, avoid: str, steps: int, met: DataFrame | None = None) -> list[DataFrame]:
         level = pairs.select(
             "source", "target", F.array(start).alias("nodes"), none("string").alias("types"), none("double").alias("weights")
         )
         levels = [level]
-        for _ in range(steps):
+        for step in range(1, steps + 1):
             end = F.element_at("nodes", -1)
             open_walks = level.where(end != F.col(avoid))
             adjacent = _around(open_walks.select(end.alias("node_id")), edges, None, min_weight)
+            on = end == F.col("at")
+            if step == steps and met is not None:
+                open_walks = open_walks.join(small_side(_marked(met)), ["source", "target"])
+                adjacent = adjacent.withColumn("hashed", F.xxhash64("neighbor_id"))
+                on = on & _may_hold("marks", "hashed")
             level = cut_lineage(
-                open_walks.join(adjacent, end == F.col("at"))
+                open_walks.join(adjacent, on)
                 .where(~F.array_contains("nodes", F.col("neighbor_id")))
                 .select(
                     "source", "target",
@@ -149,8 +196,8 @@ def paths_between(pairs: DataFrame, edges: DataFrame, max_len: int = 4, min_weig
             levels.append(level)
         return levels
 
-    forward = walks("source", "target", -(-max_len // 2))
     backward = walks("target", "source", max_len // 2)
+    forward = walks("source", "target", -(-max_len // 2), backward[-1] if max_len % 2 else None)
     found = None
     for length in range(0, max_len + 1):
         left = forward[-(-length // 2)].withColumn("meet", F.element_at("nodes", -1))
@@ -184,6 +231,7 @@ def rank_paths(paths: DataFrame, method: str = "weighted", nodes: DataFrame | No
     elif method == "shortest":
         scored = paths.withColumn("total_score", F.round(1.0 / (F.col("length") + 1), 9))
     elif method == "coverage":
+        paths = cut_lineage(paths, "found")  # read twice
         types = (
             paths.select("source", "target", "nodes", F.explode("nodes").alias("node_id"))
             .join(nodes.select("node_id", "node_type"), "node_id")

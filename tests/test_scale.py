@@ -256,3 +256,59 @@ def test_paths_make_their_edges_once(spark, monkeypatch):
     edges = spark.createDataFrame([("relates_to", n, n + 1, 0.5) for n in range(6)], "edge_type string, src long, dst long, weight double")
     found = graph.paths_between(spark.createDataFrame([(0, 3)], "source long, target long"), edges, 3, 0.3)
     assert [r.nodes for r in found.collect()] == [[0, 1, 2, 3]] and made.count("edges") == 1
+
+
+def test_last_step_keeps_walks_that_can_meet(spark, monkeypatch):
+    from quarrymind.operators import graph
+
+    sizes, write = [], graph.cut_lineage
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "walks":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    # 0 has 40 neighbours of 40 others each, 1 has 40 neighbours; one edge joins the two sides.
+    rows = [(0, 100 + a) for a in range(40)] + [(100 + a, 1000 + 40 * a + b) for a in range(40) for b in range(40)]
+    rows += [(1, 5000 + b) for b in range(40)] + [(107, 5003)]
+    edges = spark.createDataFrame([("relates_to", a, b, 0.5) for a, b in rows], "edge_type string, src long, dst long, weight double")
+    found = graph.paths_between(spark.createDataFrame([(0, 1)], "source long, target long"), edges, 3, 0.3)
+    assert [r.nodes for r in found.collect()] == [[0, 107, 5003, 1]]
+    assert len(sizes) == 3 and max(sizes) <= 200
+
+
+def test_paths_equal_brute_force(spark):
+    import random
+
+    from quarrymind.operators import graph
+
+    draw = random.Random(3)
+    rows = {(draw.randrange(14), draw.randrange(14)) for _ in range(40)}
+    rows |= {(0, n) for n in range(14)}  # a node that is next to all others
+    edges = spark.createDataFrame([("relates_to", a, b, 0.5) for a, b in rows], "edge_type string, src long, dst long, weight double")
+    near = {n: sorted({b for a, b in rows if a == n} | {a for a, b in rows if b == n}) for n in range(14)}
+
+    def plain(walk, target, left):
+        if walk[-1] == target:
+            return [tuple(walk)]
+        return [p for n in near[walk[-1]] if left and n not in walk for p in plain([*walk, n], target, left - 1)]
+
+    pairs = [(0, 5), (5, 0), (3, 9), (7, 7), (2, 13)]
+    asked = spark.createDataFrame(pairs, "source long, target long")
+    for most in (1, 2, 3, 5):
+        found = [tuple(r.nodes) for r in graph.paths_between(asked, edges, most, 0.3).collect()]
+        assert sorted(found) == sorted(p for s, t in pairs for p in plain([s], t, most))
+
+
+def test_marks_never_lose_a_node(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarrymind.operators import graph
+
+    monkeypatch.setattr(graph, "MARK_WORDS", 4)
+    walks = spark.range(3000).select((F.col("id") % 7 * (F.col("id") % 7)).alias("source"), F.lit(1).cast("long").alias("target"), F.array("id").alias("nodes"))
+    marks = graph._marked(walks)
+    held = walks.join(marks, ["source", "target"]).withColumn("hashed", F.xxhash64(F.element_at("nodes", -1)))
+    assert held.where(graph._may_hold("marks", "hashed")).count() == 3000 and marks.agg(F.max(F.size("marks"))).first()[0] == 4
