@@ -12,8 +12,8 @@ is dealt out in pairs of blocks that together compare all of its rows. Component
 
 :func:`near_duplicates` groups texts whose sets of word 5-shingles are similar by 0.8 or more. Links of their fingerprints, found as above,
 propose pairs first, and whole shingle sets decide. What fingerprints miss comes from bands: texts that share one of ``BANDS`` bands of
-``BAND_ROWS`` minima of their shingle hashes are compared where the band's rows lie: a byte of each minimum tells which pairs can be similar (it
-rules out those that are far from it, by ``SLACK``), and whole shingle sets decide. First each text meets the likeliest other one of
+``BAND_ROWS`` minima of their shingle hashes are compared where the band's rows lie: four bits of each minimum tell which pairs can be similar (they
+rule out those that are far from it, by ``SLACK``), and whole shingle sets decide. First each text meets the likeliest other one of
 each band; then every two of a band that similar pairs leave unconnected are compared in place, and only the pairs that connect
 them are handed on. So no step has more rows than texts have bands. The chance to miss a pair depends on its similarity alone, not on the
 kind of edit or on other texts.
@@ -48,6 +48,8 @@ FEW = 12
 SLACK = 0.2
 BANDS, BAND_ROWS = 32, 5
 KEY_BITS = 48
+#: The largest Bloom filter of keys, in bits; it goes to all tasks.
+FILTER_BITS = 1 << 24
 
 
 # ---- fingerprints ----
@@ -342,16 +344,24 @@ def bands_of(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(least: np.ndarray) -> np.ndarray:
-    """A byte of each minimum, (texts, minima)."""
-    return (mixed(least.astype(np.uint64), 0) >> np.uint64(56)).astype(np.uint8)
+    """Four bits of each minimum, sixteen minima in a number: (texts, minima / 16)."""
+    bits = (mixed(least.astype(np.uint64), 0) >> np.uint64(60)).reshape(len(least), -1, 16)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
 
 
 def likeness(some: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each of some signatures to each of the others: the share of equal minima, less what equal bytes come by chance."""
-    equal = np.zeros((len(some), len(others)), np.float32)
-    for at in range(0, len(others), 256):
-        equal[:, at : at + 256] = (some[:, None, :] == others[None, at : at + 256, :]).mean(axis=2)
-    return (equal * 256 - 1) / 255
+    """Estimated similarity of each of some signatures to each of the others: the share of equal minima, less what equal bits come by chance."""
+    differ = np.zeros((len(some), len(others)), np.int32)
+    for place in range(some.shape[1]):
+        x = some[:, None, place] ^ others[None, :, place]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differ += np.bitwise_count(x & np.uint64(0x1111111111111111))
+    return 1 - differ.astype(np.float32) * np.float32(16 / 15 / 16 / some.shape[1])
+
+
+def marks_of(rows: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["bytes"]), "<u8").reshape(len(rows["node"]), -1)
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -393,6 +403,21 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     return rows.mapInArrow(run, f"key long, id {kind}, node long, fp long, bands array<long>, size int, bytes binary")
 
 
+def possibly_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` a Bloom filter of the written ``keys`` may hold, so that the others' texts are not moved to meet them.
+
+    The filter has 16 bits a key or more, up to ``FILTER_BITS``; beyond that more rows pass in vain. It is a table of words, each
+    of 64 bits, that goes to all tasks.
+    """
+    bits = 1 << max(10, (16 * keys.count() - 1).bit_length())
+    place = F.pmod("key", F.lit(min(bits, FILTER_BITS)).cast("long"))
+    one = F.lit(1).cast("long")
+    held = keys.select(F.shiftright(place, 6).alias("_word"), F.call_function("shiftleft", one, (place % 64).cast("int")).alias("_bit"))
+    words = held.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    near = rows.join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word"))
+    return near.where(F.getbit("_bits", (place % 64).cast("int")) == 1).select(*rows.columns)
+
+
 def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, set) of the texts of ``keys`` (key, node), read again from the documents."""
 
@@ -401,7 +426,8 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, s
             sets = [np.unique(shingle_hashes(words_of(t), shingle)).astype("<u8").tobytes() for t in utf8(batch, "_text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    found = docs.select(row_key(id_col, text_col).alias("key"), blank(text_col).alias("_text")).join(keys, "key")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), blank(text_col).alias("_text"))
+    found = possibly_of(rows, keys).join(keys, "key")
     return found.select("node", "_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
@@ -460,7 +486,7 @@ def likeliest(least: float) -> Callable:
     """Each row with the one that its marks are most like, if any can be similar."""
 
     def each(rows: dict) -> tuple[list, list]:
-        node, marks = rows["node"], np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows["node"]), -1)
+        node, marks = rows["node"], marks_of(rows)
         ones, others = [], []
         for a in range(0, len(node), 64):
             near = possible(rows["size"], marks, a, a + 64, least)
@@ -478,7 +504,7 @@ def foreign(least: float) -> Callable:
     """(band, node) of rows that can be similar to a row of another root."""
 
     def each(rows: dict) -> tuple[list, list]:
-        node, root, marks = rows["node"], rows["root"], np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows["node"]), -1)
+        node, root, marks = rows["node"], rows["root"], marks_of(rows)
         if (root == root[0]).all():
             return [], []
         out = []
@@ -494,18 +520,23 @@ def connecting(least: float) -> Callable:
     """Pairs of similar rows that connect the rows of a band, as far as they are similar; rows of one root are connected already."""
 
     def each(rows: dict) -> tuple[list, list]:
-        node, size = rows["node"], rows["size"]
-        marks = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(node), -1)
+        node, size, marks = rows["node"], rows["size"], marks_of(rows)
         sets = [np.frombuffer(s, "<u8") for s in rows["set"]]
         _, group = np.unique(rows["root"], return_inverse=True)
         ones, others = [], []
-        for a in range(len(node)):
-            near = possible(size, marks, a, a + 1, least)[0]
-            for b in np.argsort(-near, kind="stable")[: int((near >= 0).sum())].tolist():
-                if group[a] != group[b] and jaccard(sets[a], sets[b]) >= least:
-                    ones.append(int(node[a]))
-                    others.append(int(node[b]))
-                    group[group == group[b]] = group[a]
+        for at in range(0, len(node), 64):
+            block = possible(size, marks, at, at + 64, least)
+            for a, near in enumerate(block, at):
+                # Each two are compared once, the likeliest first, as long as they are in different groups.
+                left = a + 1 + np.flatnonzero((near[a + 1 :] >= 0) & (group[a + 1 :] != group[a]))
+                left = left[np.argsort(-near[left], kind="stable")]
+                while len(left):
+                    b, left = left[0], left[1:]
+                    if jaccard(sets[a], sets[b]) >= least:
+                        ones.append(int(node[a]))
+                        others.append(int(node[b]))
+                        group[group == group[b]] = group[a]
+                        left = left[group[left] != group[a]]
         return ones, others
 
     return each
@@ -554,26 +585,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         return cut_lineage(similar_pairs(pairs, sets, least), f"similar-{label}")
 
-    def unconnected(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    def unconnected(placed: DataFrame, stars: DataFrame) -> DataFrame:
         """(band, node, root) of the bands whose texts no path of similar pairs connects yet."""
-        placed = placed.select("band", "node").join(components(edges), "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
+        placed = placed.select("band", "node").join(stars, "node", "left").select("band", "node", F.coalesce("component", "node").alias("root"))
         placed = cut_lineage(placed, "rooted")
         several = cut_lineage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed-bands")
         return cut_lineage(placed.join(several, "band", "left_semi"), "mixed")
 
     # Fingerprints propose first, then each band's likeliest pairs, then every two that share a band. A failed pair loses nothing.
-    edges = similar(linked_prints(nodes.select("node", "fp")), "linked")
-    placed = unconnected(shared, edges)
+    # What is connected goes on as stars, which take fewer rounds than the pairs.
+    stars = components(similar(linked_prints(nodes.select("node", "fp")), "linked"))
+    placed = unconnected(shared, stars)
     likely = in_bands(placed.select("band", "node").join(nodes.select("node", "size", "bytes"), "node").select("band", "node", "size", "bytes"), placed, likeliest(least), "a long, b long", BUCKET)
-    edges = edges.union(similar(likely, "likeliest"))
-    placed = unconnected(placed, edges)
+    stars = components(stars.union(similar(likely, "likeliest")), "node", "component")
+    placed = unconnected(placed, stars)
     rooted = placed.join(nodes.select("node", "size", "bytes"), "node")
     apart = cut_lineage(in_bands(rooted, placed, foreign(least), "band long, node long", BUCKET).distinct(), "apart")
     sets = sets_of(apart.select("node"))
     left = placed.join(apart, ["band", "node"], "left_semi").join(nodes.select("node", "size", "bytes").join(sets, "node"), "node")
     left = left.select("band", "node", "size", "bytes", "root", "set")
-    edges = cut_lineage(edges.union(in_bands(left, apart, connecting(least), "a long, b long", SETS)), "all-edges")
-    return rows.join(components(edges), "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
+    stars = components(stars.union(in_bands(left, apart, connecting(least), "a long, b long", SETS)), "node", "component")
+    return rows.join(stars, "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

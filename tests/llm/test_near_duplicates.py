@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quarrymind.llm import simhash
 
 
@@ -96,3 +99,46 @@ def test_fingerprint_links_propose_pairs(spark, monkeypatch):
     pairs = {frozenset((r.a, r.b)) for r in simhash.linked_prints(prints).collect()}
     nodes = {r.id: r.node for r in simhash.described(table, "doc_id", "text", 5).collect()}
     assert sum(frozenset((nodes[2 * k], nodes[2 * k + 1])) in pairs for k in range(30)) > 20
+
+
+def test_texts_without_a_key_are_not_moved(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("_text"))
+    keys = simhash.cut_lineage(rows.where("_text % 100 = 0").select("key"), "keys")
+    near = simhash.possibly_of(rows, keys)
+    assert near.columns == rows.columns and near.join(keys, "key", "left_semi").count() == 200
+    assert near.count() < 200 + 20000 / 10
+    assert simhash.possibly_of(rows, simhash.cut_lineage(keys.limit(0), "keys")).count() == 0
+
+
+def test_shingle_sets_filter_texts_before_their_join(spark, monkeypatch):
+    asked, possibly = [], simhash.possibly_of
+    monkeypatch.setattr(simhash, "possibly_of", lambda rows, keys: asked.append(rows.columns) or possibly(rows, keys))
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(50)], "doc_id long, text string")
+    keys = simhash.cut_lineage(docs.where("doc_id < 3").select(simhash.row_key("doc_id", "text").alias("key"), F.col("doc_id").alias("node")), "keys")
+    assert sorted(r.node for r in simhash.shingle_sets(docs, keys, "doc_id", "text", 5).collect()) == [0, 1, 2]
+    assert asked == [["key", "_text"]]
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    from quarrymind.llm import components as module
+
+    made, write = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df, label: made.append(label) or write(df, label))
+    stars = spark.createDataFrame([(0, 1), (2, 0), (3, 0), (7, 9)], "a long, b long")
+    assert sorted(tuple(r) for r in module.components(stars).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (7, 7), (9, 7)]
+    assert made == ["edges"]
+    chain = spark.createDataFrame([(i * 7 % 41, (i + 1) * 7 % 41) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in module.components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert module.components(stars.limit(0)).count() == 0
+
+
+def test_each_two_rows_of_a_band_are_compared_once(monkeypatch):
+    compared = []
+    monkeypatch.setattr(simhash, "jaccard", lambda x, y: compared.append(1) or 0.0)
+    marks = simhash.signatures(simhash.minima(np.arange(1, 100, dtype=np.uint64) << np.uint64(32))[None])
+    assert marks.nbytes == 80
+    rows = {
+        "node": np.arange(100), "size": np.full(100, 9), "root": np.arange(100), "bytes": [marks.tobytes()] * 100,
+        "set": [np.arange(i, i + 9, dtype="<u8").tobytes() for i in range(100)],
+    }
+    assert simhash.connecting(0.8)(rows) == ([], []) and len(compared) == 100 * 99 / 2
